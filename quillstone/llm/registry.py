@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, simhash
+from . import bpe, chat, decontaminate, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
+        "op7_bpe": bpe.query,
         "op9_decontaminate": decontaminate.query,
     }
 
