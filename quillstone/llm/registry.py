@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, simhash
+from . import bpe, chat, decontaminate, langid, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
         "op7_bpe": bpe.query,
+        "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
     }
 
