@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, simhash
+from . import bpe, chat, decontaminate, html, langid, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
+        "op5_html": html.query,
         "op7_bpe": bpe.query,
         "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
