@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, langid, simhash
+from . import bpe, chat, decontaminate, html, langid, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": bpe.query,
         "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
+        "op10_suffix": suffix.query,
     }
 
 
