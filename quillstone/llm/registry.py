@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, langid, simhash, suffix
+from . import ann, bpe, chat, decontaminate, html, langid, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.query,
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
         "op5_html": html.query,
