@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, html, langid, simhash, suffix
+from . import ann, bpe, chat, decontaminate, html, langid, lm, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
         "op5_html": html.query,
+        "op6_lm": lm.query,
         "op7_bpe": bpe.query,
         "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
