@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, html, langid, lm, simhash, suffix
+from . import ann, bpe, chat, decontaminate, html, langid, lm, passages, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.query,
+        "op2_passages": passages.query,
         "op3_simhash": simhash.query,
         "op4_chat": chat.query,
         "op5_html": html.query,
