@@ -221,6 +221,7 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sorted (lead0, lead1, anchor, block, n, bytes): the repeated byte ranges of each block."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[:2]: r for r in rows}.values())  # repeated rows of a document give its blocks again
         suffixes = Suffixes([r[3] for r in rows])
         repeated = suffixes.repeated()
         found = []
@@ -307,13 +308,14 @@ def _spans(documents: DataFrame, text: str, group_blocks: int) -> DataFrame:
     key = ["lead0", "lead1", "anchor"]
     buckets = usual.select(*key, "block", "n", "bytes").repartitionByRange(*key).sortWithinPartitions(*key)
     sorted_ranges = buckets.mapInArrow(_resolve, _RANGES)
-    ranges = sorted_ranges if ranges is None else sorted_ranges.unionByName(ranges)
+    # A table of its own, so that the join's sides are plain shuffles and a block that very many share can be split.
+    ranges = common.durable((sorted_ranges if ranges is None else sorted_ranges.unionByName(ranges)).where(F.size("begins") > 0))
 
     first = F.shiftright("loc", 20)
     whole = flagged.where("not mixed").select("rid", first.alias("begin"), (first + F.col("loc").bitwiseAND(1023) + LENGTH - 1).alias("end"))
     part = (
         flagged.where("mixed").select("anchor", "block", "rid", first.alias("first"))
-        .join(ranges.where(F.size("begins") > 0).dropDuplicates(["anchor", "block"]), ["anchor", "block"])
+        .join(ranges, ["anchor", "block"])
         .select("rid", "first", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
         .select("rid", (F.col("first") + F.col("r.begins")).alias("begin"), (F.col("first") + F.col("r.ends")).alias("end"))
     )
