@@ -146,7 +146,8 @@ def duplicate_groups(entries: DataFrame, pairs: DataFrame) -> DataFrame:
 def merge(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """Targets of pairs (target, source) with their source's content, tags, context and usage added."""
     target, source = entries.alias("t"), entries.alias("s")
-    joined = pairs.join(target, F.col("t.id") == F.col("target")).join(source, F.col("s.id") == F.col("source"))
+    ends = pairs.select(F.col("target").alias("to_id"), F.col("source").alias("from_id")).alias("p")
+    joined = ends.join(target, F.col("t.id") == F.col("p.to_id")).join(source, F.col("s.id") == F.col("p.from_id"))
     changed = {
         "content": F.concat("t.content", F.lit(SEPARATOR), "s.content"),
         "usage_count": (F.coalesce("t.usage_count", F.lit(0)) + F.coalesce("s.usage_count", F.lit(0))).cast("long"),

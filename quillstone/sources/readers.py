@@ -17,11 +17,13 @@ _LINE = "type string, uuid string, parentUuid string, timestamp string, message
 _RAW_BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:struct<file_path:string,old_string:string,new_string:string,content:string,command:string>,content:string>>"
 
 
-def messages(lines: DataFrame, text: str = "value", session: Column | None = None) -> DataFrame:
-    """Messages (session_id, seq, type, uuid, parent_uuid, timestamp, blocks) of transcript lines: blank and malformed ones,
-    and those that neither user nor assistant wrote, are left out; a text alone is one block. Works on streams."""
+def messages(files: DataFrame, text: str = "value", session: Column | None = None) -> DataFrame:
+    """Messages (session_id, seq, type, uuid, parent_uuid, timestamp, blocks) of whole transcripts, a JSON object a line:
+    blank and malformed lines, and those that neither user nor assistant wrote, are left out; a text alone is one block.
+    Works on streams."""
     session = session if session is not None else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1)
-    parsed = lines.select(F.from_json(text, _LINE).alias("m"), session.alias("session_id"), F.monotonically_increasing_id().alias("seq"))
+    lines = files.select(session.alias("session_id"), F.posexplode(F.split(text, "\n")).alias("seq", "line"))
+    parsed = lines.select(F.from_json("line", _LINE).alias("m"), "session_id", F.col("seq").cast("long").alias("seq"))
     kept = parsed.where(F.col("m.type").isin("user", "assistant"))
     content = F.col("m.message.content")
     raw = F.from_json(content, _RAW_BLOCK)
@@ -38,7 +40,12 @@ def messages(lines: DataFrame, text: str = "value", session: Column | None = Non
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return messages(spark.read.text(f"{folder}/*.jsonl").select("value", "_metadata"))
+    return messages(transcripts(spark.read, folder))
+
+
+def transcripts(reader, folder: str) -> DataFrame:
+    """Whole transcript files, from spark.read or spark.readStream."""
+    return reader.format("text").option("wholetext", "true").option("pathGlobFilter", "*.jsonl").load(folder).select("value", "_metadata")
 
 
 def session_index(spark: SparkSession, path: str, since: str | None = None, limit: int | None = None) -> DataFrame:
