@@ -26,6 +26,11 @@ SOURCE_LANGUAGES = LANGUAGES | {".pyi": "python"}
 DIFF_LANGUAGES = LANGUAGES | {".sql": "sql"}
 
 
+def let(value: Column, made) -> Column:
+    """made(value), where value is worked out once however often it occurs."""
+    return F.transform(F.array(value), made)[0]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of A-Z alone, the rule by which substring search folds case."""
     return F.translate(c, _UPPER, _LOWER)

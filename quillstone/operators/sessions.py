@@ -19,7 +19,7 @@ BLOCK = "struct<type:string,text:string,id:string,name:string,input:struct<file_
 
 
 def matches(text: Column, patterns: list[str], flags: str = "(?iU)") -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(flags + p) for p in patterns])
+    return S.let(text, lambda t: reduce(lambda a, b: a | b, [t.rlike(flags + p) for p in patterns]))
 
 
 def text_content(blocks: Column) -> Column:
