@@ -51,6 +51,29 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     return found.withColumn("pair", F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1).drop("turn")
 
 
+def threaded_pairs(spark, messages: DataFrame) -> DataFrame:
+    """The same of transcripts that branch: a user message's answers are the assistant messages below it by parent_uuid,
+    down to the next user messages. A message that is its own ancestor ends its thread."""
+    messages.select("session_id", "uuid", "parent_uuid", "type").createOrReplaceTempView("quillstone_messages")
+    below = spark.sql("""
+        WITH RECURSIVE thread(session_id, root, uuid, level, path) AS (
+          SELECT session_id, uuid, uuid, 0, array(uuid) FROM quillstone_messages WHERE type = 'user'
+          UNION ALL
+          SELECT t.session_id, t.root, m.uuid, t.level + 1, array_append(t.path, m.uuid) FROM thread t
+          JOIN quillstone_messages m ON m.session_id = t.session_id AND m.parent_uuid = t.uuid
+          WHERE m.type = 'assistant' AND NOT array_contains(t.path, m.uuid)
+        ) SELECT session_id, root, uuid, level FROM thread""")
+    rows = below.join(messages.select("session_id", "uuid", "seq", "type", "timestamp", "blocks"), ["session_id", "uuid"])
+    # Each thread reads as a transcript of its own: the question, then its answers by depth.
+    order = Window.partitionBy("session_id", "root").orderBy("level", "seq")
+    line = rows.select(F.concat_ws("\u0001", "session_id", "root").alias("thread"), "session_id", "root", F.row_number().over(order).alias("seq"), "type", "uuid", "timestamp", "blocks")
+    pairs = conversation_pairs(line.select(F.col("thread").alias("session_id"), "seq", "type", "uuid", "timestamp", "blocks"))
+    roots = messages.where("type = 'user'").select("session_id", F.col("uuid").alias("user_uuid"), F.col("seq").alias("at"))
+    named = pairs.select(F.split("session_id", "\u0001")[0].alias("session_id"), *[c for c in pairs.columns if c not in ("session_id", "pair")])
+    placed = named.join(roots, ["session_id", "user_uuid"])
+    return placed.withColumn("pair", F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1).drop("at")
+
+
 def with_outcome(pairs: DataFrame, text: str = "user_text", session: str = "session_id", order: str = "pair") -> DataFrame:
     """pairs with acknowledged and corrected: whether a user says so in this pair or the two after it."""
     w = Window.partitionBy(session).orderBy(order).rowsBetween(0, AHEAD)

@@ -105,6 +105,30 @@ def git_log(spark: SparkSession, repo: str, **filters) -> DataFrame:
     return commits(spark.createDataFrame([(r,) for r in out.split("\x01") if r.strip()], "value string"))
 
 
+def _git(repo: str, *arguments: str) -> str:
+    return subprocess.run(["git", "-C", repo, *arguments], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+
+def git_show(spark: SparkSession, repo: str, sha: str) -> DataFrame:
+    """One commit, as git_log gives it."""
+    out = _git(repo, "show", f"--format=%x01{_FIELDS}", "-p", "--no-color", sha)
+    return commits(spark.createDataFrame([(out.lstrip("\x01"),)], "value string"))
+
+
+def git_diff(spark: SparkSession, repo: str, base: str, head: str, context: int = 3) -> DataFrame:
+    """(diff) between two revisions, to be parsed by commits.with_diffs."""
+    return spark.createDataFrame([(f"{base}..{head}", _git(repo, "diff", "--no-color", f"-U{context}", base, head))], "sha string, diff string")
+
+
+def is_repository(folder: str) -> bool:
+    return subprocess.run(["git", "-C", folder, "rev-parse", "--git-dir"], capture_output=True, check=False).returncode == 0
+
+
+def branch_name(repo: str) -> str | None:
+    name = _git(repo, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    return None if name == "HEAD" else name
+
+
 def commits(records: DataFrame, text: str = "value") -> DataFrame:
     """(sha, author, author_email, timestamp, message, diff) of log records, fields parted by NUL."""
     f = F.split(text, "\x00", 6)

@@ -348,3 +348,39 @@ def test_scalars(spark):
     ).first()
     assert row["a"] == "a" * 150 + "..." and row["b"] == "x" * 200 + "..." and row["c"] == [] and row["d"] == "python" and row["e"] == "sql"
     assert row["f"] == "yellow" and row["g"] == 2 and row["h"] == "2024-01-01T00:00:00.500000"
+
+
+def test_threads(spark):
+    block = [("text", "x", None, None, None, None)]
+    rows = [("s", i, t, u, p, NOW, block) for i, (t, u, p) in enumerate([
+        ("user", "u1", None), ("assistant", "a1", "u1"), ("assistant", "a2", "a1"), ("user", "u2", "a2"), ("assistant", "b1", "u1"), ("user", "u3", "b1"), ("assistant", "c1", "u2"),
+    ])]
+    m = spark.createDataFrame(rows, f"session_id string, seq long, type string, uuid string, parent_uuid string, timestamp timestamp, blocks array<{sessions.BLOCK}>")
+    got = [(r["user_uuid"], r["assistant_uuid"], r["text"].count("x"), r["pair"]) for r in sessions.threaded_pairs(spark, m).orderBy("pair").collect()]
+    assert got == [("u1", "a1", 3, 0), ("u2", "c1", 1, 1)]
+
+
+def test_registered_functions(spark):
+    from quillstone.functions.registered import register
+
+    register(spark)
+    spark.createDataFrame([("a", "b", _DIFF, _PY)], "a string, b string, d string, s string").createOrReplaceTempView("t")
+    assert spark.sql("SELECT unified_diff(a, b) AS d FROM t").first()["d"].endswith("-a\n+b")
+    assert spark.sql("SELECT p.file_path FROM t, LATERAL parse_diff(d) p").count() == 3
+    assert spark.sql("SELECT p.name FROM t, LATERAL parse_source('python', s) p WHERE p.element_type = 'method'").count() == 2
+
+
+def test_repository_reads(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=N", "-c", "user.email=n@x", *a], check=True, capture_output=True)
+    assert not readers.is_repository(str(tmp_path))
+    git("init", "-q", "-b", "trunk")
+    for i in range(2):
+        (tmp_path / "a.py").write_text(f"x = {i}\n")
+        git("add", ".")
+        git("commit", "-qm", f"fix: {i}")
+    assert readers.is_repository(str(tmp_path)) and readers.branch_name(str(tmp_path)) == "trunk"
+    assert readers.git_show(spark, str(tmp_path), "HEAD").first()["message"] == "fix: 1"
+    d = commits.with_diffs(readers.git_diff(spark, str(tmp_path), "HEAD~1", "HEAD")).first()["diffs"]
+    assert [(x["file_path"], x["additions"], x["deletions"]) for x in d] == [("a.py", 1, 1)]
