@@ -37,10 +37,11 @@ def within_budget(ranked: DataFrame, budget: int, n: int) -> DataFrame:
             (state["stop"] | alone).alias("stop"),
         )
 
-    # The fold needs only ranks and sizes; the rows themselves stay apart until it is done.
-    rows = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("long").alias("tokens"))))
-    taken = ranked.agg(rows.alias("rows")).select(F.explode(F.aggregate("rows", start, take)["taken"]).alias("rank"))
-    return ranked.join(F.broadcast(taken), "rank").select("rank", *names)
+    # The candidates are few, so they travel as one array: what made them is read once.
+    row = F.struct(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("long").alias("tokens"), F.struct(*names).alias("row"))
+    folded = ranked.agg(F.array_sort(F.collect_list(row)).alias("rows")).select("rows", F.aggregate("rows", start, take)["taken"].alias("taken"))
+    kept = folded.select(F.explode(F.filter("rows", lambda r: F.array_contains("taken", r["rank"]))).alias("r"))
+    return kept.select("r.rank", "r.row.*")
 
 
 def retrieve(
@@ -58,9 +59,9 @@ def retrieve(
     near = nearest(vectors, query, min(OVERFETCH * n, MOST_CANDIDATES), min_score)
     found = entries.join(F.broadcast(near), "id").where(passes)
     found = found.withColumn("tokens", S.token_estimate(F.coalesce("content", F.lit(""))))
-    ordered = found.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("o"))
-    ranks = ordered.select(F.posexplode("o").alias("at", "x")).select((F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"))
-    return within_budget(found.join(F.broadcast(ranks), "id"), token_budget, n)
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.struct(*found.columns).alias("row"))))
+    ranked = found.agg(best_first.alias("o")).select(F.posexplode("o").alias("at", "x")).select((F.col("at") + 1).alias("rank"), "x.row.*")
+    return within_budget(ranked, token_budget, n)
 
 
 def usage(retrieved: DataFrame, at) -> DataFrame:
