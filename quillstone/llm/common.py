@@ -35,6 +35,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table of durable()'s that nothing reads any more."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     """schema with fields at its end; columns of the same names give way."""
     names = {f.name for f in fields}

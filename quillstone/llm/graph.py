@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        now = durable(small)
+        before, now = now, durable(small)
+        discard(before)
         # Done when no node is both a root and below another: every edge then leads to a root.
         row = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(row) == state or row[0] == 0:
