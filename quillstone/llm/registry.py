@@ -27,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat": chat.ORACLE,
+        "op9_decontaminate": decontaminate.ORACLE,
     }
