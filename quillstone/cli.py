@@ -127,7 +127,7 @@ def run(a: argparse.Namespace, engine: Engine) -> str:
         "update": lambda: said(engine.update(a.id, title=a.title, description=a.description, content=a.content, tags=a.tags, context=a.context, project=a.project, confidence=None if a.confidence is None else float(a.confidence))),
         "stats": lambda: "\n".join(f"{k}:\n{show(df)}" for k, df in engine.stats().items()),
         "export": lambda: engine.export(a.path, a.project) or "done", "import": lambda: json.dumps(engine.import_from(a.path)), "purge": lambda: f"{engine.purge(a.project)} entries",
-        "sync": lambda: show(engine.sync(a.path, engine.spark.createDataFrame([], "id string, content_hash string"), a.strategy, push_only=a.push_only, pull_only=a.pull_only, dry_run=a.dry_run, project=a.project)),
+        "sync": lambda: show(engine.sync(a.path, None, a.strategy, push_only=a.push_only, pull_only=a.pull_only, dry_run=a.dry_run, project=a.project)),
         "duplicates": lambda: show(engine.duplicates(a.threshold)), "stale": lambda: show(engine.stale(a.days, a.project).drop("embedding")),
         "quality": lambda: show(engine.quality(number(a.min), number(a.max), a.project).drop("embedding")),
         "completions": lambda: show(search.complete(engine.entries(), a.column, a.prefix)),

@@ -145,6 +145,9 @@ def repo_name(url: str) -> str | None:
 
 # Exports, imports and replica folders
 
+RELATIONSHIP = "id string, source_id string, target_id string, relationship_type string, created timestamp_ntz, metadata map<string,string>"
+COLLECTION = "id string, name string, description string, created timestamp_ntz, updated_at timestamp_ntz, member_ids array<string>"
+
 ENTRY = "id string, title string, description string, content string, brief string, tags array<string>, context array<string>, created timestamp_ntz, updated_at timestamp_ntz, last_used timestamp_ntz, usage_count long, confidence double, source string, project string"
 
 
@@ -171,10 +174,17 @@ def valid(entries: DataFrame) -> Column:
 
 def replica(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
     """Documents of a replica folder (entries, relationships, collections); malformed ones are left out."""
+    if not exists(spark, f"{folder}/{kind}"):
+        return spark.createDataFrame([], schema)
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"{folder}/{kind}")
     return files.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d")).where("d is not null").select("d.*").where("id is not null")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_replica(documents: DataFrame, folder: str, kind: str) -> None:
     documents.write.mode("overwrite").json(f"{folder}/{kind}")
 

@@ -18,11 +18,12 @@ from quillstone.tables import durable
 
 TABLES = {
     "entries": (("id",), readers.ENTRY + ", embedding array<float>"),
-    "relationships": (("id",), "id string, source_id string, target_id string, relationship_type string, created timestamp_ntz, metadata map<string,string>"),
+    "relationships": (("id",), readers.RELATIONSHIP),
     "collections": (("id",), "id string, name string, description string, created timestamp_ntz, updated_at timestamp_ntz"),
     "members": (("collection_id", "entry_id"), "collection_id string, entry_id string, added_at timestamp_ntz"),
     "versions": (("entry_id", "version_number"), "entry_id string, version_number long, title string, description string, content string, brief string, tags array<string>, context array<string>, confidence double, source string, project string, created_at timestamp_ntz, created_by string, change_summary string"),
     "usage": (("id", "ts"), "id string, ts timestamp_ntz"),
+    "synced": (("folder", "id"), "folder string, id string, content_hash string"),
 }
 _LOG = ", seq long, op string, at timestamp_ntz"
 #: Fields that update() changes; others are ignored.
@@ -39,8 +40,7 @@ class Store:
     def log(self, name: str) -> DataFrame:
         schema = TABLES[name][1] + _LOG
         folder = f"{self.path}/{name}"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if not readers.exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(folder)
 
@@ -304,28 +304,67 @@ class Engine:
         log = self.store.log("entries")
         return log.groupBy("id").agg(F.max_by("op", "seq").alias("op"), F.max("at").alias("deleted_at")).where("op = 'delete'").select("id", "deleted_at")
 
-    def sync(self, folder: str, base: DataFrame, strategy: str = "last-write-wins", *, push_only: bool = False, pull_only: bool = False, dry_run: bool = False, project: str | None = None) -> DataFrame:
-        """Actions (id, action) against a replica folder, carried out unless dry_run. base: id, content_hash as last synchronized."""
+    def sync(self, folder: str, base: DataFrame | None = None, strategy: str = "last-write-wins", *, push_only: bool = False, pull_only: bool = False, dry_run: bool = False, project: str | None = None) -> DataFrame:
+        """Actions (id, action) on entries against a replica folder, carried out unless dry_run, relationships and
+        collections with them. base (id, content_hash) is what this store last synchronized with the folder, unless given."""
+        spark, now = self.spark, self.now()
+        if base is None:
+            base = self.store.current("synced").where(F.col("folder") == folder).select("id", "content_hash")
         local = readers.with_hash(search.in_project(self.store.current("entries"), project))
-        remote = readers.with_hash(search.in_project(readers.replica(self.spark, folder, "entries", readers.ENTRY), project))
-        acts = sync.one_way(sync.resolved(sync.actions(local, remote, base, self.tombstones()), strategy), push_only, pull_only).select("id", "action")
-        acts = durable(acts)
-        if not dry_run:
-            now = self.now()
-            pulled = remote.join(acts.where("action = 'pull'"), "id", "left_semi")
-            if not pulled.isEmpty():
-                self.store.append("entries", self.embed(pulled), at=now)
-            gone = local.join(acts.where("action = 'delete_local'"), "id", "left_semi")
-            if not gone.isEmpty():
-                self._delete(gone)
-            kept = remote.join(acts.where("action in ('push', 'delete_remote')"), "id", "left_anti")
-            pushed = local.join(acts.where("action = 'push'"), "id", "left_semi")
-            names = [c for c in remote.columns if c != "content_hash"]
-            if not acts.where("action in ('push', 'delete_remote')").isEmpty():
-                # Written aside first: the folder is read while its new state is made.
-                readers.write_replica(durable(kept.select(names).unionByName(pushed.select(names))), folder, "entries")
+        all_remote = readers.with_hash(readers.replica(spark, folder, "entries", readers.ENTRY))
+        remote = search.in_project(all_remote, project)
+        acts = durable(sync.one_way(sync.resolved(sync.actions(local, remote, base, self.tombstones()), strategy), push_only, pull_only).select("id", "action"))
+        if dry_run:
+            return acts
+        some = lambda *names: acts.where(F.col("action").isin(*names)).select("id")
+        # Both sides' new states are worked out before either is written.
+        pulled = durable(remote.join(some("pull"), "id", "left_semi"))
+        gone = durable(local.join(some("delete_local"), "id", "left_semi"))
+        names = [c for c in remote.columns if c != "content_hash"]
+        kept = all_remote.join(some("push", "delete_remote"), "id", "left_anti").select(names)
+        pushed = durable(kept.unionByName(local.join(some("push"), "id", "left_semi").select(names)))
+        if not pulled.isEmpty():
+            self.store.append("entries", self.embed(pulled), at=now)
+        if not gone.isEmpty():
+            self._delete(gone)
+        if not some("push", "delete_remote").isEmpty():
+            readers.write_replica(pushed, folder, "entries")
+        agreed = readers.with_hash(self.store.current("entries")).join(pushed.select("id").unionByName(pulled.select("id")), "id", "left_semi")
+        self.store.append("synced", agreed.select(F.lit(folder).alias("folder"), "id", "content_hash"), at=now)
+        if not pull_only and not push_only:
+            self._sync_relationships(folder, pushed.select("id"), now)
+            self._sync_collections(folder, now)
         return acts
 
+    def _sync_relationships(self, folder: str, remote_ids: DataFrame, now: datetime) -> None:
+        key = ["source_id", "target_id", "relationship_type"]
+        local, remote = self.store.current("relationships"), readers.replica(self.spark, folder, "relationships", readers.RELATIONSHIP)
+        acts = sync.relationships(local, remote, self.store.current("entries").select("id"), remote_ids)
+        pull = durable(remote.join(acts.where("action = 'pull'"), key, "left_semi"))
+        push = durable(remote.unionByName(local.join(acts.where("action = 'push'"), key, "left_semi").select(remote.columns)))
+        if not pull.isEmpty():
+            self.store.append("relationships", pull, at=now)
+        if not push.isEmpty():
+            readers.write_replica(push, folder, "relationships")
+
+    def _sync_collections(self, folder: str, now: datetime) -> None:
+        members = self.store.current("members").groupBy(F.col("collection_id").alias("id")).agg(F.array_sort(F.collect_list("entry_id")).alias("member_ids"))
+        local = self.store.current("collections").join(members, "id", "left")
+        remote = readers.replica(self.spark, folder, "collections", readers.COLLECTION)
+        acts = sync.collections(local, remote)
+        pull = durable(remote.join(acts.where("action = 'pull'"), "id", "left_semi"))
+        pushed = acts.where("action = 'push'")
+        push = durable(remote.join(pushed, "id", "left_anti").unionByName(local.join(pushed, "id", "left_semi").select(remote.columns)))
+        if not pull.isEmpty():
+            told = pull.select(F.col("id").alias("collection_id"), F.explode("member_ids").alias("entry_id"))
+            fresh = durable(sync.collection_members(told, pull, self.store.current("entries").select("id")).withColumn("added_at", F.lit(now).cast("timestamp_ntz")))
+            old = self.store.current("members").join(pull.select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
+            self.store.append("members", old, "delete", now)
+            self.store.append("collections", pull, at=now)
+            self.store.append("members", fresh, at=now)
+        if not push.isEmpty():
+            readers.write_replica(push, folder, "collections")
+
 
 def _tags(tags) -> list[str]:
     """Tags as a list, from a list or comma-separated text."""

@@ -59,13 +59,26 @@ def test_sync(engine, spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "r.json").write_text('{"id":"r1","title":"Two","description":"d","content":"c2","updated_at":"2024-01-01T00:00:00"}')
     (folder / "bad.json").write_text("{")
-    none = spark.createDataFrame([], "id string, content_hash string")
-    acts = {r["id"]: r["action"] for r in engine.sync(str(tmp_path / "replica"), none, dry_run=True).collect()}
+    at = str(tmp_path / "replica")
+    acts = {r["id"]: r["action"] for r in engine.sync(at, dry_run=True).collect()}
     assert acts == {a: "push", "r1": "pull"} and engine.entries().count() == 1
-    engine.sync(str(tmp_path / "replica"), none)
-    assert {r["id"] for r in engine.entries().collect()} == {a, "r1"}
-    written = spark.read.json(str(folder)).collect()
-    assert {r["id"] for r in written} == {a, "r1"}
+    c = engine.create_collection("Core")
+    engine.add_to_collection(c, a)
+    engine.sync(at)
+    assert {r["id"] for r in engine.entries().collect()} == {a, "r1"} and {r["id"] for r in spark.read.json(str(folder)).collect()} == {a, "r1"}
+    engine.link(a, "r1")
+    assert {r["action"] for r in engine.sync(at).collect()} == {"no_change"}
+
+    # Another store of the same folder gets it all; what it changes comes back.
+    other = Engine(spark, str(tmp_path / "other"), now=engine.now)
+    other.sync(at)
+    assert {r["id"] for r in other.entries().collect()} == {a, "r1"} and other.related(a).count() == 1 and other.collection_members(c).first()["id"] == a
+    other.update(a, title="One more")
+    other.delete("r1")
+    assert {r["id"]: r["action"] for r in other.sync(at).collect()} == {a: "push", "r1": "delete_remote"}
+    assert {r["id"]: r["action"] for r in engine.sync(at, dry_run=True).collect()}[a] == "pull"
+    engine.sync(at)
+    assert engine.get(a).first()["title"] == "One more"
 
 
 def test_mining_stream_repeats_nothing(spark, tmp_path):
