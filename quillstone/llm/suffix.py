@@ -45,7 +45,7 @@ from . import common
 LENGTH, K = 200, 64
 #: Windows of a block at most.
 BLOCK_WINDOWS = 256
-GROUP_BLOCKS = 20_000
+GROUP_BLOCKS = 2_000
 _SCAN_BYTES, _SORT_BYTES = 1_000_000, 2_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
