@@ -14,8 +14,11 @@ from quillstone.tables import shared_dir
 
 def daily_usage(events: DataFrame, late: str = "2 days") -> DataFrame:
     """(id, day, n) of views, finished once the watermark has passed a day."""
-    views = events.where("event_type = 'view'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
-    return views.groupBy(F.window("at", "1 day"), "id").agg(F.count("*").alias("n")).select("id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    # Times without a zone are read as UTC, whose days are the windows', whatever the session's zone is.
+    at = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    views = events.where("event_type = 'view'").select(F.col("user_id").alias("id"), at.alias("at")).withWatermark("at", late)
+    day = F.date_format(F.to_utc_timestamp("window.start", F.current_timezone()), "yyyy-MM-dd")
+    return views.groupBy(F.window("at", "1 day"), "id").agg(F.count("*").alias("n")).select("id", day.alias("day"), "n")
 
 
 def first_seen(events: DataFrame) -> DataFrame:
