@@ -11,10 +11,10 @@ and a control string inside a role or a text (``<s> </s> [INST] [/INST]``, or
 one already escaped) gets one more backslash after its first character, which
 reading back removes.
 
-To keep storage linear, an example's context isn't repeated in it: a row holds
-its own turns (``turns``: those since the last target, rendered) and ``target``;
-``conversation_id`` and ``part`` order the rows, and ``full_text`` in expand()
-joins the parts before it where whole examples are wanted.
+An example holds all of its context, so a conversation's examples grow with the
+square of its turns: ``full_text`` is all turns up to the target and the target.
+Where storage must stay linear, expand(whole=False) gives rows without it that
+hold the turns since the last target only; ``conv_id`` and ``part`` order them.
 
 Defined cases: a null text or role is empty; rows are ordered by turn (null
 first), ties by role, then text; repeated rows count each; rows of a null
@@ -56,29 +56,29 @@ def _turns(conversations: DataFrame) -> DataFrame:
     return filled.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
-def expand(conversations: DataFrame, *, whole: bool = False) -> DataFrame:
+def expand(conversations: DataFrame, *, whole: bool = True) -> DataFrame:
     """One row for each assistant turn (and for turns after the last): conv_id, part (int, from 0), context (the turns
     since the part before, rendered), header and footer (the target's markup), target (escaped; null without one).
     With whole, also full_text: all parts up to this one, and loss_start and loss_end, the code points of the target in it."""
-    grouped = _turns(conversations)
+    grouped = _turns(conversations).withColumn("rendered", F.transform("turns", _render))
     ends = F.filter(
         F.transform("turns", lambda t, i: F.when((t["role"] == "assistant") | (i == F.size("turns") - 1), i)), lambda i: i.isNotNull()
     )
-    parts = grouped.withColumn("ends", ends).select("conv_id", "turns", "ends", F.posexplode("ends").alias("part", "at"))
+    parts = grouped.withColumn("ends", ends).select("conv_id", "turns", "rendered", "ends", F.posexplode("ends").alias("part", "at"))
     first = F.when(F.col("part") == 0, 0).otherwise(F.expr("get(ends, part - 1)") + 1)
     last = F.expr("get(turns, at)")
     trained = last["role"] == "assistant"
-    before = F.slice("turns", first + 1, F.col("at") - first + F.when(trained, 0).otherwise(1))
+    before = F.slice("rendered", first + 1, F.col("at") - first + F.when(trained, 0).otherwise(1))
     out = parts.select(
-        "conv_id", "part", "turns", "at",
-        F.array_join(F.transform(before, _render), "").alias("context"),
+        "conv_id", "part", "rendered", "at",
+        F.array_join(before, "").alias("context"),
         F.when(trained, F.concat(F.lit(HEAD), escape(last["role"]), F.lit(MIDDLE))).alias("header"),
         F.when(trained, escape(last["text"])).alias("target"),
         F.when(trained, F.lit(TAIL)).alias("footer"),
     )
     if not whole:
-        return out.drop("turns", "at")
-    prefix = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("at") + F.when(F.col("target").isNull(), 1).otherwise(0)), _render), "")
+        return out.drop("rendered", "at")
+    prefix = F.array_join(F.slice("rendered", F.lit(1), F.col("at") + F.when(F.col("target").isNull(), 1).otherwise(0)), "")
     out = out.withColumn("prefix", prefix)
     start = F.length("prefix") + F.length("header")
     return out.select(
@@ -89,12 +89,11 @@ def expand(conversations: DataFrame, *, whole: bool = False) -> DataFrame:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """The digest of each conversation, from its examples alone."""
-    text = F.concat("context", F.coalesce(F.concat("header", "target", "footer"), F.lit("")))
-    whole = examples.select("conv_id", F.struct("part", text.alias("text"), "target").alias("p"))
-    joined = whole.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("parts")).select(
-        "conv_id",
-        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"),
+    """The digest of each conversation, from its whole examples alone: the last one's text, and what each trains on."""
+    trained = F.expr("substring(full_text, loss_start + 1, loss_end - loss_start)")
+    whole = examples.select("conv_id", "part", "full_text", F.struct("part", trained.alias("target")).alias("p"))
+    joined = whole.groupBy("conv_id").agg(F.max_by("full_text", "part").alias("formatted"), F.array_sort(F.collect_list("p")).alias("parts")).select(
+        "conv_id", "formatted",
         F.array_join(F.transform(F.filter("parts", lambda p: p["target"].isNotNull()), lambda p: unescape(p["target"])), "").alias("loss"),
     )
     roles, texts = F.regexp_extract_all("formatted", F.lit(_TURN), 1), F.regexp_extract_all("formatted", F.lit(_TURN), 2)

@@ -237,6 +237,15 @@ def test_chat_examples_train_on_one_reply(spark):
     assert examples[2]["full_text"].count("<s>[INST] ") == 6
 
 
+def test_chat_examples_hold_all_turns_before(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"t{i} [INST]") for i in range(6)]
+    examples = chat.expand(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).orderBy("part").collect()
+    for n, e in enumerate(examples):
+        assert [f"t{i} " in e["full_text"] for i in range(6)] == [i <= 2 * n + 1 for i in range(6)]
+        assert e["full_text"][e["loss_start"] : e["loss_end"]] == e["target"]
+    assert chat.read_back(chat.expand(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))).first()["n_turns"] == 6
+
+
 def test_chat_plan_is_native(spark):
     frame, _ = conversations(spark)
     plan = chat.read_back(chat.expand(frame))._jdf.queryExecution().toString()
