@@ -3,15 +3,15 @@
 Markup is stripped into lines, one for each block of a page. A line's text
 counts unless it belongs to a container that isn't the article's (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, by element, role
-or class), consists of links, or lies outside the page's article element where
-it has one. Over the lines slides a window of ``WINDOW`` lines whose text
+or class), lies outside the page's article element where it has one, or, where
+it has none, is a menu's: in a list and more than half links, or nothing but
+several links outside a paragraph or heading. Over the lines slides a window of ``WINDOW`` lines whose text
 lengths are summed; where the sum leaves zero the text surges, where it falls
-back to zero it dives. Text between a surge and its dive is kept, if it is a
-fair share of the page's largest such stretch or the page marks it as its
-article.
+back to zero it dives. Text between a surge and its dive is kept.
 
 Defined cases: null, empty and malformed pages give what text can be read,
-an empty text if there is none; unclosed elements end with what holds them.
+an empty text if there is none; unclosed elements end with what holds them, and
+self-closed pictures, frames, objects and formulas with their own tag.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Lines of a window, and the least share of the largest stretch's text that a stretch outside an article must have.
-WINDOW, SHARE = 3, 0.2
+#: Lines of a window.
+WINDOW = 3
 _BATCH_BYTES = 4_000_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|math|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|iframe|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>|<(script|style|noscript|template|textarea|svg|iframe|object|math|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -53,6 +53,8 @@ _OUTSIDE_WORDS = frozenset(
     " promoted promotion related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription"
     " teaser toolbar topbar widget widgets".split()
 )
+_LISTS = frozenset("ul ol li dl dt dd".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
 _COMMENTS = frozenset("comment comments replies disqus respond".split())
 
 
@@ -82,27 +84,33 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 class Line:
-    """A block's text, how much of it is links, whether it is set aside, and whether it lies in an article."""
+    """A block's text, whether it is a menu's by its links, whether it is set aside, and whether it lies in an article."""
 
-    __slots__ = ("article", "aside", "linked", "text")
+    __slots__ = ("article", "aside", "menu", "text")
 
-    def __init__(self, text: str, linked: int, aside: bool, article: bool):
-        self.text, self.linked, self.aside, self.article = text, linked, aside, article
+    def __init__(self, text: str, menu: bool, aside: bool, article: bool):
+        self.text, self.menu, self.aside, self.article = text, menu, aside, article
 
 
 def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, set aside, comments
     pieces: list[tuple[str, bool]] = []
-    aside = comments = articles = links = 0
+    aside = comments = articles = links = anchors = 0
 
     def flush() -> None:
+        nonlocal anchors
         if pieces:
             text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
             if text:
-                linked = sum(len(p.strip()) for p, l in pieces if l)
-                lines.append(Line(text, linked, aside > 0, articles > 0))
+                names = {x[0] for x in stack}
+                if names & _LISTS and not names & _PROSE:
+                    menu = 2 * sum(len(p.strip()) for p, l in pieces if l) > len(text)
+                else:
+                    menu = not names & _PROSE and anchors > 1 and not any(c.isalnum() for p, l in pieces if not l for c in html.unescape(p))
+                lines.append(Line(text, menu, aside > 0, articles > 0))
             pieces.clear()
+        anchors = links
 
     def close(to: int) -> None:
         nonlocal aside, comments, articles, links
@@ -160,6 +168,7 @@ def lines_of(page: str) -> list[Line]:
         comments += said
         articles += name in ("article", "main")
         links += name == "a"
+        anchors += name == "a"
     if at < len(page):
         pieces.append((page[at:], links > 0))
     flush()
@@ -181,15 +190,12 @@ def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]
     return found
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page) if page else []
     marked = any(x.article and not x.aside for x in lines)
-    # In an article a line of links is part of the text; elsewhere it is a menu's.
-    counts = [0 if x.aside or (not x.article if marked else 2 * x.linked > len(x.text)) else len(x.text) for x in lines]
-    found = stretches(counts, window)
-    sums = [sum(counts[a:b]) for a, b in found]
-    least = 0 if marked else share * max(sums, default=0)
-    return " ".join(lines[i].text for (a, b), s in zip(found, sums, strict=True) if s >= least for i in range(a, b) if counts[i])
+    # In an article a line of links is part of the text.
+    counts = [0 if x.aside or (not x.article if marked else x.menu) else len(x.text) for x in lines]
+    return " ".join(lines[i].text for a, b in stretches(counts, window) for i in range(a, b) if counts[i])
 
 
 def extract(pages: DataFrame, *, source: str = "html") -> DataFrame:

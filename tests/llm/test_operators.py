@@ -271,6 +271,16 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def test_short_text_apart_from_a_long_one_is_kept():
+    menu = "<nav>Home</nav><aside>More</aside><nav>Next</nav><footer>End</footer>"
+    page = f"<body><p>A short start.</p>{menu}<p>{'Long body. ' * 60}</p>{menu}<p>See <a href=x>the whole long report on this</a>.</p><ul><li><a href=y>Archive</a></li></ul></body>"
+    assert html.main_text(page) == "A short start. " + "Long body. " * 60 + "See the whole long report on this."
+    for tag in ('<svg width="3"/>', "<iframe src='a>b' />", "<object/>", "<math />"):
+        assert html.main_text(f"<article><p>One.</p>{tag}<p>Two.</p></article>") == "One. Two."
+    assert html.main_text("<article><p>One.</p><svg><text/>no</svg><p>Two.</p></article>") == "One. Two."
+    assert html.main_text("<body><div><a href=x>Home</a> | <a href=y>News</a></div><p>Text.</p></body>") == "Text."
+
+
 def test_pages(spark):
     long = " ".join(f"<p>{words(50, i)}</p>" for i in range(400))
     data = [(1, "u", f"<article>{long}</article>", "t"), (2, None, None, "t"), (2, "v", "<p>x</p>", "t")]
