@@ -146,6 +146,22 @@ def test_passage_with_gap_is_fuzzy(spark):
     assert len(found) == 1 and 0.8 <= found[0]["identity"] < 1 and found[0]["end"] - found[0]["begin"] > 100
 
 
+def test_passage_of_texts_whose_parts_stand_in_others(spark):
+    """Two texts share 60 words; fragments of them stand in two others (few holders) or in sixty (many)."""
+    cases = []
+    for others in (2, 60):
+        for seed in range(12):
+            own = 1_000_000 * others + 10_000 * seed
+            base = words(60, own).split()
+            texts = [words(30, own + 1) + " " + " ".join(base) + " " + words(30, own + 2), words(20, own + 3) + " " + " ".join(base)]
+            texts += [words(25, own + 10 * i) + " " + " ".join(base[:34] if i % 2 else base[26:]) + " " + words(25, own + 10 * i + 1) for i in range(1, others + 1)]
+            cases.append(texts)
+    texts = [(1_000 * k + i, t) for k, case in enumerate(cases) for i, t in enumerate(case)]
+    found = passages.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    linked = {frozenset((r["doc_id"], r["class_id"])) for r in found}
+    assert [k for k in range(len(cases)) if frozenset((1_000 * k, 1_000 * k + 1)) not in linked] == []
+
+
 # SimHash
 
 
