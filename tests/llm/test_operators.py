@@ -162,6 +162,32 @@ def test_passage_of_texts_whose_parts_stand_in_others(spark):
     assert [k for k in range(len(cases)) if frozenset((1_000 * k, 1_000 * k + 1)) not in linked] == []
 
 
+def test_passage_next_to_what_agrees_less_is_kept():
+    r = np.random.default_rng(8)
+    exact, other, end = r.integers(0, 2**32, 52), r.integers(0, 2**32, (2, 20)), r.integers(0, 2**32, 6)
+    a, b = (np.concatenate((exact, other[i], end)) for i in (0, 1))
+    assert passages.align(a, b, [0, 20, 47, 72], [0, 20, 47, 72]) == [(0, 52, 0, 52, 3, 1.0)]
+    # An inserted word shifts what follows; 200 equal words stand before 200 of which some 55 in 100 agree, in short runs.
+    a = r.integers(0, 2**32, 400)
+    b = a.copy()
+    at = np.flatnonzero(np.arange(200) % 11 >= 6) + 200
+    b[at] = r.integers(0, 2**32, len(at))
+    b = np.insert(b, 100, 7)
+    places = [0, 50, 120, *range(198, 396, 11)]
+    found = passages.align(a, b, places, [x + (x > 100) for x in places])
+    assert found[0][:4] == (0, 206, 0, 207) and found[0][5] > 0.99 and all(f[5] >= 0.8 for f in found)
+    # Against all ranges.
+    for _ in range(30):
+        agreed = (r.random(90) < 0.75).astype(np.int64)
+        score = 1000 * agreed - 800
+        sums = np.concatenate(([0], np.cumsum(score)))
+        longest = max(j - i for i in range(91) for j in range(i, 91) if sums[j] >= sums[i])
+        i, j = passages._longest(score)
+        assert j - i == longest and sums[j] >= sums[i]
+        parts = passages._parts(np.ones(90, dtype=np.int64), agreed, np.arange(91), np.arange(91), 20, 0.8)
+        assert bool(parts) == (longest >= 20) and all(q - p >= 20 and sums[q] >= sums[p] for p, q in parts)
+
+
 # SimHash
 
 
