@@ -211,9 +211,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; one of several rows with this id. Rows without a doc_id go."""
-    found = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns)
+    """One document of each group: the one with the smallest doc_id (rows without one come last), of several with this id
+    the one with the smallest hash of its text; one of several rows with this id and text."""
+    names = documents.columns
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    # The rows' own columns are set aside, so that none clashes with the key.
+    held = documents.select(key.alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    keyed = documents.select(key.alias("doc_id"), "text")
+    found = near_duplicates(keyed).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = held.join(found, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select([F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def brute_force(documents: list[tuple]) -> dict:

@@ -237,6 +237,13 @@ def test_near_duplicates_stage(documents):
     assert sorted(ids) == sorted(want) and kept.columns == documents.columns
 
 
+def test_near_duplicates_stage_keeps_rows_by_id_and_text(spark):
+    one, two, three = (words(80, 600 + i) for i in range(3))
+    texts = [(None, one), (None, one), (None, two), (1, two), (5, three), (5, words(80, 610))]
+    kept = simhash.keep_first(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, one), (1, two), (5, three), (5, texts[-1][1])])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges, "a", "b").collect()}
