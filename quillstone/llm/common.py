@@ -1,46 +1,19 @@
-"""Shared by the operators: table access, durable intermediate tables, Arrow helpers."""
+"""Shared by the operators: table access, durable intermediate tables, Arrow helpers.
+
+Where an operator adds columns to a table, they come last, and columns of the same names give way (with_fields).
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillstone.tables import discard, durable, shared_dir, table
 
-_own: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if not found:
-        found = _own["dir"] = tempfile.mkdtemp(prefix="checkpoint-")
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Removes a table of durable()'s that nothing reads any more."""
-    spark, files = table.sparkSession, table.inputFiles()
-    if files:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["discard", "durable", "extended", "shared_dir", "slices", "small_batches", "table", "text_sizes", "utf8", "with_fields"]
 
 
 def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:

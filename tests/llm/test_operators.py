@@ -162,6 +162,68 @@ def test_passage_of_texts_whose_parts_stand_in_others(spark):
     assert [k for k in range(len(cases)) if frozenset((1_000 * k, 1_000 * k + 1)) not in linked] == []
 
 
+def test_passage_under_very_many_fragments(spark):
+    """Two texts share 100 words; 640 others hold fifteen of them each."""
+    base = words(100, 71).split()
+    texts = [words(40, 72) + " " + " ".join(base), " ".join(base) + " " + words(40, 73)]
+    texts += [words(20, 2_000 + i) + " " + " ".join(base[i % 85 : i % 85 + 15]) + " " + words(20, 5_000 + i) for i in range(640)]
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [{r["doc_id"], r["class_id"]} for r in found] == [{0, 1}] and found[0]["end"] - found[0]["begin"] == 100
+
+
+def test_passages_against_all_pairs(spark):
+    """Texts made of passages of 60 words and of fragments: all that share 50 words in a row are connected by rows of
+    overlapping ranges, and every row holds what it says."""
+    r = random.Random(9)
+    pool = [words(60, 300 + i).split() for i in range(12)]
+    texts = []
+    for i in range(90):
+        text = words(r.randint(3, 25), 7_000 + i).split()
+        for _ in range(r.randint(1, 3)):
+            passage = r.choice(pool[: 3 if i % 2 else 12])
+            start, size = (0, 60) if r.random() < 0.5 else (r.randint(0, 40), 20)
+            text += passage[start : start + size] + words(r.randint(1, 9), r.randint(10**5, 10**6)).split()
+        texts.append(text)
+    found = passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for f in found:
+        a, b = texts[f["class_id"]][f["class_begin"] : f["class_end"]], texts[f["doc_id"]][f["begin"] : f["end"]]
+        assert f["identity"] >= 0.8 and min(len(a), len(b)) >= 50
+        assert passages._common(np.array([hash(w) for w in a]), np.array([hash(w) for w in b])) >= 0.8 * min(len(a), len(b)) - 1
+    holders: dict[tuple, list] = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 49):
+            holders.setdefault(tuple(t[at : at + 50]), []).append((i, at))
+    ranges = [((f["class_id"], f["class_begin"], f["class_end"]), (f["doc_id"], f["begin"], f["end"])) for f in found]
+    for held in holders.values():
+        if len({i for i, _ in held}) < 2:
+            continue
+        reached, open_ = {held[0][0]}, [held[0][0]]
+        where = {i: [at + 25 for j, at in held if j == i] for i, _ in held}
+        while open_:  # along rows that hold the middle of the 50 words on either side
+            i = open_.pop()
+            for side in ranges:
+                for (p, p0, p1), (q, q0, q1) in (side, side[::-1]):
+                    if p == i and q in where and q not in reached and any(p0 <= x < p1 for x in where[i]) and any(q0 <= x < q1 for x in where[q]):
+                        reached.add(q)
+                        open_.append(q)
+        assert reached == set(where)
+
+
+def test_seeds_of_short_and_repeated_texts():
+    import pyarrow as pa
+
+    texts = ["", None, "a b c d", "a b c d e", " A b c d e ", words(7, 5), words(300, 6), "ab " * 50, words(12, 7)]
+    of, at, h = passages.seeds_of(pa.array(texts, pa.string()))
+    assert not set(of.tolist()) & {0, 1, 2} and set(of.tolist()) == {3, 4, 5, 6, 7, 8}
+    assert h[of == 3].tolist() == h[of == 4].tolist()
+    for i in (5, 6, 8):  # each text by itself, window by window
+        _, _, own = passages.seeds_of(pa.array([texts[i]], pa.string()))
+        assert own.tolist() == h[of == i].tolist()
+        places = set(at[of == i].tolist())
+        n = len(texts[i].split()) - 4
+        assert all(places & set(range(j, min(j + 8, n))) for j in range(max(1, n - 7)))
+
+
 def test_passage_next_to_what_agrees_less_is_kept():
     r = np.random.default_rng(8)
     exact, other, end = r.integers(0, 2**32, 52), r.integers(0, 2**32, (2, 20)), r.integers(0, 2**32, 6)
