@@ -194,7 +194,7 @@ def test_passages_against_all_pairs(spark):
         for at in range(len(t) - 49):
             holders.setdefault(tuple(t[at : at + 50]), []).append((i, at))
     ranges = [((f["class_id"], f["class_begin"], f["class_end"]), (f["doc_id"], f["begin"], f["end"])) for f in found]
-    for held in holders.values():
+    for held in [holders.get(tuple(x[at : at + 50]), ()) for x in pool for at in range(11)]:
         if len({i for i, _ in held}) < 2:
             continue
         reached, open_ = {held[0][0]}, [held[0][0]]
