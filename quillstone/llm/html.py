@@ -1,17 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of a page. A line's text
-counts unless it belongs to a container that isn't the article's (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, by element, role
-or class), lies outside the page's article element where it has one, or, where
-it has none, is a menu's: in a list and more than half links, or nothing but
-several links outside a paragraph or heading. Over the lines slides a window of ``WINDOW`` lines whose text
-lengths are summed; where the sum leaves zero the text surges, where it falls
-back to zero it dives. Text between a surge and its dive is kept.
+Markup is stripped into lines, one for each block of a page; containers that
+can't be the article's (menus, headers, footers, sidebars, notices, adverts,
+forms, comments, by element, role or class) are stripped with it, and where a
+page marks its article, so is what lies outside. Each line left has a weight:
+its length; less (``GENERIC``) where no paragraph, heading or list item holds it,
+nothing where it is a menu's by its links (in a list and more than half links,
+or nothing but several links outside a paragraph or heading), and at least
+``FLOOR`` in a paragraph or heading. Being inside a marked article is a prior: it
+lifts a line to a window's share of the threshold, or to what little weight is. Over the lines slides a
+window of ``WINDOW`` lines whose weights are summed. The text surges at a line of
+some weight where the window from there on reaches the threshold (``SURGE``, or
+``SHARE`` of the page's largest window where that is less), and dives at a line of
+little weight where the window no longer does; lines between are kept, but for
+menus.
 
 Defined cases: null, empty and malformed pages give what text can be read,
 an empty text if there is none; unclosed elements end with what holds them, and
-self-closed pictures, frames, objects and formulas with their own tag.
+self-closed pictures, frames, objects and formulas with their own tag; of lines
+that weigh the same none goes before another; repeated rows are extracted each;
+an empty table gives one; columns named text or n_chars give way to the
+result's; pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,8 +35,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Lines of a window.
-WINDOW = 3
+#: Lines of a window, and the weight that a window needs, or its share of the largest if that is less.
+WINDOW, SURGE, SHARE = 3, 80, 0.3
+#: Least weight of a line of prose, and what a character weighs outside prose.
+FLOOR, GENERIC = 20, 0.3
 _BATCH_BYTES = 4_000_000
 
 _TOKEN = re.compile(
@@ -55,6 +66,7 @@ _OUTSIDE_WORDS = frozenset(
 )
 _LISTS = frozenset("ul ol li dl dt dd".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
+_TEXTUAL = _PROSE | _LISTS - {"ul", "ol", "dl"} | {"pre", "td", "th", "caption", "figcaption"}
 _COMMENTS = frozenset("comment comments replies disqus respond".split())
 
 
@@ -84,12 +96,13 @@ def _kind(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 class Line:
-    """A block's text, whether it is a menu's by its links, whether it is set aside, and whether it lies in an article."""
+    """A block's text, whether it is a menu's by its links, whether it is set aside, whether it lies in an article, and
+    whether a paragraph, heading, item or cell holds it."""
 
-    __slots__ = ("article", "aside", "menu", "text")
+    __slots__ = ("article", "aside", "menu", "prose", "text")
 
-    def __init__(self, text: str, menu: bool, aside: bool, article: bool):
-        self.text, self.menu, self.aside, self.article = text, menu, aside, article
+    def __init__(self, text: str, menu: bool, aside: bool, article: bool, prose: bool = True):
+        self.text, self.menu, self.aside, self.article, self.prose = text, menu, aside, article, prose
 
 
 def lines_of(page: str) -> list[Line]:
@@ -108,7 +121,7 @@ def lines_of(page: str) -> list[Line]:
                     menu = 2 * sum(len(p.strip()) for p, l in pieces if l) > len(text)
                 else:
                     menu = not names & _PROSE and anchors > 1 and not any(c.isalnum() for p, l in pieces if not l for c in html.unescape(p))
-                lines.append(Line(text, menu, aside > 0, articles > 0))
+                lines.append(Line(text, menu, aside > 0, articles > 0, bool(names & _TEXTUAL)))
             pieces.clear()
         anchors = links
 
@@ -175,27 +188,44 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch of lines: from the first line with text to the last before the window's sum is zero again."""
-    found, start, last, total = [], None, 0, 0
-    for i, n in enumerate(lengths):
-        total += n - (lengths[i - window] if i >= window else 0)
-        if n:
-            start, last = i if start is None else start, i
-        elif start is not None and total == 0:
-            found.append((start, last + 1))
+def sums(weights: list[float], window: int = WINDOW) -> list[float]:
+    """The weight of the window that begins at each line."""
+    total, out = 0.0, [0.0] * len(weights)
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        out[i] = total
+    return out
+
+
+def weighed(lines: list[Line], window: int = WINDOW) -> tuple[list[float], float]:
+    """The lines' weights, and the threshold of a window."""
+    own = [len(x.text) if x.article else 0 if x.menu else max(len(x.text), FLOOR) if x.prose else GENERIC * len(x.text) for x in lines]
+    least = min(SURGE, SHARE * max(sums(own, window), default=0))
+    lifted = max(least / WINDOW, min(FLOOR, least))
+    return [max(w, lifted) if x.article else w for w, x in zip(own, lines, strict=True)], least
+
+
+def stretches(weights: list[float], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) of each stretch of text."""
+    ahead, some, found, start = sums(weights, window), min(FLOOR, least), [], None
+    for i, w in enumerate(weights):
+        reached = ahead[i] >= least - 1e-9
+        if start is None and reached and w >= some - 1e-9 and w > 0:
+            start = i
+        elif start is not None and not reached and w < some - 1e-9:
+            found.append((start, i))
             start = None
     if start is not None:
-        found.append((start, last + 1))
+        found.append((start, len(weights)))
     return found
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
-    lines = lines_of(page) if page else []
-    marked = any(x.article and not x.aside for x in lines)
-    # In an article a line of links is part of the text.
-    counts = [0 if x.aside or (not x.article if marked else x.menu) else len(x.text) for x in lines]
-    return " ".join(lines[i].text for a, b in stretches(counts, window) for i in range(a, b) if counts[i])
+    lines = [x for x in lines_of(page) if not x.aside] if page else []
+    if any(x.article for x in lines):
+        lines = [x for x in lines if x.article]
+    weights, least = weighed(lines, window)
+    return " ".join(lines[i].text for a, b in stretches(weights, least, window) for i in range(a, b) if weights[i])
 
 
 def extract(pages: DataFrame, *, source: str = "html") -> DataFrame:

@@ -392,6 +392,57 @@ def test_short_text_apart_from_a_long_one_is_kept():
     assert html.main_text("<body><div><a href=x>Home</a> | <a href=y>News</a></div><p>Text.</p></body>") == "Text."
 
 
+def plain_main_text(page, window=3):
+    """The surge and dive rule by plain loops over all windows."""
+    lines = [x for x in html.lines_of(page or "") if not x.aside]
+    if [x for x in lines if x.article]:
+        lines = [x for x in lines if x.article]
+
+    def weight(x):
+        if x.article:
+            return float(len(x.text))
+        return 0.0 if x.menu else float(max(20, len(x.text))) if x.prose else 0.3 * len(x.text)
+
+    w = [weight(x) for x in lines]
+    biggest = max([sum(w[i : i + window]) for i in range(len(w))], default=0)
+    need = min(80, 0.3 * biggest)
+    w = [max(v, need / 3, min(20, need)) if x.article else v for v, x in zip(w, lines, strict=True)]
+    kept, inside = [], False
+    for i, v in enumerate(w):
+        enough, some = sum(w[i : i + window]) >= need - 1e-9, v >= min(20, need) - 1e-9
+        inside = (inside or (enough and some and v > 0)) and (enough or some)
+        if inside and v:
+            kept.append(lines[i].text)
+    return " ".join(kept)
+
+
+def test_main_text_against_plain_loops():
+    r = random.Random(12)
+    for n in range(200):
+        article = n % 3 == 0
+        parts = []
+        for _ in range(r.randint(0, 14)):
+            text = words(r.choice((1, 1, 3, 10, 40)), r.randint(0, 10**6))
+            parts.append(r.choice((f"<p>{text}</p>", f"<div>{text}</div>", f"<div><a href=x>{text}</a> <a href=y>More</a></div>", f"<ul><li><a href=x>{text}</a></ul>", f"<h2>{text}</h2>", f"<nav>{text}</nav>", text + "<hr>")))
+        page = "<body>" + ("<article>" + "".join(parts) + "</article><div>Outside of it</div>" if article else "".join(parts))
+        assert html.main_text(page) == plain_main_text(page)
+        if article:
+            assert html.main_text(page) == " ".join(x.text for x in html.lines_of(page) if x.article and not x.aside)
+
+
+def test_pages_without_any_marks():
+    """No article, class, id or role: the distribution alone finds the text, and it needs its window."""
+    r, dropped = random.Random(13), 0
+    for n in range(60):
+        menu = "".join(f"<div><a href=/{i}>{words(1, 50 * n + i)}</a></div>" for i in range(6))
+        paragraphs = [words(r.choice((2, 12, 60)), 9_000 + 20 * n + i) for i in range(8)] + [words(60, 8_000 + n), words(2, 4_000 + n)]
+        title = words(4, 6_000 + n)
+        page = f"<html><body><div>{menu}</div><div>Buy {words(3, n)}</div><div><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</div><div>(c) {words(4, 70 + n)}</div>{menu}</body></html>"
+        assert html.main_text(page) == " ".join([title, *paragraphs])
+        dropped += html.main_text(page, window=1) != html.main_text(page)
+    assert dropped > 30
+
+
 def test_pages(spark):
     long = " ".join(f"<p>{words(50, i)}</p>" for i in range(400))
     data = [(1, "u", f"<article>{long}</article>", "t"), (2, None, None, "t"), (2, "v", "<p>x</p>", "t")]
