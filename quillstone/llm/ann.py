@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by largest inner product, with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``SAMPLE_ROWS``) and has about
-4 n^(1/3) leaves, at most ``MOST_LEAVES``, so its broadcast is bounded; every
+The tree is fitted on a bounded sample (``SAMPLE_ROWS``) and has about twice as
+many leaves as the square root of the rows, at most ``MOST_LEAVES``, so its
+broadcast is bounded; every
 row is indexed in the leaf that descending by nearest centre leads to. A query
 opens leaves best bin first: a priority queue holds the tree's open branches by
 the largest inner product expected below them. How many leaves are opened is
 calibrated: for a bounded sample of queries the true neighbours are found by
 brute force over all rows, and visits are widened until they hold the wanted
-share of those neighbours.
+share of those neighbours. A query whose leaves hold too few rows for its answer
+opens more until they don't.
 
 Rows and queries of a leaf meet in a grid of chunks, sized by counts, so that a
 crowded leaf is many tasks of bounded memory. Of rows with equal vectors only
@@ -16,7 +18,9 @@ aside beforehand, so a vector that very many rows share costs a few.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, as candidates or as queries; a row
-with the query's id is its own; repeated rows count once; ties go to smaller ids.
+with the query's id is its own; repeated rows count once; ties go to smaller ids;
+an empty table, or none asked, gives no rows; only the id and the vector are
+read, so that further columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from . import common
 
 SAMPLE_ROWS, MOST_LEAVES, BRANCHES = 16_384, 4_096, 8
 #: Queries whose neighbours calibrate the visits, and the share of neighbours wanted.
-CALIBRATION_QUERIES, RECALL = 200, 0.97
+CALIBRATION_QUERIES, RECALL = 200, 0.95
 CHUNK_ROWS, CHUNK_QUERIES = 20_000, 4_000
 #: How much of a branch's spread is added to its centre's inner product; calibration chooses.
 SPREADS = (0.0, 0.3, 0.6)
@@ -102,19 +106,21 @@ class Tree:
             todo += [(below[c], index[of == c]) for c in np.unique(of).tolist()]
         return out
 
-    def visits(self, queries: np.ndarray, most: int, spread: float) -> list[list[int]]:
-        """The first leaves that best-bin-first traversal opens for each query."""
+    def visits(self, queries: np.ndarray, most: int, spread: float, rows: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The first leaves that best-bin-first traversal opens for each query: so many, and more until they hold at least
+        so many rows (rows: of each leaf)."""
         hopes = queries @ self.centers_.T + spread * np.sqrt((queries**2).sum(axis=1))[:, None] * self.spreads_[None]
         out = []
         for hope in hopes.tolist():
-            heap, found = [(-hope[0], 0)], []
-            while heap and len(found) < most:
+            heap, found, held = [(-hope[0], 0)], [], least if rows is None else 0
+            while heap and (len(found) < most or held < least):
                 _, node = heapq.heappop(heap)
                 if self.children[node]:
                     for child in self.children[node]:
                         heapq.heappush(heap, (-hope[child], child))
                 else:
                     found.append(self.leaf_of[node])
+                    held += 0 if rows is None else int(rows[self.leaf_of[node]])
             out.append(found)
         return out
 
@@ -179,7 +185,7 @@ def search(
     sample = _share(rows, sample_rows, n, 1).select("v").limit(2 * sample_rows).toArrow()
     if not sample.num_rows:
         sample = rows.select("v").limit(1).toArrow()
-    tree = Tree(_matrix(sample.column("v")), min(MOST_LEAVES, max(1, round(4 * n ** (1 / 3))), sample.num_rows))
+    tree = Tree(_matrix(sample.column("v")), min(MOST_LEAVES, max(1, round(2 * n**0.5)), sample.num_rows))
     held = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,16 +195,17 @@ def search(
 
     indexed = common.durable(rows.mapInArrow(assign, "id long, v binary, leaf int"))
     most, spread = _calibrated(indexed, asked, n_asked, tree, k, recall)
+    # Sizes of leaves are bounded in number, and so are these collected counts.
+    crowd = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    sizes = np.array([crowd.get(leaf, 0) for leaf in range(tree.leaves)], dtype=np.int64)
 
     def open_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1_000):
                 part = batch.slice(i, 1_000)
-                yield common.extended(part, leaves=pa.array(held.value.visits(_matrix(part.column(1)), most, spread), pa.list_(pa.int32())))
+                yield common.extended(part, leaves=pa.array(held.value.visits(_matrix(part.column(1)), most, spread, sizes, k + 1), pa.list_(pa.int32())))
 
     visits = asked.mapInArrow(open_leaves, "id long, v binary, leaves array<int>").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
-    # Sizes of leaves are bounded in number, and so are these collected counts.
-    crowd = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     asking = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
     grid = {leaf: (-(-c // chunk_rows), -(-asking.get(leaf, 0) // chunk_queries)) for leaf, c in crowd.items() if asking.get(leaf)}
     of_rows = F.create_map(*[F.lit(x) for leaf, (a, _) in grid.items() for x in (leaf, a)])

@@ -6,15 +6,18 @@ each codeword, the classifiers' losses (weighted by how reliable each was in
 training) and chooses the codeword of least loss; a text whose two best
 codewords are close is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample: about ``rows_per_label``
-labelled training documents of each language, chosen by a hash of doc_id. Of
-more than ``most_labels`` languages the most frequent are learned. Everything
-else covers all documents and whole texts.
+The classifiers are fitted on a bounded sample of labelled training documents,
+chosen by a hash of doc_id and text: about ``ROWS_PER_LABEL`` of each language, and
+about ``SAMPLE_ROWS`` of all languages together, but one at least of each. All
+languages are learned. Features are made where the documents are; only the
+sample's travel, as bytes. Everything else covers all documents and whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 without any labelled document all texts are ``und``; with one language every
-text with a letter is that language. Null lang isn't learned from; repeated
-rows count each.
+text with a letter is that language; of codewords that fit alike the one of the
+language that sorts first is chosen. Null lang isn't learned from; repeated rows
+count each; an empty table gives one; lang_pred, score and ambiguous come last,
+and columns of the same names give way; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from . import common
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 13
-ROWS_PER_LABEL, MOST_LABELS = 400, 500
+ROWS_PER_LABEL, SAMPLE_ROWS = 400, 8_000
 #: A text is ambiguous where its best codeword leads the next by less than this share of the loss.
 MARGIN = 0.1
 _BATCH_BYTES = 2_000_000
@@ -107,26 +110,36 @@ class Model:
         return first, 1 / share.sum(axis=1), (second - least) < MARGIN * second
 
 
-def _sample(documents: DataFrame, rows_per_label: int, most_labels: int) -> tuple[list[str], list, np.ndarray]:
-    """Labels, and a bounded number of texts with their labels' numbers."""
-    counts = documents.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (lang, text): languages and features, as 32-bit floats in bytes."""
+    for batch in common.small_batches(batches, "text", _BATCH_BYTES):
+        rows = [features(t).tobytes() for t in common.utf8(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "features"])
+
+
+def _sample(documents: DataFrame, rows_per_label: int, sample_rows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All labels, and a bounded number of rows of features with their labels' numbers."""
+    labelled = documents.where("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64(F.lit(8), "doc_id", "text")).alias("least")).collect()
     labels = sorted(r["lang"] for r in counts)
+    none = np.zeros((0, BUCKETS), dtype=np.float32)
     if not labels:
-        return [], [], np.zeros(0, dtype=np.int64)
-    # A row is drawn if the hash of its doc_id falls below its language's share.
-    draw = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30))
-    shares = {r["lang"]: int(min(1.0, rows_per_label / r["count"]) * (1 << 30)) for r in counts}
-    below = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
-    drawn = documents.where("text is not null").where(draw < below).select("lang", F.encode("text", "UTF-8")).limit(2 * rows_per_label * len(labels)).collect()
+        return [], none, np.zeros(0, dtype=np.int64)
+    # A row is drawn if its hash falls below its language's share; the least one always is.
+    wanted = min(rows_per_label, max(1, sample_rows // len(labels)))
+    below = documents.sparkSession.createDataFrame(
+        [(r["lang"], max(r["least"], min(2**63 - 1, int(-(2**63) + min(1.0, wanted / r["n"]) * 2**64)))) for r in counts], "lang string, below long"
+    )
+    drawn = labelled.select("lang", "text", F.xxhash64(F.lit(8), "doc_id", "text").alias("h")).join(F.broadcast(below), "lang").where("h <= below").select("lang", "text")
+    made = drawn.mapInArrow(_featured, "lang string, features binary").limit(2 * wanted * len(labels) + len(labels)).toArrow()
     number = {x: i for i, x in enumerate(labels)}
-    return labels, [bytes(r[1]) for r in drawn], np.array([number[r[0]] for r in drawn], dtype=np.int64)
+    rows = np.frombuffer(b"".join(made.column("features").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS) if made.num_rows else none
+    return labels, rows, np.array([number[x] for x in made.column("lang").to_pylist()], dtype=np.int64)
 
 
-def fit(documents: DataFrame, *, rows_per_label: int = ROWS_PER_LABEL, most_labels: int = MOST_LABELS) -> Model:
+def fit(documents: DataFrame, *, rows_per_label: int = ROWS_PER_LABEL, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of documents (doc_id, text, lang)."""
-    labels, texts, of = _sample(documents, rows_per_label, most_labels)
-    rows = np.array([features(t) for t in texts], dtype=np.float32).reshape(len(texts), BUCKETS)
-    return Model(labels, rows, of)
+    return Model(*_sample(documents, rows_per_label, sample_rows))
 
 
 def identify(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -11,12 +11,15 @@ the nodes are linked by a search that compares each reached node only with
 those not yet reached and reports one link per node, so a group of copies costs
 about its size, and no group is expanded into pairs. Groups of more than
 ``group_rows`` nodes are split into chunks, and every two chunks meet in a task
-of their own: the same links, with bounded memory.
+of their own: the same links, with bounded memory. A masked segment has some 2^20
+values, so a variant's group, and with it what one fingerprint is compared with,
+grows with the distinct fingerprints over 2^20.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link
 like any other; fewer than four words are one shingle; repeated rows share a
 fingerprint; a null doc_id takes part but is never a component_id unless a
-component has no other.
+component has no other; an empty table gives one; only doc_id and text are read,
+so that further columns clash with nothing; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -198,11 +201,12 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     marked = common.durable(fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
     nodes = common.durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = graph.components(links(nodes, group_rows), "a", "b")
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Only the few linked fingerprints need the smallest document of their component.
-    linked = joined.where("root is not null")
+    # Only the linked fingerprints (roots are linked too) need the smallest document of their component.
+    ends = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = nodes.join(ends, nodes.fp == ends.node).select("fp", "least", "root")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "root").select("fp", "component_id")
+    found = linked.join(smallest, "root").select("fp", F.col("component_id").alias("linked"))
+    named = nodes.join(found, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -83,6 +83,15 @@ def test_neighbours_few_and_none(spark):
     assert ann.search(few.limit(0), few, 3).collect() == [] and ann.search(few, few.limit(0), 3).collect() == []
 
 
+def test_neighbours_widen_until_there_are_enough(spark):
+    """Far clusters of few rows each: a query's own leaves hold fewer rows than it asks for."""
+    r = np.random.default_rng(6)
+    rows = [(20 * i + j, [float(x) for x in r.normal(size=8) * 0.01 + np.eye(8)[i % 8] * (1 + i)]) for i in range(30) for j in range(4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(frame, frame.where("vec_id % 20 = 0"), 20, recall=0.01)
+    assert {r["query_id"]: r["n"] for r in got.groupBy("query_id").count().withColumnRenamed("count", "n").collect()} == {20 * i: 20 for i in range(30)}
+
+
 def test_neighbours_in_chunks(spark):
     r = np.random.default_rng(2)
     data = [(i, [float(x) for x in r.normal(size=4)]) for i in range(300)]
@@ -575,6 +584,19 @@ def test_languages_without_labels(spark, nothing):
     assert langid.identify(nothing, langid.fit(nothing)).collect() == []
 
 
+def test_languages_without_a_cap_ties_and_long_texts(spark):
+    many = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i % 600:03d}", "s", 1, 1, "f", "i") for i in range(1200)]
+    frame = spark.createDataFrame([(*r,) for r in many], SCHEMA)
+    model = langid.fit(frame, sample_rows=1000)
+    assert len(model.labels) == 600 and model.code.shape[0] == 600
+    # Of languages whose texts are the same, the one that sorts first.
+    same = spark.createDataFrame(rows(enumerate(words(30, i) for i in range(8))), SCHEMA).replace("xx", "aa", "lang")
+    two = same.unionByName(same.replace("aa", "bb", "lang"))
+    long = spark.createDataFrame(rows(enumerate((words(60_000, 3), words(30, 2)))), SCHEMA)
+    got = langid.identify(long, langid.fit(two)).collect()
+    assert [r["lang_pred"] in ("aa", "bb") for r in got] == [True, True] and all(r["ambiguous"] for r in got)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20, 60])
 def test_codewords_stand_apart(n):
     code = langid.codewords(n)
