@@ -90,7 +90,7 @@ class Model:
                 pull = share * wanted / (1 + np.exp(np.clip(margin, -30, 30)))
                 speed_w = 0.9 * speed_w + rows.T @ pull - 1e-6 * self.weights
                 speed_b = 0.9 * speed_b + pull.sum(axis=0)
-                self.weights += 20.0 * speed_w
+                self.weights += 10.0 * speed_w
                 self.bias += 2.0 * speed_b
             margin = wanted * (rows @ self.weights + self.bias)
             self.trust = np.maximum(0.05, 1 - 2 * (share * (margin <= 0)).sum(axis=0)).astype(np.float32)
