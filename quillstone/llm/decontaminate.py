@@ -313,7 +313,8 @@ def mark(documents: DataFrame, items: DataFrame, *, text: str = "text", segments
     segments = index(documents, text) if segments is None else segments
     lengths = segments.select(F.explode(F.arrays_zip("cids", "lengths")).alias("x")).groupBy(F.col("x.cids").alias("cid")).agg(F.first("x.lengths").cast("long").alias("n_words"))
     added = ["n_words", "n_hit", "hit_spans", "items", "near_items"]
-    told = lengths.join(matches(segments, items, **options), "cid", "left").select(F.col("cid").alias("_cid"), F.struct(*added).alias("_told"))
+    # A table of its own, so that the join's sides are plain shuffles and a text that very many documents have can be split.
+    told = common.durable(lengths.join(matches(segments, items, **options), "cid", "left").select(F.col("cid").alias("_cid"), F.struct(*added).alias("_told")))
     held = documents.withColumn("_cid", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
     zero, none = F.lit(0).cast("long"), lambda t: F.array().cast(t)
     defaults = {"n_words": zero, "n_hit": zero, "hit_spans": none(_SPANS), "items": none("array<string>"), "near_items": none("array<string>")}
@@ -365,7 +366,7 @@ def keep_clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
     segments = index(documents)
     lengths = segments.select(F.explode(F.arrays_zip("cids", "lengths")).alias("x")).select(F.col("x.cids").alias("cid"), F.col("x.lengths").alias("n_words"))
-    gone = matches(segments, items).where("n_hit > 0").join(lengths, "cid").where(F.expr(CONTAMINATED)).select(F.col("cid").alias("_cid")).distinct()
+    gone = common.durable(matches(segments, items).where("n_hit > 0").join(lengths, "cid").where(F.expr(CONTAMINATED)).select(F.col("cid").alias("_cid")).distinct())
     return documents.withColumn("_cid", F.xxhash64("text")).join(gone, "_cid", "left_anti").select([F.col(f"`{c}`") for c in documents.columns])
 
 
