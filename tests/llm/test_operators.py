@@ -444,7 +444,7 @@ def test_pages_without_any_marks():
     r, dropped = random.Random(13), 0
     for n in range(60):
         menu = "".join(f"<div><a href=/{i}>{words(1, 50 * n + i)}</a></div>" for i in range(6))
-        paragraphs = [words(r.choice((2, 12, 60)), 9_000 + 20 * n + i) for i in range(8)] + [words(60, 8_000 + n), words(2, 4_000 + n)]
+        paragraphs = [words(30, 5_000 + n)] + [words(r.choice((2, 12, 60)), 9_000 + 20 * n + i) for i in range(8)] + [words(60, 8_000 + n), words(2, 4_000 + n)]
         title = words(4, 6_000 + n)
         page = f"<html><body><div>{menu}</div><div>Buy {words(3, n)}</div><div><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</div><div>(c) {words(4, 70 + n)}</div>{menu}</body></html>"
         assert html.main_text(page) == " ".join([title, *paragraphs])
