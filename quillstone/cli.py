@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars as S
-from quillstone.operators import code, commits, search, sessions
+from quillstone.operators import code, commits, graph, search, sessions
 from quillstone.session import builder
 from quillstone.sources import readers
-from quillstone.store import Engine
+from quillstone.store import LEDGERS, TABLES, Engine
+from quillstone.tables import durable
 
-_SHOWN = ("id", "title", "description", "project", "tags", "score", "usage_count", "last_used", "days_stale", "leader", "member", "similarity", "action", "version_number", "created_at", "change_summary", "name", "member_count", "other_id", "relationship_type", "direction")
+_SHOWN = ("id", "title", "description", "project", "tags", "score", "usage_count", "last_used", "days_stale", "leader", "member", "similarity", "action", "version_number", "created_at", "change_summary", "name", "member_count", "level", "parent", "circular", "session_id", "commit_sha", "file_path", "processed_at", "entries_created", "other_id", "relationship_type", "direction")
 
 
 def shown(df: DataFrame, form: str) -> str:
-    """Rows for a terminal: a line each, JSON, or Markdown."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+    """Rows for a terminal, one after the other from the cluster: a line each, JSON, or Markdown."""
+    rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
     if form == "json":
         return json.dumps(rows, indent=2, default=str)
     if form == "markdown":
@@ -68,31 +69,44 @@ def parser() -> argparse.ArgumentParser:
     add("update", "id", title=None, description=None, content=None, tags=None, context=None, project=None, confidence=None)
     add("stats")
     add("export", "path", project=None)
-    add("import", "path")
+    add("import", "path", no_skip_duplicates=True)
     add("purge", project=None)
-    add("sync", "path", strategy="last-write-wins", push_only=True, pull_only=True, dry_run=True, project=None)
+    sub_sync = add("sync", strategy="last-write-wins", push_only=True, pull_only=True, dry_run=True, status=True, project=None)
+    sub_sync.add_argument("path", nargs="?")
     add("duplicates", threshold=0.85)
     add("stale", days=90, project=None)
     add("quality", min=None, max=None, project=None)
     add("completions", "column", "prefix")
-    add("summarize", "folder", min_confidence=0.5)
-    add("analyze", "folder", commits=True, code=True, project=None, min_confidence=0.5, since=None)
+    add("summarize", "folder", min_confidence=0.5, since=None, force=True)
+    add("analyze", "folder", commits=True, code=True, project=None, min_confidence=0.5, since=None, force=True)
+    add("processed", "kind")
+    add("tree", "id", depth=graph.DEPTH)
     add("link", "source", "target", type="related")
     add("unlink", "source", "target", type=None)
     add("related", "id", type=None, direction="both")
-    add("collection", "action", "name", entry=None, description="")
+    collection = add("collection", "action", entry=None, description=None, rename=None)
+    collection.add_argument("name", nargs="?")
     add("history", "id")
     add("rollback", "id", "version")
     add("diff", "id", "a", b=None)
     return top
 
 
-def _mine(engine: Engine, made: DataFrame, least: float, project: str | None = None) -> str:
+def _mine(engine: Engine, kind: str, items: DataFrame, extract: Callable[[DataFrame], DataFrame], least: float, force: bool, project: str | None = None) -> str:
+    """Mines the items (the ledger's key, and what extract needs) that the ledger doesn't tell of, and marks them."""
+    key = TABLES[LEDGERS[kind]][0]
+    todo = durable(items if force else engine.pending(kind, items))
+    made = extract(todo)
     kept = made.where(F.col("confidence") >= least)
     columns = ["title", "description", "content", "tags", "confidence"]
-    rows = kept.select(*columns, F.lit(project).alias("project"), F.col("extraction_type").alias("source"), F.array().cast("array<string>").alias("context"))
-    ids = engine.capture_all(rows) if not rows.isEmpty() else []
-    return f"{len(ids)} entries"
+    refs = F.array("session_id") if kind == "sessions" else F.col("source_refs")
+    rows = durable(kept.select(*columns, F.lit(project).alias("project"), F.col("extraction_type").alias("source"), refs.alias("refs"), F.array().cast("array<string>").alias("context")))
+    n = rows.count()
+    if n:
+        engine.capture_all(rows.drop("refs"))
+    which = todo.select(*key, *[c for c in ("content_hash",) if c in todo.columns]).distinct()
+    engine.mark(kind, which, rows.select(F.explode("refs").alias(key[0])).join(which, key[0]))
+    return f"{n} entries"
 
 
 def run(a: argparse.Namespace, engine: Engine) -> str:
@@ -101,22 +115,58 @@ def run(a: argparse.Namespace, engine: Engine) -> str:
     number = lambda x: None if x is None else int(x)
 
     def collection() -> str:
-        found = engine.collections(None).where((F.col("name") == a.name) | (F.col("id") == a.name)).first()
+        if a.action == "list":
+            return show(engine.collections(None))
         if a.action == "create":
-            return engine.create_collection(a.name, a.description)
+            return engine.create_collection(a.name, a.description or "")
+        found = engine.collection(a.name).first()
         if found is None:
             return "not found"
         act: dict[str, Callable[[], str]] = {
             "delete": lambda: said(engine.delete_collection(found["id"])), "show": lambda: show(engine.collection_members(found["id"]).drop("embedding")),
-            "add": lambda: said(engine.add_to_collection(found["id"], a.entry)), "remove": lambda: said(engine.remove_from_collection(found["id"], a.entry)),
+            "update": lambda: said(engine.update_collection(found["id"], a.rename, a.description)), "add": lambda: said(engine.add_to_collection(found["id"], a.entry)), "remove": lambda: said(engine.remove_from_collection(found["id"], a.entry)),
         }
         return act[a.action]()
 
+    def since(text: str | None) -> str | None:
+        """A number of hours or days, or what the filters of lists take."""
+        short = S.since_short(text, datetime.now()) if text else None
+        return short.isoformat() if short else S.since(text, datetime.now())
+
     def analyze() -> str:
+        folder = a.folder.rstrip("/")
         if a.code:
-            return _mine(engine, code.extract(code.parse(readers.source_files(spark, a.folder)), a.project), a.min_confidence, a.project)
-        log = commits.with_diffs(readers.git_log(spark, a.folder, since=S.since(a.since, datetime.now())))
-        return _mine(engine, commits.extract(log), a.min_confidence, a.project)
+            files = readers.source_files(spark, folder).where("content is not null").withColumns({"file_path": F.col("path"), "repo_path": F.lit(folder), "content_hash": S.file_hash(F.col("content"))})
+            return _mine(engine, "files", files, lambda todo: code.extract(code.parse(todo.select("path", "content")), a.project), a.min_confidence, a.force, a.project)
+        log = readers.git_log(spark, folder, since=since(a.since)).withColumns({"commit_sha": F.col("sha"), "repo_path": F.lit(folder)})
+        return _mine(engine, "commits", log, lambda todo: commits.extract(commits.with_diffs(todo.drop("commit_sha", "repo_path"))), a.min_confidence, a.force, a.project)
+
+    def summarize() -> str:
+        messages = durable(readers.sessions(spark, a.folder))
+        ids = messages.groupBy("session_id").agg(F.max("timestamp").alias("latest"))
+        if since(a.since):
+            ids = ids.where(F.col("latest") >= F.lit(since(a.since)).cast("timestamp"))
+        return _mine(engine, "sessions", ids.select("session_id"), lambda todo: sessions.extract(messages.join(todo, "session_id", "left_semi")), a.min_confidence, a.force)
+
+    def exported() -> str:
+        if a.path == "-":
+            return "[" + ",\n".join(text for _, text in readers._documents(chosen(engine.entries()))) + "]"
+        if a.path.endswith(".json"):
+            return f"{readers.write_list(chosen(engine.entries()), a.path)} entries"
+        return engine.export(a.path, a.project) or "done"
+
+    def chosen(entries: DataFrame) -> DataFrame:
+        return search.in_project(entries, a.project).drop("embedding")
+
+    def imported() -> str:
+        skip = not a.no_skip_duplicates
+        found = engine.import_rows(readers.parse_export(spark, sys.stdin.read()), skip) if a.path == "-" else engine.import_from(a.path, skip)
+        return json.dumps(found)
+
+    def synced() -> str:
+        if a.status:
+            return show(engine.sync_status(a.path, a.project))
+        return show(engine.sync(a.path, None, a.strategy, push_only=a.push_only, pull_only=a.pull_only, dry_run=a.dry_run, project=a.project))
 
     table: dict[str, Callable[[], str]] = {
         "capture": lambda: engine.capture(a.title, a.description, a.content, tags=a.tags, context=a.context, project=a.project, confidence=a.confidence),
@@ -126,12 +176,12 @@ def run(a: argparse.Namespace, engine: Engine) -> str:
         "get": lambda: show(engine.get(a.id).drop("embedding")), "delete": lambda: said(engine.delete(a.id)),
         "update": lambda: said(engine.update(a.id, title=a.title, description=a.description, content=a.content, tags=a.tags, context=a.context, project=a.project, confidence=None if a.confidence is None else float(a.confidence))),
         "stats": lambda: "\n".join(f"{k}:\n{show(df)}" for k, df in engine.stats().items()),
-        "export": lambda: engine.export(a.path, a.project) or "done", "import": lambda: json.dumps(engine.import_from(a.path)), "purge": lambda: f"{engine.purge(a.project)} entries",
-        "sync": lambda: show(engine.sync(a.path, None, a.strategy, push_only=a.push_only, pull_only=a.pull_only, dry_run=a.dry_run, project=a.project)),
+        "export": exported, "import": imported, "processed": lambda: show(engine.processed(a.kind)), "tree": lambda: show(engine.dependency_tree(a.id, a.depth)), "purge": lambda: f"{engine.purge(a.project)} entries",
+        "sync": synced,
         "duplicates": lambda: show(engine.duplicates(a.threshold)), "stale": lambda: show(engine.stale(a.days, a.project).drop("embedding")),
         "quality": lambda: show(engine.quality(number(a.min), number(a.max), a.project).drop("embedding")),
         "completions": lambda: show(search.complete(engine.entries(), a.column, a.prefix)),
-        "summarize": lambda: _mine(engine, sessions.extract(readers.sessions(spark, a.folder)), a.min_confidence), "analyze": analyze,
+        "summarize": summarize, "analyze": analyze,
         "link": lambda: said(engine.link(a.source, a.target, a.type)), "unlink": lambda: f"{engine.unlink(a.source, a.target, a.type)} removed",
         "related": lambda: show(engine.related(a.id, a.type, a.direction)), "collection": collection, "history": lambda: show(engine.history(a.id)),
         "rollback": lambda: said(engine.rollback(a.id, int(a.version))), "diff": lambda: show(engine.diff(a.id, int(a.a), number(a.b))),

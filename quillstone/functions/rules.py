@@ -74,14 +74,25 @@ CHANGE_SIGNS = {"added": "+", "deleted": "-", "modified": "M", "renamed": "R"}
 ELEMENT_PREFIXES = {"class": "Class:", "function": "Function:", "method": "Method:"}
 # Architectural patterns by class name, file path and method names.
 PATTERNS = {
-    "repository": ([r"repo(?:sitory)?$", r"_repo$"], [r"repositor", r"_repo\."], ["find", "get", "save", "delete", "create", "update", "all", "by"]),
-    "service": ([r"service$", r"_service$", r"Svc$"], [r"service", r"_svc\."], ["execute", "process", "handle", "perform", "run"]),
-    "factory": ([r"factory$", r"_factory$"], [r"factor"], ["create", "make", "build", "new", "get_instance"]),
-    "singleton": ([r"singleton$"], [r"singleton"], ["instance", "get_instance", "getInstance"]),
-    "controller": ([r"controller$", r"_controller$"], [r"controller"], ["index", "show", "create", "update", "destroy", "get", "post"]),
+    "repository": ([r"repo(?:sitory)?$", r"_repo$", r"Repo(?:sitory)?$"], [r"repositor", r"_repo\."], ["find", "get", "save", "delete", "create", "update", "all", "by"]),
+    "service": ([r"service$", r"_service$", r"Service$", r"Svc$"], [r"service", r"_svc\."], ["execute", "process", "handle", "perform", "run"]),
+    "factory": ([r"factory$", r"Factory$", r"_factory$"], [r"factor"], ["create", "make", "build", "new", "get_instance"]),
+    "singleton": ([r"singleton$", r"Singleton$"], [r"singleton"], ["instance", "get_instance", "getInstance"]),
+    "controller": ([r"controller$", r"Controller$", r"_controller$"], [r"controller"], ["index", "show", "create", "update", "destroy", "get", "post"]),
     "model": ([r"Model$", r"Entity$", r"_model$"], [r"models?/", r"entities/"], []),
-    "middleware": ([r"middleware$"], [r"middleware"], ["before", "after", "around", "process", "handle"]),
-    "handler": ([r"handler$", r"_handler$"], [r"handler"], ["handle", "process", "on_", "dispatch"]),
+    "middleware": ([r"middleware$", r"Middleware$"], [r"middleware"], ["before", "after", "around", "process", "handle"]),
+    "handler": ([r"handler$", r"Handler$", r"_handler$"], [r"handler"], ["handle", "process", "on_", "dispatch"]),
+}
+# Titles and descriptions of these patterns.
+PATTERN_TITLES = {
+    "repository": "Repository Pattern", "service": "Service Layer Pattern", "factory": "Factory Pattern", "singleton": "Singleton Pattern",
+    "controller": "Controller Pattern", "model": "Model/Entity Pattern", "middleware": "Middleware Pattern", "handler": "Handler Pattern",
+}
+PATTERN_ABOUT = {
+    "repository": "Data access layer abstraction for database operations", "service": "Business logic layer for complex operations",
+    "factory": "Object creation pattern for flexible instantiation", "singleton": "Single instance pattern for shared resources",
+    "controller": "Request handling layer for HTTP endpoints", "model": "Data structure definitions and domain objects",
+    "middleware": "Request/response pipeline processing", "handler": "Event or message processing pattern",
 }
 # Marks of comments that are worth keeping.
 MARKERS = ["TODO", "FIXME", "NOTE", "HACK", "XXX", "BUG", "OPTIMIZE"]

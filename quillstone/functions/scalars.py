@@ -26,6 +26,19 @@ SOURCE_LANGUAGES = LANGUAGES | {".pyi": "python"}
 DIFF_LANGUAGES = LANGUAGES | {".sql": "sql"}
 
 
+# What counts as white space around a text.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """c without white space of any kind around it."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def left_stripped(c: Column) -> Column:
+    return F.ltrim(c, F.lit(WHITE))
+
+
 def let(value: Column, made) -> Column:
     """made(value), where value is worked out once however often it occurs."""
     return F.transform(F.array(value), made)[0]
@@ -88,7 +101,7 @@ def file_hash(content: Column) -> Column:
 
 def parse_tags(c: Column) -> Column:
     """Comma-separated text as lower-cased, trimmed, non-empty tags."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda t: F.lower(stripped(t))), lambda t: t != "")
 
 
 def tags_from_json(c: Column) -> Column:
@@ -182,8 +195,8 @@ def is_test_path(path: Column) -> Column:
 
 
 def display_language(content: Column) -> Column:
-    """A language to highlight content by, from its first line and words."""
-    first = F.trim(F.split_part(content, F.lit("\n"), F.lit(1)))
+    """A language to highlight content by, from its first line and words. The words, and their order."""
+    first = stripped(F.split_part(content, F.lit("\n"), F.lit(1)))
     low = F.lower(content)
     has = lambda *words: _any(content, words)
     bang = first.startswith("#!")
@@ -198,8 +211,8 @@ def display_language(content: Column) -> Column:
         .when(has("def ") & has("end") & has("do ", "|"), "ruby")
         .when(has("fn ") & has("let ") & has("::", "mut "), "rust")
         .when(_any(low, ("select ", "insert ", "update ", "delete ", "create table")), "sql")
-        .when((F.ltrim(content).startswith("---") | (has(": ") & has("  "))) & ~has("{") & ~has(";"), "yaml")
-        .when(F.ltrim(content).startswith("{") | F.ltrim(content).startswith("["), "json")
+        .when((left_stripped(content).startswith("---") | (has(": ") & has("  "))) & ~has("{") & ~has(";"), "yaml")
+        .when(left_stripped(content).startswith("{") | left_stripped(content).startswith("["), "json")
         .when(first.startswith("$") | has("#!/", "export "), "bash")
         .otherwise("text")
     )
@@ -212,10 +225,19 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def rendered(title: Column, score: Column, description: Column, content: Column) -> Column:
-    """An entry as Markdown, with its relevance in per cent."""
-    percent = F.format_string("%d%%", F.bround(score * 100).cast("int"))
-    return F.concat(F.lit("## "), title, F.lit("\n"), F.when(score.isNotNull(), F.concat(F.lit("Relevance: "), percent, F.lit("\n"))).otherwise(F.lit("")), F.lit("\n"), description, F.lit("\n\n"), content, F.lit("\n"))
+def rendered(title: Column, score: Column | None, description: Column, tags: Column, content: Column | None, brief: Column | None = None) -> Column:
+    """An entry as Markdown: with its content, or without one its brief; without a score no relevance."""
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    listed = F.array_join(F.transform(tags, lambda t: F.concat(F.lit("`"), t, F.lit("`"))), ", ")
+    parts = [F.concat(F.lit("### "), F.coalesce(title, F.lit("Untitled")))]
+    if score is not None:
+        parts.append(F.when(score.isNotNull(), F.concat(F.lit("*Relevance: "), F.format_string("%d%%", F.bround(score * 100).cast("int")), F.lit("*"))))
+    parts += [F.when(full(description), F.concat(F.lit("\n"), description)), F.when(F.size(tags) > 0, F.concat(F.lit("\n**Tags:** "), listed))]
+    if content is not None:
+        parts.append(F.when(full(content), F.concat(F.lit("\n```\n"), content, F.lit("\n```"))))
+    elif brief is not None:
+        parts.append(F.when(full(brief), F.concat(F.lit("\n> "), brief)))
+    return F.array_join(F.array_compact(F.array(*parts, F.lit(""))), "\n")
 
 
 # Driver-side values
@@ -244,5 +266,10 @@ def path_code(path: str) -> str:
     return path.replace("/", "-")
 
 
+def path_decode(code: str) -> str:
+    """Back from path_code, as far as that can be told: a hyphen of the path has become a slash."""
+    return code.replace("-", "/")
+
+
 def machine() -> str:
     return socket.gethostname()

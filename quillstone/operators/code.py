@@ -125,6 +125,8 @@ def parse_source(language: str, text: str) -> list[dict]:
 
 def imports_of(language: str, text: str) -> list[str]:
     found = [x for p in IMPORTS.get(language, []) for x in re.findall(p, text)]
+    if language == "python":  # of a list of modules the first
+        found = [x.split(",")[0].strip() for x in found]
     if language == "go":
         found += [x for group in re.findall(r"(?s)import\s*\((.*?)\)", text) for x in re.findall(r'"([^"]+)"', group)]
     return list(dict.fromkeys(found))
@@ -170,33 +172,46 @@ def _sorted_tags(*columns: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.array(*columns)))), 1, MOST_TAGS)
 
 
+def _base(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def docstrings(parsed: DataFrame, project: str | None = None) -> DataFrame:
     """An entry for each element with documentation of some length."""
     e = parsed.select("path", "language", F.explode("elements").alias("e")).where(F.length("e.docstring") >= MIN_DOCSTRING)
     e = e.withColumn("hundredths", docstring_confidence(F.col("e.docstring"), F.col("e.element_type"))).where(F.col("hundredths") >= MIN_CONFIDENCE)
     prefix = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in R.ELEMENT_PREFIXES.items() for x in pair]), F.col("e.element_type")), F.lit(""))
-    first = F.trim(F.split("e.docstring", "\n\n")[0])
+    # The first paragraph on one line.
+    first = F.regexp_replace(S.stripped(F.split("e.docstring", "\n\n")[0]), r"(?U)\s+", " ")
+    decorators = F.array_join(F.transform("e.decorators", lambda d: F.concat(F.lit("`@"), d, F.lit("`"))), ", ")
+    content = F.array_join(F.array_compact(F.array(
+        F.when(F.coalesce("e.signature", F.lit("")) != "", F.concat(F.lit("```"), "language", F.lit("\n"), "e.signature", F.lit("\n```"))),
+        F.concat(F.lit("\n## Documentation\n\n"), "e.docstring"), F.concat(F.lit("\n**File:** `"), _base(F.col("path")), F.lit("` (line "), F.col("e.start_line").cast("string"), F.lit(")")),
+        F.when(F.size("e.decorators") > 0, F.concat(F.lit("\n**Decorators:** "), decorators)),
+    )), "\n")
     return e.select(
         F.trim(F.concat(prefix, F.lit(" "), F.when(F.col("e.parent").isNotNull(), F.concat("e.parent", F.lit("."))).otherwise(""), "e.name")).alias("title"),
         F.when(F.length(first) > 200, F.concat(F.substring(first, 1, 197), F.lit("..."))).otherwise(first).alias("description"),
-        F.concat(F.lit("```"), "language", F.lit("\n"), "e.signature", F.lit("\n```\n\n"), "e.docstring").alias("content"),
+        content.alias("content"),
         _sorted_tags(F.lower(F.lit(project)), F.col("language"), F.col("e.element_type")).alias("tags"), (F.col("hundredths") / 100).alias("confidence"),
         F.lit("docstring").alias("extraction_type"), F.array("path").alias("source_refs"),
     )
 
 
 def pattern_matches(parsed: DataFrame, rules: dict = R.PATTERNS) -> DataFrame:
-    """(pattern_type, path, name, confidence): classes with evidence for a pattern: name and path count 1, each method
-    word 0.5; from 1.5 on they match."""
-    classes = parsed.select("path", "elements", F.explode("elements").alias("e")).where("e.element_type = 'class'")
+    """(pattern_type, path, name, confidence, evidence, start_line, language, signature, docstring): classes with evidence
+    for a pattern: name and path count 1, each method word 0.5; from 1.5 on they match. Signature and docstring are of the
+    file's first element of that name."""
+    classes = parsed.select("path", "language", "elements", F.explode("elements").alias("e")).where("e.element_type = 'class'")
     methods = F.transform(F.filter("elements", lambda x: (x["element_type"] == "method") & (x["parent"] == F.col("e.name"))), lambda x: F.lower(x["name"]))
-    classes = classes.select("path", F.col("e.name").alias("name"), methods.alias("methods"))
+    named = F.filter("elements", lambda x: x["name"] == F.col("e.name"))[0]
+    classes = classes.select("path", "language", F.col("e.name").alias("name"), F.col("e.start_line").alias("start_line"), methods.alias("methods"), named["signature"].alias("signature"), named["docstring"].alias("docstring"))
 
     def any_of(c: Column, patterns: list[str]) -> Column:
         out = F.lit(False)
         for p in patterns:
             out = out | c.rlike("(?i)" + p)
-        return F.when(out, 2).otherwise(0)
+        return out
 
     def has(word: str):
         return lambda m: F.contains(m, F.lit(word))
@@ -204,12 +219,13 @@ def pattern_matches(parsed: DataFrame, rules: dict = R.PATTERNS) -> DataFrame:
     scores = []
     for kind, (names, paths, words) in rules.items():
         # Halves, so that sums are exact. Only lower-case words can be in lower-cased names.
-        points = any_of(F.col("name"), names) + any_of(F.col("path"), paths)
-        for w in words:
-            points = points + F.when(F.exists("methods", has(w)), 1).otherwise(0)
-        scores.append(F.struct(F.lit(kind).alias("pattern_type"), points.alias("halves")))
-    found = classes.select("path", "name", F.explode(F.array(*scores)).alias("s")).where("s.halves >= 3")
-    return found.select("s.pattern_type", "path", "name", F.least(F.lit(1.0), F.col("s.halves") / 6).alias("confidence"))
+        signs = [(any_of(F.col("name"), names), 2, f"Name matches {kind} pattern"), (any_of(F.col("path"), paths), 2, f"File path matches {kind} pattern")]
+        signs += [(F.exists("methods", has(w)), 1, f"Has {w} method") for w in words]
+        points = sum((F.when(sign, n).otherwise(0) for sign, n, _ in signs), F.lit(0))
+        evidence = F.array_compact(F.array(*[F.when(sign, F.lit(said)) for sign, _, said in signs]))
+        scores.append(F.struct(F.lit(kind).alias("pattern_type"), points.alias("halves"), evidence.alias("evidence")))
+    found = classes.withColumn("s", F.explode(F.array(*scores))).where("s.halves >= 3")
+    return found.select("s.pattern_type", "path", "name", F.least(F.lit(1.0), F.col("s.halves") / 6).alias("confidence"), "s.evidence", "start_line", "language", "signature", "docstring")
 
 
 def name_suffix(name: Column) -> Column:
@@ -247,14 +263,31 @@ def comment_groups(parsed: DataFrame, project: str | None = None) -> DataFrame:
 
 
 def pattern_entries(parsed: DataFrame, project: str | None = None) -> DataFrame:
+    """An entry for each pattern with several matches; the first five are shown, in the order of their files."""
     m = pattern_matches(parsed)
-    listed = m.groupBy("pattern_type").agg(F.array_sort(F.collect_list(F.struct("path", "name"))).alias("found"))
+    some = F.struct("path", "start_line", "name", "evidence", "language", "signature", "docstring")
+    listed = m.groupBy("pattern_type").agg(F.array_sort(F.collect_list(some)).alias("found"))
     g = pattern_groups(m).where(F.col("hundredths") >= MIN_CONFIDENCE).join(listed, "pattern_type")
-    called = F.initcap("pattern_type")
-    lines = F.array_join(F.transform("found", lambda f: F.concat(F.lit("- `"), f["name"], F.lit("` in `"), f["path"], F.lit("`"))), "\n")
+    of = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("pattern_type")), F.concat(F.initcap("pattern_type"), F.lit(other)))
+
+    def shown(f):
+        parts = F.array(F.concat(F.lit("\n### "), f["name"], F.lit("\n")), F.concat(F.lit("**File:** `"), _base(f["path"]), F.lit("`\n")))
+        evidence = F.when(F.size(f["evidence"]) > 0, F.concat(F.array(F.lit("**Evidence:**\n")), F.transform(f["evidence"], lambda e: F.concat(F.lit("- "), e)))).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        signature = F.when(F.coalesce(f["signature"], F.lit("")) != "", F.array(F.concat(F.lit("\n```"), f["language"]), f["signature"], F.lit("```"))).otherwise(none)
+        doc = F.when(F.coalesce(f["docstring"], F.lit("")) != "", F.array(F.concat(F.lit("\n_"), S.stripped(F.split(f["docstring"], "\n")[0]), F.lit("_")))).otherwise(none)
+        return F.concat(parts, evidence, signature, doc)
+
+    names = F.array_join(F.transform(F.slice("found", 1, 3), lambda f: f["name"]), ", ")
+    more = lambda n, text: F.when(F.col("n") > n, F.concat(F.lit(text), (F.col("n") - n).cast("string"), F.lit(" more")))
+    lines = F.concat(F.array(F.concat(F.lit("## "), F.initcap("pattern_type"), F.lit(" Pattern Instances\n"))), F.flatten(F.transform(F.slice("found", 1, 5), shown)), F.array_compact(F.array(F.concat(more(5, "\n_... and "), F.lit(" instances_")))))
+    # The languages of all files, few.
+    languages = parsed.agg(F.collect_set("language")).scalar()
+    tags = F.concat(F.array_compact(F.array(F.lower(F.lit(project)))), languages, F.array(F.replace("pattern_type", F.lit("_"), F.lit("-"))))
     return g.select(
-        F.concat(called, F.lit(" pattern ("), F.col("n").cast("string"), F.lit(" implementations)")).alias("title"), F.concat(F.lit("The codebase uses the "), "pattern_type", F.lit(" pattern.")).alias("description"),
-        F.concat(F.lit("## "), called, F.lit(" pattern\n\n"), lines).alias("content"), _sorted_tags(F.lower(F.lit(project)), F.col("pattern_type")).alias("tags"),
+        of(R.PATTERN_TITLES, " Pattern").alias("title"),
+        F.concat(of(R.PATTERN_ABOUT, " design pattern"), F.lit(". Found "), F.col("n").cast("string"), F.lit(" instances: "), names, F.coalesce(more(3, ", and "), F.lit("")), F.lit(".")).alias("description"),
+        F.array_join(lines, "\n").alias("content"), F.slice(F.sort_array(F.array_distinct(tags)), 1, MOST_TAGS).alias("tags"),
         (F.col("hundredths") / 100).alias("confidence"), F.lit("pattern").alias("extraction_type"), F.transform("found", lambda f: f["path"]).alias("source_refs"),
     )
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import scalars as S
+from quillstone.tables import durable
+
 TYPES = ("related", "depends-on", "supersedes")
 DEPTH, MOST_DEPTH = 3, 10
 MAX_NAME, MAX_ABOUT = 200, 2_000
@@ -44,23 +47,36 @@ def related(edges: DataFrame, entries: DataFrame, ids: DataFrame, kind: str | No
     return found.join(ids.select("id"), "id", "left_semi").join(entries.select(F.col("id").alias("other_id"), "title"), "other_id", "left")
 
 
-def dependency_tree(spark: SparkSession, edges: DataFrame, root, depth: int = DEPTH) -> DataFrame:
+def between_entries(edges: DataFrame, entry_id) -> DataFrame:
+    """All edges that an entry is an end of."""
+    return edges.where((F.col("source_id") == entry_id) | (F.col("target_id") == entry_id))
+
+
+def get_relationship(edges: DataFrame, edge_id) -> DataFrame:
+    return edges.where(F.col("id") == edge_id).limit(1)
+
+
+def dependency_tree(spark: SparkSession, edges: DataFrame, root, depth: int = DEPTH, entries: DataFrame | None = None) -> DataFrame:
     """(id, parent, level, path, circular): what root depends on, by paths. An entry that is on its path already is a leaf
-    marked circular; one on several paths appears on each."""
+    marked circular; one on several paths appears on each. Ids may be of any type. With entries, a root that isn't among
+    them has no tree. The edges are written once, so that a level costs one join."""
     depth = max(1, min(MOST_DEPTH, depth))
-    edges.where("relationship_type = 'depends-on'").select("source_id", "target_id").createOrReplaceTempView("quillstone_depends")
+    kind = edges.schema["source_id"].dataType.simpleString()
+    depends = durable(edges.where("relationship_type = 'depends-on'").select("source_id", F.col("target_id").cast(kind).alias("target_id")))
+    start = spark.range(1) if entries is None else entries.where(F.col("id") == root).limit(1)
+    start = durable(start.select(F.lit(root).cast(kind).alias("id")))
     return spark.sql(f"""
         WITH RECURSIVE tree(id, parent, level, path, circular) AS (
-          SELECT CAST({int(root)} AS BIGINT), CAST(NULL AS BIGINT), 0, array(CAST({int(root)} AS BIGINT)), false
+          SELECT id, CAST(NULL AS {kind}), 0, array(id), false FROM {{start}}
           UNION ALL
           SELECT d.target_id, t.id, t.level + 1, array_append(t.path, d.target_id), array_contains(t.path, d.target_id)
-          FROM tree t JOIN quillstone_depends d ON d.source_id = t.id WHERE NOT t.circular AND t.level < {depth}
-        ) SELECT * FROM tree""")
+          FROM tree t JOIN {{depends}} d ON d.source_id = t.id WHERE NOT t.circular AND t.level < {depth}
+        ) SELECT * FROM tree""", start=start, depends=depends)
 
 
 def valid_collections(collections: DataFrame) -> DataFrame:
     """Named and described within the limits; the first of a name counts."""
-    kept = collections.withColumn("name", F.trim("name")).where(
+    kept = collections.withColumn("name", S.stripped(F.col("name"))).where(
         (F.length("name").between(1, MAX_NAME)) & (F.length(F.coalesce("description", F.lit(""))) <= MAX_ABOUT)
     )
     first = kept.groupBy("name").agg(F.min_by("id", F.struct("created", "id")).alias("id"))

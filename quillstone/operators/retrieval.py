@@ -64,6 +64,14 @@ def retrieve(
     return within_budget(ranked, token_budget, n)
 
 
+def context(retrieved: DataFrame) -> DataFrame:
+    """(text): the retrieved entries as one Markdown text, best first; at most MOST_CANDIDATES rows travel as one array."""
+    shown = S.rendered(F.col("title"), F.col("score"), F.col("description"), F.col("tags"), F.col("content"))
+    rows = retrieved.agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("shown")))).alias("rows"))
+    text = F.array_join(F.concat(F.array(F.lit("## Retrieved Knowledge\n")), F.transform("rows", lambda r: r["shown"])), "\n")
+    return rows.select(F.when(F.size("rows") > 0, text).otherwise("No relevant knowledge found.").alias("text"))
+
+
 def usage(retrieved: DataFrame, at) -> DataFrame:
     """Usage events (id, ts) of a retrieval; counts and last uses are aggregates of them."""
     return retrieved.select("id", F.lit(at).cast("timestamp_ntz").alias("ts"))

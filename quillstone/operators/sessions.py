@@ -32,6 +32,10 @@ def tool_uses(blocks: Column) -> Column:
     return F.filter(blocks, lambda b: b["type"] == "tool_use")
 
 
+def tool_results(blocks: Column) -> Column:
+    return F.filter(blocks, lambda b: b["type"] == "tool_result")
+
+
 def conversation_pairs(messages: DataFrame) -> DataFrame:
     """(session_id, pair, user_uuid, user_text, assistant_uuid, text, tools) from messages (session_id, seq, type, uuid,
     timestamp, blocks) in order: each user message with the assistant messages that follow it. One without an answer
@@ -145,9 +149,9 @@ def tags(project_path: Column, content_: Column, tools: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), 1, MOST_TAGS)
 
 
-def extract(messages: DataFrame, projects: DataFrame | None = None, min_confidence: int = MIN_CONFIDENCE) -> DataFrame:
+def extract(messages: DataFrame, projects: DataFrame | None = None, min_confidence: int = MIN_CONFIDENCE, kinds: list[str] | None = None) -> DataFrame:
     """Entries (title, description, content, tags, confidence, extraction_type, source_refs, session_id) of messages.
-    projects: session_id, project_path."""
+    projects: session_id, project_path; kinds keeps problem solutions, or general entries, alone."""
     pairs = with_outcome(conversation_pairs(messages))
     pairs = pairs.join(projects, "session_id", "left") if projects is not None else pairs.withColumn("project_path", F.lit(None).cast("string"))
     asked = pairs.where(matches(F.lower("user_text"), R.QUESTIONS))
@@ -155,8 +159,9 @@ def extract(messages: DataFrame, projects: DataFrame | None = None, min_confiden
     scored = asked.withColumn("has_code", has_code).withColumn("hundredths", confidence(F.col("has_code"), F.size("tools") > 0, F.col("acknowledged"), F.col("corrected"), F.length("text")))
     made = scored.where(F.col("hundredths") >= min_confidence).withColumns({"title": title(F.col("user_text")), "content": content(F.col("text"), F.col("tools"))})
     made = made.where((F.col("title") != "") & (F.length(F.regexp_replace("content", r"(?U)^\s+|\s+$", "")) >= MIN_CONTENT))
-    return made.select(
+    entries = made.select(
         "title", description(F.col("text"), F.col("tools")).alias("description"), "content", tags(F.col("project_path"), F.col("content"), F.col("tools")).alias("tags"),
         (F.col("hundredths") / 100).alias("confidence"), F.when(F.col("has_code"), "problem_solution").otherwise("general").alias("extraction_type"),
         F.array("user_uuid", "assistant_uuid").alias("source_refs"), "session_id",
     )
+    return entries.where(F.col("extraction_type").isin(*kinds)) if kinds else entries

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars as S
-from quillstone.operators import code, commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, versions
+from quillstone.operators import commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, versions
 from quillstone.streaming import streams
 from quillstone.tables import table
 
@@ -30,10 +30,13 @@ def registered(sql: str | None = None, name: str | None = None) -> Callable[[Que
 
 
 def queries() -> dict[str, Query]:
+    from . import mined  # registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -252,9 +255,17 @@ def dup_pairs(spark, sf_dir):
     return maintenance.similar_pairs(kb.vectors(spark, sf_dir), 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@registered()
+@registered(_with(""", o AS (SELECT id, row_number() OVER (ORDER BY last_used DESC NULLS LAST, created DESC, id) AS r FROM kb),
+near AS (SELECT x.r AS a, y.r AS b, x.id AS aid, y.id AS bid, list_inner_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id JOIN o x ON x.id = p.vec_id JOIN o y ON y.id = q.vec_id
+  WHERE list_inner_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.4),
+nodes AS (SELECT row_number() OVER (ORDER BY a) AS k, a FROM (SELECT DISTINCT a FROM near)),
+earlier AS (SELECT n.k, n.a, coalesce(list(e.b) FILTER (WHERE e.b < n.a), []) AS before FROM nodes n LEFT JOIN near e ON e.a = n.a GROUP BY n.k, n.a),
+walk(k, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT w.k + 1, CASE WHEN list_has_any(w.leaders, e.before) THEN w.leaders ELSE list_append(w.leaders, e.a) END FROM walk w JOIN earlier e ON e.k = w.k + 1),
+leaders AS (SELECT unnest(leaders) AS a FROM (SELECT leaders FROM walk ORDER BY k DESC LIMIT 1))
+SELECT arg_min(aid, a) AS leader, bid AS member, round(arg_min(s, a), 3) AS similarity FROM near WHERE a IN (SELECT a FROM leaders) AND b NOT IN (SELECT a FROM leaders) GROUP BY bid""").replace("WITH kb", "WITH RECURSIVE kb", 1))
 def dup_groups(spark, sf_dir):
-    """Leader clustering depends on order; tested against a plain loop."""
+    """Leader clustering in the order of lists; the SQL walks through the entries one by one."""
     pairs = maintenance.similar_pairs(kb.vectors(spark, sf_dir), 0.4)
     return maintenance.duplicate_groups(kb.entries(spark, sf_dir, usage=True).select("id", "created", "last_used"), pairs).select("leader", "member", F.round("similarity", 3).alias("similarity"))
 
@@ -272,12 +283,12 @@ def merge_entries(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    """Each order of a customer depends on the next but the seventh: chains, and cycles where a number comes back."""
+    """Each order links the entry of its customer to that of its own number: the ends that no entry has fall away."""
     o = table(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 97).alias("source_id"), (F.col("o_orderkey") % 97).alias("target_id"), F.when(F.col("o_orderkey") % 3 == 0, "related").when(F.col("o_orderkey") % 3 == 1, "depends-on").otherwise("supersedes").alias("relationship_type")).where("o_orderkey % 41 = 0")
+    return o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderkey") % 3 == 0, "related").when(F.col("o_orderkey") % 3 == 1, "depends-on").otherwise("supersedes").alias("relationship_type"))
 
 
-_EDGES = """WITH RECURSIVE raw AS (SELECT o_custkey % 97 AS s, o_orderkey % 97 AS t, CASE o_orderkey % 3 WHEN 0 THEN 'related' WHEN 1 THEN 'depends-on' ELSE 'supersedes' END AS k FROM orders WHERE o_orderkey % 41 = 0),
+_EDGES = """WITH RECURSIVE raw AS (SELECT o_custkey AS s, o_orderkey AS t, CASE o_orderkey % 3 WHEN 0 THEN 'related' WHEN 1 THEN 'depends-on' ELSE 'supersedes' END AS k FROM orders WHERE o_custkey IN (SELECT doc_id FROM documents) AND o_orderkey IN (SELECT doc_id FROM documents)),
 edges AS (SELECT DISTINCT CASE WHEN k = 'related' THEN least(s, t) ELSE s END AS source_id, CASE WHEN k = 'related' THEN greatest(s, t) ELSE t END AS target_id, k AS relationship_type FROM raw WHERE s <> t)"""
 
 
@@ -287,17 +298,17 @@ def _linked(spark, sf_dir):
     return graph.link(empty, _edges(spark, sf_dir), ids).select("source_id", "target_id", "relationship_type")
 
 
-@registered(_EDGES + " SELECT source_id, target_id, relationship_type FROM edges WHERE source_id IN (SELECT doc_id FROM documents) AND target_id IN (SELECT doc_id FROM documents)")
+@registered(_EDGES + " SELECT source_id, target_id, relationship_type FROM edges")
 def link_normalized(spark, sf_dir):
     return _linked(spark, sf_dir)
 
 
 @registered(_EDGES + """ SELECT e.id, e.other_id, e.relationship_type, e.direction, left(split_part(d.text, chr(10), 1), 80) AS title FROM (
   SELECT source_id AS id, target_id AS other_id, relationship_type, 'outgoing' AS direction FROM edges UNION ALL SELECT target_id, source_id, relationship_type, 'incoming' FROM edges) e
-LEFT JOIN documents d ON d.doc_id = e.other_id WHERE e.id < 20""")
+LEFT JOIN documents d ON d.doc_id = e.other_id""")
 def related_edges(spark, sf_dir):
     entries = kb.entries(spark, sf_dir)
-    return graph.related(_linked(spark, sf_dir), entries, entries.where("id < 20")).select("id", "other_id", "relationship_type", "direction", "title")
+    return graph.related(_linked(spark, sf_dir), entries, entries).select("id", "other_id", "relationship_type", "direction", "title")
 
 
 def _tree_sql(root: int, depth: int) -> str:
@@ -318,12 +329,12 @@ def dependency_tree(spark, sf_dir):
     return _tree(spark, sf_dir, 5, 3)
 
 
-@registered("""WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey % 9 AS source_id, o_orderkey % 9 AS target_id FROM orders WHERE o_orderkey % 977 = 0 AND o_custkey % 9 <> o_orderkey % 9), tree(id, level, path, circular) AS (
+@registered("""WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey % 4 AS source_id, o_orderkey % 5 AS target_id FROM orders WHERE o_custkey % 4 <> o_orderkey % 5), tree(id, level, path, circular) AS (
   SELECT CAST(1 AS BIGINT), 0, [CAST(1 AS BIGINT)], false UNION ALL
   SELECT e.target_id, t.level + 1, list_append(t.path, e.target_id), list_contains(t.path, e.target_id) FROM tree t JOIN edges e ON e.source_id = t.id WHERE NOT t.circular AND t.level < 4
 ) SELECT array_to_string(path, '>') AS path, circular FROM tree""")
 def dependency_cycle(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").where("o_orderkey % 977 = 0").select((F.col("o_custkey") % 9).alias("source_id"), (F.col("o_orderkey") % 9).alias("target_id"), F.lit("depends-on").alias("relationship_type"))
+    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("source_id"), (F.col("o_orderkey") % 5).alias("target_id"), F.lit("depends-on").alias("relationship_type"))
     found = graph.dependency_tree(spark, graph.normalized(e).distinct(), 1, 4)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "circular")
 
@@ -331,16 +342,16 @@ def dependency_cycle(spark, sf_dir):
 def _collections(spark, sf_dir):
     """Nations are collections of customers."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("description"))
-    m = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").cast("long").alias("collection_id"), F.col("c_custkey").alias("entry_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") % 50).cast("int"))).alias("added_at"))
+    m = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("collection_id"), F.col("c_custkey").alias("entry_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") % 50).cast("int"))).alias("added_at"))
     return n, m
 
 
-@registered("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, count(c_custkey) AS member_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY ALL")
+@registered("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, count(c_custkey) AS member_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def collections_counts(spark, sf_dir):
     return graph.list_collections(*_collections(spark, sf_dir), limit=None).select("id", "name", "member_count")
 
 
-@registered("SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey = 7")
+@registered("SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_nationkey = 7")
 def collection_members(spark, sf_dir):
     _, m = _collections(spark, sf_dir)
     return graph.members(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")), m, 7).select("id", "title")
@@ -351,8 +362,8 @@ def entry_collections(spark, sf_dir):
     return graph.collections_of(*_collections(spark, sf_dir), 33).select("id", "name")
 
 
-@registered(_EDGES + """ SELECT d.doc_id AS id, (SELECT count(*) FROM edges WHERE source_id = d.doc_id OR target_id = d.doc_id) AS relationships, CAST(CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS collections
-FROM documents d LEFT JOIN customer ON c_custkey = d.doc_id AND c_custkey % 3 = 0""")
+@registered(_EDGES + """ SELECT d.doc_id AS id, coalesce(ends.n, 0) AS relationships, CAST(CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS collections
+FROM documents d LEFT JOIN customer ON c_custkey = d.doc_id LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id) ends ON ends.id = d.doc_id""")
 def link_counts(spark, sf_dir):
     return graph.link_counts(_linked(spark, sf_dir), _collections(spark, sf_dir)[1], kb.entries(spark, sf_dir))
 
@@ -456,13 +467,13 @@ def sync_applied_remote_wins(spark, sf_dir):
     return sync.apply_local(local, remote, sync.resolved(sync.actions(local, remote, base, tombs), "remote-wins")).select("id", "content_hash")
 
 
-@registered("""WITH e AS (SELECT DISTINCT l_orderkey % 50 AS s, l_partkey % 50 AS t, l_suppkey % 4 AS m FROM lineitem WHERE l_orderkey % 31 = 0), l AS (SELECT DISTINCT s, t FROM e WHERE m <> 1), r AS (SELECT DISTINCT s, t FROM e WHERE m <> 2)
+@registered("""WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t, l_suppkey % 4 AS m FROM lineitem), l AS (SELECT DISTINCT s, t FROM e WHERE m <> 1), r AS (SELECT DISTINCT s, t FROM e WHERE m <> 2)
 SELECT s AS source_id, t AS target_id, 'push' AS action FROM l WHERE (s, t) NOT IN (SELECT (s, t) FROM r) AND s % 7 <> 0 AND t % 7 <> 0
 UNION ALL SELECT s, t, 'pull' FROM r WHERE (s, t) NOT IN (SELECT (s, t) FROM l) AND s % 5 <> 0 AND t % 5 <> 0""")
 def sync_relationships(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 31 = 0").select((F.col("l_orderkey") % 50).alias("source_id"), (F.col("l_partkey") % 50).alias("target_id"), (F.col("l_suppkey") % 4).alias("m"), F.lit("related").alias("relationship_type"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), (F.col("l_suppkey") % 4).alias("m"), F.lit("related").alias("relationship_type"))
     local, remote = e.where("m <> 1").drop("m").distinct(), e.where("m <> 2").drop("m").distinct()
-    ids = spark.range(50)
+    ids = table(spark, sf_dir, "lineitem").select(F.explode(F.array("l_orderkey", "l_partkey")).alias("id")).distinct()
     return sync.relationships(local, remote, ids.where("id % 5 <> 0"), ids.where("id % 7 <> 0")).select("source_id", "target_id", "action")
 
 
@@ -519,37 +530,6 @@ def conv_pairs(spark, sf_dir):
     return p.select("session_id", "pair", "user_uuid", F.sha2("user_text", 256).alias("asked_sha256"), F.sha2("text", 256).alias("answer_sha256"))
 
 
-@registered(_PAIRS + " SELECT conv_id::VARCHAR AS session_id, CAST(pair AS INT) AS pair, bool_or(contains(user_text, 'la')) OVER (PARTITION BY conv_id ORDER BY pair ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS flag FROM n")
-def conv_success_window(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    p = sessions.conversation_pairs(_messages(spark, sf_dir))
-    w = Window.partitionBy("session_id").orderBy("pair").rowsBetween(0, sessions.AHEAD)
-    return p.select("session_id", "pair", F.max(F.contains("user_text", F.lit("la"))).over(w).alias("flag"))
-
-
-@registered(_PAIRS + """ SELECT conv_id::VARCHAR AS session_id, CAST(pair AS INT) AS pair, CAST(greatest(0, least(100, 40 + CASE WHEN length(user_text) % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN length(user_text) % 3 = 0 THEN 10 ELSE 0 END
- + CASE WHEN length(user_text) % 5 = 0 THEN 20 ELSE 0 END - CASE WHEN length(user_text) % 7 = 0 THEN 15 ELSE 0 END + CASE WHEN length(coalesce(answer, '')) > 500 THEN 5 ELSE 0 END)) AS INT) AS hundredths FROM n""")
-def conv_confidence(spark, sf_dir):
-    p, n = sessions.conversation_pairs(_messages(spark, sf_dir)), F.length("user_text")
-    return p.select("session_id", "pair", sessions.confidence(n % 2 == 0, n % 3 == 0, n % 5 == 0, n % 7 == 0, F.length("text")).alias("hundredths"))
-
-
-@registered()
-def conv_extract(spark, sf_dir):
-    """The real rules match no invented text, so this is tested on written transcripts; here it runs over all turns."""
-    return sessions.extract(_messages(spark, sf_dir)).select("session_id", "title", "confidence", "extraction_type")
-
-
-_VOTES = {"aa": ["the", "and", "ing"], "bb": ["er", "qu", "ou"], "cc": ["ch", "sch", "ung"]}
-
-
-@registered("""WITH s AS (SELECT doc_id AS id, """ + ", ".join(f"({' + '.join(f'CAST(contains(lower(text), {chr(39)}{w}{chr(39)}) AS INT)' for w in ws)}) AS {k}" for k, ws in _VOTES.items()) + """ FROM documents)
-SELECT id, CASE WHEN greatest(aa, bb, cc) = 0 THEN 'general' WHEN aa >= bb AND aa >= cc THEN 'aa' WHEN bb >= cc THEN 'bb' ELSE 'cc' END AS kind FROM s""")
-def classify_vote(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), commits.voted_kind(F.lower("text"), _VOTES).alias("kind"))
-
-
 _SUBJECTS = ["fix(auth): minor token bug", "feat: add cache layer", "Update", "Improve the performance of the parser", "wip", "docs: explain", "Merge branch 'x'", "Rename and move helpers", "Bump version"]
 
 
@@ -580,23 +560,6 @@ def commit_confidence(spark, sf_dir):
     return c.select("o_orderkey", commits.confidence(kind, F.col("subject"), F.col("body"), F.col("changes"), F.col("files"), F.col("tests")).alias("hundredths"))
 
 
-@registered("""WITH m AS (SELECT p_brand AS pattern_type, p_name AS name, p_size / 50.0 AS confidence FROM part WHERE p_size > 10)
-SELECT pattern_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, CAST(30 + CASE WHEN count(*) >= 3 THEN 20 ELSE 0 END + CASE WHEN avg(confidence) > 0.5 THEN 10 ELSE 0 END AS INT) AS hundredths FROM m GROUP BY 1 HAVING count(*) >= 2""")
-def pattern_groups(spark, sf_dir):
-    m = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_brand").alias("pattern_type"), F.concat("p_name", F.lit("_"), "p_partkey").alias("name"), (F.col("p_size") / 50.0).alias("confidence"))
-    return code.pattern_groups(m).select("pattern_type", "n", F.round("avg_confidence", 6).alias("avg_confidence"), "hundredths")
-
-
-_NOTED = "text || chr(10) || '# TODO: check ' || doc_id || chr(10) || '// fixme later' || chr(10) || '/* NOTE this */'"
-
-
-@registered(f"SELECT doc_id AS id, '[' || upper(regexp_extract(m, '(?i)(TODO|FIXME|NOTE|HACK|XXX|BUG|OPTIMIZE)', 1)) || '] ' || trim(regexp_replace(regexp_replace(m, '(?i)^(//|#|/\\*)\\s*(TODO|FIXME|NOTE|HACK|XXX|BUG|OPTIMIZE)\\s*:?\\s*', ''), '\\*/$', '')) AS comment FROM (SELECT doc_id, unnest(regexp_extract_all({_NOTED}, '(?im)(?://|#|/\\*)\\s*(?:TODO|FIXME|NOTE|HACK|XXX|BUG|OPTIMIZE)\\s*:?\\s*[^\\n]+?(?:\\*/)?$', 0)) AS m FROM documents WHERE doc_id % 10 = 0) t")
-def marker_comments(spark, sf_dir):
-    noted = F.concat("text", F.lit("\n# TODO: check "), "doc_id", F.lit("\n// fixme later\n/* NOTE this */"))
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), noted.alias("content"))
-    return d.select("id", F.explode(code.marked_comments(F.col("content"))).alias("comment"))
-
-
 # Scalars
 
 
@@ -627,13 +590,6 @@ def sanitize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.sanitized(F.col("text")).alias("clean"))
 
 
-@registered("""WITH t AS (SELECT doc_id AS id, trim(split_part(regexp_replace(text, '[.!?\\n]', chr(1)), chr(1), 1)) AS s FROM documents WHERE regexp_matches(text, '^[A-Z]'))
-SELECT id, CASE WHEN length(s) <= 80 THEN s ELSE (CASE WHEN instr(reverse(s[1:77]), ' ') > 0 AND 77 - instr(reverse(s[1:77]), ' ') > 40 THEN s[1:(77 - instr(reverse(s[1:77]), ' '))] ELSE s[1:77] END) || '...' END AS title FROM t""")
-def title_gen(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Z]"))
-    return d.select(F.col("doc_id").alias("id"), sessions.title(F.col("text")).alias("title"))
-
-
 @registered("SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'cpp' WHEN 3 THEN 'bash' END AS language, page_id % 7 = 0 OR contains(lower(url), 'test') OR contains(lower(url), 'spec') AS is_test FROM pages")
 def lang_by_ext(spark, sf_dir):
     ext = F.element_at(F.array(*[F.lit(x) for x in (".py", ".TSX", ".hpp", ".zsh", ".xyz")]), (F.col("page_id") % 5 + 1).cast("int"))
@@ -641,18 +597,6 @@ def lang_by_ext(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), S.language_of_path(path).alias("language"), S.is_test_path(path).alias("is_test"))
 
 
-@registered(_with("SELECT id, '## ' || title || chr(10) || 'Relevance: ' || CAST(id % 100 AS VARCHAR) || '%' || chr(10) || chr(10) || description || chr(10) || chr(10) || content || chr(10) AS shown FROM kb"))
-def render_entries(spark, sf_dir):
-    e = kb.entries(spark, sf_dir)
-    return e.select("id", S.rendered(F.col("title"), (F.col("id") % 100) / 100.0, F.col("description"), F.col("content")).alias("shown"))
-
-
-@registered("SELECT doc_id AS id, CASE WHEN (contains(text, 'def ') OR contains(text, 'import ') OR contains(text, 'class ')) AND (contains(text, 'from ') OR contains(text, 'self') OR contains(split_part(text, chr(10), 1), ':')) THEN 'python' WHEN contains(text, 'func ') OR contains(text, 'package ') THEN 'go' ELSE 'other' END AS language FROM documents")
-def display_language(spark, sf_dir):
-    found = S.display_language(F.col("text"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(found.isin("python", "go"), found).otherwise("other").alias("language"))
-
-
 # Usage, in batch and as a stream
 
 
@@ -664,7 +608,7 @@ def usage_counts(spark, sf_dir):
 
 @registered("SELECT user_id AS id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL")
 def usage_stream_daily(spark, sf_dir):
-    return streams.run_once(spark, f"{sf_dir}/events.parquet", streams.daily_usage)
+    return streams.run_once(spark, f"{sf_dir}/events.parquet", streams.daily_usage, "update", ("id", "day"))
 
 
 @registered("SELECT user_id AS id, event_type AS kind FROM events GROUP BY ALL")

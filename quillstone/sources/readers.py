@@ -5,6 +5,11 @@ from __future__ import annotations
 import fnmatch
 import re
 import subprocess
+import tempfile
+import time
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +17,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import rules as R
 from quillstone.functions import scalars as S
 from quillstone.operators.sessions import BLOCK
+from quillstone.tables import shared_dir
 
 _LINE = "type string, uuid string, parentUuid string, timestamp string, message struct<role:string, content:string>"
 _RAW_BLOCK = "array<struct<type:string,text:string,id:string,name:string,input:struct<file_path:string,old_string:string,new_string:string,content:string,command:string>,content:string>>"
@@ -100,9 +106,15 @@ def git_command(repo: str, since: str | None = None, until: str | None = None, l
 
 
 def git_log(spark: SparkSession, repo: str, **filters) -> DataFrame:
-    """Commits of a repository on this machine."""
-    out = subprocess.run(git_command(repo, **filters), capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    return commits(spark.createDataFrame([(r,) for r in out.split("\x01") if r.strip()], "value string"))
+    """Commits of a repository on this machine. The log goes to a file in the shared folder as it is written, and is read
+    from there in parts; the driver holds none of it."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    with tempfile.NamedTemporaryFile(suffix=".log", delete=False) as out:
+        subprocess.run(git_command(repo, **filters), stdout=out, check=True)
+    target, files = _path(spark, path)
+    files.copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{out.name}"), target)
+    files.deleteOnExit(target)
+    return commits(spark.read.text(path, lineSep="\x01").where("trim(value) <> ''"))
 
 
 def _git(repo: str, *arguments: str) -> str:
@@ -155,38 +167,182 @@ def export(entries: DataFrame, path: str, project: str | None = None) -> None:
     (entries.where(F.col("project") == project) if project else entries).write.mode("overwrite").json(path)
 
 
+def write_list(entries: DataFrame, path: str) -> int:
+    """One file with a JSON list, streamed through the driver; returns the number of entries."""
+    out, n = _create(entries.sparkSession, path), 0
+    try:
+        for line in _documents(entries):
+            out.write(bytearray(((",\n" if n else "[\n") + line[1]).encode()))
+            n += 1
+        out.write(bytearray(b"\n]\n" if n else b"[]\n"))
+    finally:
+        out.close()
+    return n
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, schema=ENTRY, multiLine=False)
+    """Entries of JSON lines (what export() writes), or of a JSON list."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return spark.read.json(path, schema=ENTRY, multiLine=first is not None and first[0].lstrip().startswith("["))
+
+
+def parse_export(spark: SparkSession, text: str) -> DataFrame:
+    """Entries of a JSON list, as of standard input."""
+    if not text.lstrip().startswith("["):
+        raise ValueError("JSON must be a list of entries")
+    rows = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in ENTRY.split(', '))}>>").alias("d"))
+    return rows.select(F.explode("d").alias("d")).select("d.*")
 
 
 def classified(incoming: DataFrame, existing: DataFrame, skip_duplicates: bool = True) -> DataFrame:
     """incoming with outcome: imported, skipped or error. Entries without title, description or content are errors."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: S.stripped(F.coalesce(c, F.lit(""))) == ""
     known = existing.select("id", F.lit(True).alias("known"))
     outcome = F.when(blank("title") | blank("description") | blank("content"), "error").when(F.col("known"), "skipped" if skip_duplicates else "error").otherwise("imported")
     return incoming.join(known, "id", "left").withColumn("outcome", outcome).drop("known")
 
 
 def valid(entries: DataFrame) -> Column:
-    ok = lambda c, most: (F.trim(F.coalesce(c, F.lit(""))) != "") & (F.length(c) <= most)
+    ok = lambda c, most: (S.stripped(F.coalesce(c, F.lit(""))) != "") & (F.length(c) <= most)
     return ok(F.col("title"), S.MAX_TITLE) & ok(F.col("description"), S.MAX_DESCRIPTION) & ok(F.col("content"), S.MAX_CONTENT) & F.coalesce("confidence", F.lit(1.0)).between(0, 1)
 
 
 def replica(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
-    """Documents of a replica folder (entries, relationships, collections); malformed ones are left out."""
+    """Documents of a replica folder (entries, relationships, collections), one a file, indented or not; malformed ones
+    are left out."""
     if not exists(spark, f"{folder}/{kind}"):
         return spark.createDataFrame([], schema)
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"{folder}/{kind}")
-    return files.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d")).where("d is not null").select("d.*").where("id is not null")
+    files = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
+    return files.json(f"{folder}/{kind}").where("id is not null")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def replica_entry(spark: SparkSession, folder: str, entry_id: str) -> DataFrame:
+    """The document of one entry, from its own file."""
+    path = f"{folder}/entries/{entry_id}.json"
+    if not exists(spark, path):
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).where("id is not null")
+
+
+TOMBSTONE = "id string, deleted_at timestamp_ntz"
+_STATE = "map<string, struct<content_hash:string,updated_at:timestamp_ntz>>"
+
+
+def replica_tombstones(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, deleted_at) that the folder tells of; none if it has no such file, or a malformed one."""
+    path = f"{folder}/tombstones/deleted.json"
+    if not exists(spark, path):
+        return spark.createDataFrame([], TOMBSTONE)
+    told = spark.read.schema("deletions array<struct<id:string,deleted_at:timestamp_ntz>>").option("multiLine", "true").json(path)
+    return told.select(F.explode("deletions").alias("d")).select("d.*").where("id is not null").groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, content_hash, updated_at) of what was last synchronized with the folder by anyone."""
+    path = f"{folder}/manifest.json"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "id string, content_hash string, updated_at timestamp_ntz")
+    told = spark.read.schema(f"version int, last_sync map<string,string>, entries {_STATE}").option("multiLine", "true").json(path)
+    return told.select(F.explode("entries").alias("id", "s")).select("id", "s.*")
+
+
+def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_replica(documents: DataFrame, folder: str, kind: str) -> None:
-    documents.write.mode("overwrite").json(f"{folder}/{kind}")
+def exists(spark: SparkSession, path: str) -> bool:
+    p, files = _path(spark, path)
+    return files.exists(p)
+
+
+def _create(spark: SparkSession, path: str):
+    p, files = _path(spark, path)
+    return files.create(p, True)
+
+
+def _documents(rows: DataFrame) -> Iterator[tuple[str, str]]:
+    """Each row's id and indented JSON, times as ISO texts, one after the other."""
+    times = {f.name: S.iso(F.col(f.name)) for f in rows.schema.fields if f.dataType.typeName().startswith("timestamp")}
+    shown = rows.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(*[times.get(c, F.col(c)).alias(c) for c in rows.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("d"))
+    for r in shown.toLocalIterator():
+        yield r["id"], r["d"]
+
+
+def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """Replaces a file at once: readers see the old one or the new one, and a writer that dies leaves the old one."""
+    folder, name = path.rsplit("/", 1)
+    out = _create(spark, f"{folder}/.{name}.tmp")
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode()))
+    finally:
+        out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    (old, _), (new, _) = _path(spark, f"{folder}/.{name}.tmp"), _path(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri() if old.isAbsolute() and old.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(old, new, over)
+
+
+def write_replica(documents: DataFrame, folder: str, kind: str) -> int:
+    """A file for each document, named by its id; other documents stay. Documents pass through the driver one by one."""
+    n = 0
+    for name, text in _documents(documents):
+        write_file(documents.sparkSession, f"{folder}/{kind}/{name}.json", [text])
+        n += 1
+    return n
+
+
+def remove_replica(ids: DataFrame, folder: str, kind: str) -> None:
+    for r in ids.select(F.col("id").cast("string")).toLocalIterator():
+        p, files = _path(ids.sparkSession, f"{folder}/{kind}/{r[0]}.json")
+        files.delete(p, False)
+
+
+def write_tombstones(tombstones: DataFrame, folder: str) -> None:
+    def parts() -> Iterator[str]:
+        yield '{"deletions": ['
+        for i, (_, text) in enumerate(_documents(tombstones.select("id", "deleted_at"))):
+            yield (",\n" if i else "\n") + text
+        yield "\n]}\n"
+
+    write_file(tombstones.sparkSession, f"{folder}/tombstones/deleted.json", parts())
+
+
+def write_manifest(state: DataFrame, folder: str, at: str) -> None:
+    """state: id, content_hash, updated_at."""
+    def parts() -> Iterator[str]:
+        yield f'{{"version": 2, "last_sync": {{"{S.machine()}": "{at}"}}, "entries": {{'
+        for i, (name, text) in enumerate(_documents(state.select("id", "content_hash", "updated_at"))):
+            yield f'{"," if i else ""}\n"{name}": {text}'
+        yield "\n}}\n"
+
+    write_file(state.sparkSession, f"{folder}/manifest.json", parts())
+
+
+#: Seconds a lock is waited for, between two tries, and after which one that nobody gave up counts as left behind.
+LOCK_TIMEOUT, LOCK_POLL, LOCK_STALE = 30.0, 0.1, 600.0
+
+
+@contextmanager
+def locked(spark: SparkSession, folder: str, timeout: float = LOCK_TIMEOUT) -> Iterator[None]:
+    """Holds the folder's lock file; TimeoutError if another holder doesn't give it up in time."""
+    p, files = _path(spark, f"{folder}/.lock")
+    until = time.monotonic() + timeout
+    while not files.createNewFile(p):
+        if files.exists(p) and time.time() - files.getFileStatus(p).getModificationTime() / 1000 > LOCK_STALE:
+            files.delete(p, False)
+            continue
+        if time.monotonic() > until:
+            raise TimeoutError(f"another writer holds {folder}")
+        time.sleep(LOCK_POLL)
+    try:
+        yield
+    finally:
+        files.delete(p, False)
 
 
 def with_hash(entries: DataFrame) -> DataFrame:
@@ -199,7 +355,7 @@ def embedded(entries: DataFrame, dimensions: int = 64) -> DataFrame:
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = F.filter(F.split(F.lower(S.sanitized(S.embedding_text(F.col("title"), F.col("description"), F.col("content")))), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(S.sanitized(S.embedding_text(*[F.coalesce(c, F.lit("")) for c in ("title", "description", "content")]))), r"\s+"), lambda w: w != "")
     hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimensions).transform(entries.withColumn("_words", words))
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")

@@ -5,6 +5,7 @@ each key; history is the log itself. Nothing is updated in place, so a writer th
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scalars as S
-from quillstone.operators import graph, maintenance, retrieval, search, sync, versions
+from quillstone.operators import graph, ledgers, maintenance, retrieval, search, sync, versions
 from quillstone.sources import readers
 from quillstone.tables import durable
 
@@ -24,7 +25,12 @@ TABLES = {
     "versions": (("entry_id", "version_number"), "entry_id string, version_number long, title string, description string, content string, brief string, tags array<string>, context array<string>, confidence double, source string, project string, created_at timestamp_ntz, created_by string, change_summary string"),
     "usage": (("id", "ts"), "id string, ts timestamp_ntz"),
     "synced": (("folder", "id"), "folder string, id string, content_hash string"),
+    "processed_sessions": (ledgers.SESSION, "session_id string, project_path string, processed_at timestamp_ntz, entries_created long"),
+    "processed_commits": (ledgers.COMMIT, "commit_sha string, repo_path string, processed_at timestamp_ntz, entries_created long"),
+    "processed_files": (ledgers.FILE, "file_path string, repo_path string, content_hash string, processed_at timestamp_ntz, entries_created long"),
 }
+#: Ledgers by what they tell of.
+LEDGERS = {"sessions": "processed_sessions", "commits": "processed_commits", "files": "processed_files"}
 _LOG = ", seq long, op string, at timestamp_ntz"
 #: Fields that update() changes; others are ignored.
 CHANGEABLE = ("title", "description", "content", "tags", "context", "confidence", "project")
@@ -32,7 +38,7 @@ _EMBEDDED = ("title", "description", "content")
 
 
 class Store:
-    """Logs as Parquet folders below path. One writer at a time numbers the rows."""
+    """Logs as Parquet folders below path. A lock lets one writer at a time number the rows."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,10 +59,28 @@ class Store:
         return last.drop("nth", "seq", "op", "at")
 
     def append(self, name: str, rows: DataFrame, op: str = "upsert", at: datetime | None = None) -> None:
+        """Rows of one append share a number, so a key counts once in it, but for events of use."""
         schema = self.spark.createDataFrame([], TABLES[name][1]).schema
-        last = self.log(name).agg(F.max("seq")).first()[0] or 0
         filled = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-        filled.select("*", F.lit(last + 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")).write.mode("append").parquet(f"{self.path}/{name}")
+        if name != "usage":
+            filled = filled.dropDuplicates(list(TABLES[name][0]))
+        with readers.locked(self.spark, self.path):
+            last = self.log(name).agg(F.max("seq")).first()[0] or 0
+            filled.select("*", F.lit(last + 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def compact(self, name: str) -> None:
+        """Rewrites a log as the last row of each key, deletions included, so that reads rank no more than these. Events of
+        use stay as they are."""
+        if name == "usage":
+            return
+        keys = TABLES[name][0]
+        with readers.locked(self.spark, self.path):
+            w = Window.partitionBy(*keys).orderBy(F.desc("seq"))
+            last = durable(self.log(name).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth"))
+            fresh, (old, files) = f"{self.path}/.{name}.new", readers._path(self.spark, f"{self.path}/{name}")
+            last.write.mode("overwrite").parquet(fresh)
+            files.delete(old, True)
+            files.rename(readers._path(self.spark, fresh)[0], old)
 
 
 class Engine:
@@ -122,7 +146,8 @@ class Engine:
     def _delete(self, found: DataFrame) -> None:
         now, ids = self.now(), found.select("id")
         edges, members, past = (self.store.current(n) for n in ("relationships", "members", "versions"))
-        gone = edges.join(ids.select(F.col("id").alias("x")), (F.col("source_id") == F.col("x")) | (F.col("target_id") == F.col("x")), "left_semi")
+        ends = edges.select("id", F.explode(F.array("source_id", "target_id")).alias("x"))
+        gone = edges.join(ends.join(ids.select(F.col("id").alias("x")), "x", "left_semi").select("id").distinct(), "id", "left_semi")
         for name, rows in (("relationships", gone), ("members", members.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")), ("versions", past.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")), ("entries", found)):
             if not rows.isEmpty():
                 self.store.append(name, rows, "delete", now)
@@ -189,8 +214,20 @@ class Engine:
         readers.export(self.entries().drop("embedding"), path, project)
 
     def import_from(self, path: str, skip_duplicates: bool = True) -> dict[str, int]:
-        """Ids, tags and times come back as they were written."""
-        told = readers.classified(readers.read_export(self.spark, path), self.store.current("entries"), skip_duplicates)
+        """From JSON lines or a JSON list. Ids, tags and times come back as they were written."""
+        return self.import_rows(readers.read_export(self.spark, path), skip_duplicates)
+
+    def import_rows(self, rows: DataFrame, skip_duplicates: bool = True) -> dict[str, int]:
+        """Rows of one id count once; what an entry doesn't tell is filled in."""
+        now = F.lit(self.now()).cast("timestamp_ntz")
+        filled = rows.withColumn("created", F.coalesce("created", now))
+        filled = filled.withColumns({
+            "id": F.coalesce("id", S.entry_id(F.concat(F.col("title"), F.coalesce("content", F.lit(""))), S.iso(F.col("created")))), "updated_at": F.coalesce("updated_at", "created"),
+            "brief": F.coalesce("brief", S.brief(F.col("content"))), "usage_count": F.coalesce("usage_count", F.lit(0)).cast("long"),
+            "confidence": F.coalesce("confidence", F.lit(1.0)), "source": F.coalesce("source", F.lit("import")),
+            **{c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tags", "context")},
+        })
+        told = durable(readers.classified(filled, self.store.current("entries"), skip_duplicates))
         counts = {r["outcome"]: r["count"] for r in told.groupBy("outcome").count().collect()}
         new = told.where("outcome = 'imported'").drop("outcome")
         if counts.get("imported"):
@@ -200,10 +237,16 @@ class Engine:
     # Versions
 
     def _snapshot(self, entry_id: str, by: str, summary: str | None) -> None:
-        now, old = self.now(), self.store.current("entries").where(F.col("id") == entry_id)
-        last = self.store.log("versions").where(F.col("entry_id") == entry_id).agg(F.max("version_number")).first()[0] or 0
-        image = old.withColumnRenamed("id", "entry_id").withColumns({"version_number": F.lit(last + 1), "created_at": F.lit(now).cast("timestamp_ntz"), "created_by": F.lit(by), "change_summary": F.lit(summary)})
-        self.store.append("versions", image, at=now)
+        self._snapshots(self.store.current("entries").where(F.col("id") == entry_id), by, summary)
+
+    def _snapshots(self, old: DataFrame, by: str, summary: str | None) -> None:
+        """The images of entries as their next versions."""
+        now, images = self.now(), old.withColumnRenamed("id", "entry_id")
+        last = self.store.log("versions").groupBy("entry_id").agg(F.max("version_number").alias("last"))
+        images = images.join(last, "entry_id", "left").withColumns({
+            "version_number": F.coalesce("last", F.lit(0)) + 1, "created_at": F.lit(now).cast("timestamp_ntz"), "created_by": F.lit(by), "change_summary": F.lit(summary),
+        })
+        self.store.append("versions", images, at=now)
 
     def history(self, entry_id: str, limit: int | None = None) -> DataFrame:
         return versions.history(versions.pruned(self.store.current("versions"), "entry_id"), "entry_id", entry_id, limit)
@@ -257,6 +300,20 @@ class Engine:
         ids = self.spark.createDataFrame([(entry_id,)], "id string")
         return graph.related(self.store.current("relationships"), self.store.current("entries"), ids, kind, direction)
 
+    def relationships_of(self, entry_id: str) -> DataFrame:
+        return graph.between_entries(self.store.current("relationships"), entry_id)
+
+    def relationship(self, edge_id: str) -> DataFrame:
+        return graph.get_relationship(self.store.current("relationships"), edge_id)
+
+    def dependency_tree(self, entry_id: str, depth: int = graph.DEPTH) -> DataFrame:
+        """(id, parent, level, path, circular, title); no rows if there is no such entry."""
+        current = self.store.current("entries").select("id", "title")
+        return graph.dependency_tree(self.spark, self.store.current("relationships"), entry_id, depth, current).join(current, "id", "left")
+
+    def link_counts(self) -> DataFrame:
+        return graph.link_counts(self.store.current("relationships"), self.store.current("members"), self.store.current("entries"))
+
     def create_collection(self, name: str, description: str = "") -> str:
         now = self.now()
         if not 0 < len(name.strip()) <= graph.MAX_NAME or len(description) > graph.MAX_ABOUT or not self.store.current("collections").where(F.col("name") == name.strip()).isEmpty():
@@ -266,6 +323,30 @@ class Engine:
         self.store.append("collections", row, at=now)
         return row.first()["id"]
 
+    def collection(self, id_or_name: str) -> DataFrame:
+        return graph.get_collection(self.collections(None), id_or_name)
+
+    def update_collection(self, collection_id: str, name: str | None = None, description: str | None = None) -> bool:
+        """False if there is no such collection; raises for a name or description that create_collection wouldn't take."""
+        current, now = self.store.current("collections"), self.now()
+        found = current.where(F.col("id") == collection_id)
+        if found.isEmpty():
+            return False
+        if name is not None:
+            name = name.strip()
+            if not 0 < len(name) <= graph.MAX_NAME or not current.where((F.col("name") == name) & (F.col("id") != collection_id)).isEmpty():
+                raise ValueError("a collection needs a new name within its limits")
+            found = found.withColumn("name", F.lit(name))
+        if description is not None:
+            if len(description) > graph.MAX_ABOUT:
+                raise ValueError("a collection's description has a limit")
+            found = found.withColumn("description", F.lit(description))
+        self.store.append("collections", found.withColumn("updated_at", F.lit(now).cast("timestamp_ntz")), at=now)
+        return True
+
+    def _touch(self, collection_id: str, now: datetime) -> None:
+        self.store.append("collections", self.store.current("collections").where(F.col("id") == collection_id).withColumn("updated_at", F.lit(now).cast("timestamp_ntz")), at=now)
+
     def delete_collection(self, collection_id: str) -> bool:
         found = self.store.current("collections").where(F.col("id") == collection_id)
         if found.isEmpty():
@@ -282,57 +363,126 @@ class Engine:
         if new.isEmpty():
             return False
         self.store.append("members", new, at=now)
-        self.store.append("collections", self.store.current("collections").where(F.col("id") == collection_id).withColumn("updated_at", F.lit(now).cast("timestamp_ntz")), at=now)
+        self._touch(collection_id, now)
         return True
 
     def remove_from_collection(self, collection_id: str, entry_id: str) -> bool:
         found = self.store.current("members").where((F.col("collection_id") == collection_id) & (F.col("entry_id") == entry_id))
         if found.isEmpty():
             return False
-        self.store.append("members", found, "delete", self.now())
+        now = self.now()
+        self.store.append("members", found, "delete", now)
+        self._touch(collection_id, now)
         return True
 
+    def collections_of(self, entry_id: str) -> DataFrame:
+        return graph.collections_of(self.store.current("collections"), self.store.current("members"), entry_id)
+
     def collections(self, limit: int | None = 50) -> DataFrame:
         return graph.list_collections(self.store.current("collections"), self.store.current("members"), limit)
 
     def collection_members(self, collection_id: str) -> DataFrame:
         return graph.members(self.store.current("entries"), self.store.current("members"), collection_id)
 
+    # Ledgers
+
+    def pending(self, kind: str, items: DataFrame) -> DataFrame:
+        """Items (the ledger's key, for files also content_hash) that aren't processed as they are."""
+        name = LEDGERS[kind]
+        return ledgers.pending(items, self.store.current(name), TABLES[name][0], "content_hash" in items.columns)
+
+    def mark(self, kind: str, items: DataFrame, created: DataFrame) -> None:
+        """Marks items as processed; created has the key of an item for each entry made of it."""
+        name, now = LEDGERS[kind], self.now()
+        self.store.append(name, ledgers.marks(items, TABLES[name][0], created, now), at=now)
+
+    def processed(self, kind: str) -> DataFrame:
+        """What was processed, the latest first."""
+        return self.store.current(LEDGERS[kind]).orderBy(F.desc("processed_at"), *TABLES[LEDGERS[kind]][0])
+
+    def is_processed(self, kind: str, *key: str, content_hash: str | None = None) -> bool:
+        found = self.store.current(LEDGERS[kind])
+        for column, value in zip(TABLES[LEDGERS[kind]][0], key, strict=True):
+            found = found.where(F.col(column) == value)
+        return not (found.where(F.col("content_hash") == content_hash) if content_hash is not None else found).isEmpty()
+
     # Replicas
 
     def tombstones(self) -> DataFrame:
         log = self.store.log("entries")
         return log.groupBy("id").agg(F.max_by("op", "seq").alias("op"), F.max("at").alias("deleted_at")).where("op = 'delete'").select("id", "deleted_at")
 
-    def sync(self, folder: str, base: DataFrame | None = None, strategy: str = "last-write-wins", *, push_only: bool = False, pull_only: bool = False, dry_run: bool = False, project: str | None = None) -> DataFrame:
-        """Actions (id, action) on entries against a replica folder, carried out unless dry_run, relationships and
-        collections with them. base (id, content_hash) is what this store last synchronized with the folder, unless given."""
-        spark, now = self.spark, self.now()
-        if base is None:
-            base = self.store.current("synced").where(F.col("folder") == folder).select("id", "content_hash")
+    def sync_path(self, folder: str | None = None) -> str:
+        """The folder given, which is kept for the next time, or the one kept."""
+        path = f"{self.store.path}/config.json"
+        if folder is None:
+            found = self.spark.read.schema("sync_path string").option("multiLine", "true").json(path).first() if readers.exists(self.spark, path) else None
+            if found is None or not found["sync_path"]:
+                raise ValueError("no folder to synchronize with is known")
+            return found["sync_path"]
+        readers.write_file(self.spark, path, [json.dumps({"sync_path": folder})])
+        return folder
+
+    def _sides(self, folder: str, project: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Local entries, remote entries, and deletions that either side tells of."""
         local = readers.with_hash(search.in_project(self.store.current("entries"), project))
-        all_remote = readers.with_hash(readers.replica(spark, folder, "entries", readers.ENTRY))
+        remote = readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
+        told = self.tombstones().unionByName(readers.replica_tombstones(self.spark, folder))
+        return local, remote, told.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
+
+    def sync_status(self, folder: str | None = None, project: str | None = None) -> DataFrame:
+        """(id, action) that a synchronization has before it, against the folder's manifest; nothing is changed."""
+        folder = folder or self.sync_path()
+        if not readers.exists(self.spark, folder):
+            raise ValueError("there is no such folder")
+        local, remote, told = self._sides(folder, project)
+        return sync.actions(local, search.in_project(remote, project), readers.manifest(self.spark, folder), told).select("id", "action").where("action <> 'no_change'")
+
+    def sync(self, folder: str | None = None, base: DataFrame | None = None, strategy: str = "last-write-wins", *, push_only: bool = False, pull_only: bool = False, dry_run: bool = False, project: str | None = None) -> DataFrame:
+        """Actions (id, action) on entries against a replica folder, carried out unless dry_run, relationships and
+        collections with them. base (id, content_hash) is what this store last synchronized with the folder, unless given.
+        Afterwards the base of an entry is its hash where both sides have that; other entries keep the base they had.
+        Deletions go into the folder, so that other replicas hear of them."""
+        folder = self.sync_path(folder)
+        with readers.locked(self.spark, folder):
+            return self._synced(folder, base, strategy, push_only, pull_only, dry_run, project)
+
+    def _synced(self, folder: str, base: DataFrame | None, strategy: str, push_only: bool, pull_only: bool, dry_run: bool, project: str | None) -> DataFrame:
+        now, known = self.now(), self.store.current("synced").where(F.col("folder") == folder).select("id", "content_hash")
+        local, all_remote, told = self._sides(folder, project)
         remote = search.in_project(all_remote, project)
-        acts = durable(sync.one_way(sync.resolved(sync.actions(local, remote, base, self.tombstones()), strategy), push_only, pull_only).select("id", "action"))
+        acts = durable(sync.one_way(sync.resolved(sync.actions(local, remote, known if base is None else base, told), strategy), push_only, pull_only).select("id", "action"))
         if dry_run:
             return acts
         some = lambda *names: acts.where(F.col("action").isin(*names)).select("id")
-        # Both sides' new states are worked out before either is written.
-        pulled = durable(remote.join(some("pull"), "id", "left_semi"))
+        # Both sides' changes are worked out before either is written.
+        pulled = durable(remote.join(some("pull"), "id", "left_semi").drop("content_hash"))
         gone = durable(local.join(some("delete_local"), "id", "left_semi"))
-        names = [c for c in remote.columns if c != "content_hash"]
-        kept = all_remote.join(some("push", "delete_remote"), "id", "left_anti").select(names)
-        pushed = durable(kept.unionByName(local.join(some("push"), "id", "left_semi").select(names)))
+        pushed = durable(local.join(some("push"), "id", "left_semi").select(remote.columns))
+        told = durable(told)
         if not pulled.isEmpty():
+            # An entry that is here already keeps the image it had as a version.
+            had = durable(self.store.current("entries").join(pulled.select("id"), "id", "left_semi"))
+            if not had.isEmpty():
+                self._snapshots(had, "sync", "Before synchronization")
             self.store.append("entries", self.embed(pulled), at=now)
         if not gone.isEmpty():
             self._delete(gone)
-        if not some("push", "delete_remote").isEmpty():
-            readers.write_replica(pushed, folder, "entries")
-        agreed = readers.with_hash(self.store.current("entries")).join(pushed.select("id").unionByName(pulled.select("id")), "id", "left_semi")
-        self.store.append("synced", agreed.select(F.lit(folder).alias("folder"), "id", "content_hash"), at=now)
+        readers.write_replica(pushed, folder, "entries")
+        readers.remove_replica(some("delete_remote"), folder, "entries")
+        if not pull_only:
+            readers.write_tombstones(told.unionByName(self.tombstones()).groupBy("id").agg(F.max("deleted_at").alias("deleted_at")), folder)
+        here = readers.with_hash(self.store.current("entries"))
+        there = readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
+        agreed = durable(here.select("id", "content_hash", "updated_at").join(there.select("id", "content_hash"), ["id", "content_hash"], "left_semi"))
+        new = agreed.join(known, ["id", "content_hash"], "left_anti")
+        self.store.append("synced", new.select(F.lit(folder).alias("folder"), "id", "content_hash"), at=now)
+        lost = known.join(here.select("id").unionByName(there.select("id")), "id", "left_anti")
+        self.store.append("synced", lost.select(F.lit(folder).alias("folder"), "id", "content_hash"), "delete", now)
+        if not pull_only:
+            readers.write_manifest(agreed, folder, now.isoformat())
         if not pull_only and not push_only:
-            self._sync_relationships(folder, pushed.select("id"), now)
+            self._sync_relationships(folder, there.select("id"), now)
             self._sync_collections(folder, now)
         return acts
 
@@ -341,11 +491,10 @@ class Engine:
         local, remote = self.store.current("relationships"), readers.replica(self.spark, folder, "relationships", readers.RELATIONSHIP)
         acts = sync.relationships(local, remote, self.store.current("entries").select("id"), remote_ids)
         pull = durable(remote.join(acts.where("action = 'pull'"), key, "left_semi"))
-        push = durable(remote.unionByName(local.join(acts.where("action = 'push'"), key, "left_semi").select(remote.columns)))
+        push = durable(local.join(acts.where("action = 'push'"), key, "left_semi").select(remote.columns))
         if not pull.isEmpty():
             self.store.append("relationships", pull, at=now)
-        if not push.isEmpty():
-            readers.write_replica(push, folder, "relationships")
+        readers.write_replica(push, folder, "relationships")
 
     def _sync_collections(self, folder: str, now: datetime) -> None:
         members = self.store.current("members").groupBy(F.col("collection_id").alias("id")).agg(F.array_sort(F.collect_list("entry_id")).alias("member_ids"))
@@ -354,7 +503,7 @@ class Engine:
         acts = sync.collections(local, remote)
         pull = durable(remote.join(acts.where("action = 'pull'"), "id", "left_semi"))
         pushed = acts.where("action = 'push'")
-        push = durable(remote.join(pushed, "id", "left_anti").unionByName(local.join(pushed, "id", "left_semi").select(remote.columns)))
+        push = durable(local.join(pushed, "id", "left_semi").select(remote.columns))
         if not pull.isEmpty():
             told = pull.select(F.col("id").alias("collection_id"), F.explode("member_ids").alias("entry_id"))
             fresh = durable(sync.collection_members(told, pull, self.store.current("entries").select("id")).withColumn("added_at", F.lit(now).cast("timestamp_ntz")))
@@ -362,8 +511,7 @@ class Engine:
             self.store.append("members", old, "delete", now)
             self.store.append("collections", pull, at=now)
             self.store.append("members", fresh, at=now)
-        if not push.isEmpty():
-            readers.write_replica(push, folder, "collections")
+        readers.write_replica(push, folder, "collections")
 
 
 def _tags(tags) -> list[str]:

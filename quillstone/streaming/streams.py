@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import ledgers
-from quillstone.tables import shared_dir
+from quillstone.tables import durable, shared_dir
 
 
 def daily_usage(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -21,14 +22,25 @@ def daily_usage(events: DataFrame, late: str = "2 days") -> DataFrame:
     return views.groupBy(F.window("at", "1 day"), "id").agg(F.count("*").alias("n")).select("id", day.alias("day"), "n")
 
 
+def use_sessions(events: DataFrame, gap: str = "3 days", late: str = "2 days") -> DataFrame:
+    """(id, first, last, n): runs of views with no longer pause than gap; an entry whose last run is over has gone stale.
+    State is kept for open runs alone."""
+    at = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    views = events.where("event_type = 'view'").select(F.col("user_id").alias("id"), at.alias("at")).withWatermark("at", late)
+    runs = views.groupBy(F.session_window("at", gap), "id").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    shown = lambda c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias(c)
+    return runs.select("id", shown("first"), shown("last"), "n")
+
+
 def first_seen(events: DataFrame) -> DataFrame:
     """Each user's kinds of events once, by state, as changed files are told from those already processed."""
     return events.select(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).dropDuplicates(["id", "kind"])
 
 
-def run_once(spark: SparkSession, path: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run_once(spark: SparkSession, path: str, made: Callable[[DataFrame], DataFrame], mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """What a stream over the files at path gives until it has read them all. Its state and results are in the shared
-    folder; only aggregations' last results remain."""
+    folder. In mode update each batch holds the rows that it changed, and the last row of each of keys counts; in mode
+    complete the last batch does."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).parquet(path) if not path.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", path.rsplit("/", 1)[1] if not _is_folder(spark, path) else "*").parquet(path if _is_folder(spark, path) else path.rsplit("/", 1)[0])
@@ -37,12 +49,14 @@ def run_once(spark: SparkSession, path: str, made: Callable[[DataFrame], DataFra
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    complete = made is daily_usage
-    query = out.writeStream.outputMode("complete" if complete else "append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     found = spark.read.parquet(f"{at}/out")
-    if complete:
+    if mode == "complete":
         found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rest = [c for c in out.columns if c not in keys]
+        found = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
     return found.select(*out.columns)
 
 
@@ -53,23 +67,25 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def mined(items: DataFrame, key: tuple[str, ...], extract: Callable[[DataFrame], DataFrame], entries_path: str, ledger_path: str, checkpoint: str):
-    """A stream that mines new items: those in the ledger are left out, entries are appended, then items are marked.
-    An item counts as done only when its entries are written, so a batch that is run again after a loss repeats none."""
+    """A stream that mines new items: those in the ledger are left out, entries are written, then items are marked. Each
+    batch writes a folder of its own for either, which a batch that is run again after a loss replaces, and it doesn't look
+    at its own marks: so nothing is repeated or left out. Of which item an entry was made is told by the key's columns in
+    it, or by its source_refs, which hold the key's first column."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = f"{', '.join(f'{k} string' for k in key)}, processed_at timestamp_ntz, entries_created long"
+        schema = f"{', '.join(f'{k} string' for k in key)}, processed_at timestamp_ntz, entries_created long, batch long"
         try:
-            done = ledgers.current(spark.read.schema(schema).parquet(ledger_path), key)
+            done = ledgers.current(spark.read.schema(schema).parquet(ledger_path).where(F.col("batch") != number).drop("batch"), key)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            done = spark.createDataFrame([], schema)
-        todo = ledgers.pending(batch, done, key)
-        made = extract(todo)
-        made.write.mode("append").parquet(entries_path)
-        ids = [c for c in key if c in made.columns]
-        created = made if len(ids) == len(key) else made.limit(0).select(*[F.lit(None).cast("string").alias(k) for k in key])
-        ledgers.marks(todo.select(*key).distinct(), key, created, __import__("datetime").datetime.now()).write.mode("append").parquet(ledger_path)
+            done = spark.createDataFrame([], schema).drop("batch")
+        todo = durable(ledgers.pending(batch, done, key))
+        extract(todo).write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
+        made, which = spark.read.parquet(f"{entries_path}/batch={number}"), todo.select(*key).distinct()
+        if not set(key) <= set(made.columns):
+            made = made.select(F.explode("source_refs").alias(key[0])).join(which, key[0])
+        ledgers.marks(which, key, made, datetime.now()).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step)

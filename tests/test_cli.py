@@ -1,10 +1,11 @@
+import io
 import json
 
 from quillstone import cli
 from quillstone.store import Engine
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys, monkeypatch):
     engine = Engine(spark, str(tmp_path / "kb"))
 
     def run(*args):
@@ -23,5 +24,17 @@ def test_commands(spark, tmp_path, capsys):
     assert "score=" in run("quality") and "by_project" in run("stats") and run("stale") == "" and run("completions", "project", "p") == "project=p"
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "x.py").write_text('class Thing:\n    """' + "Words about a thing. " * 8 + '"""\n')
-    assert run("analyze", str(tmp_path / "src"), "--code") == "1 entries"
-    assert run("delete", b) == "done" and run("delete", b) == "not found" and run("purge") == "2 entries"
+    assert run("analyze", str(tmp_path / "src"), "--code") == "1 entries" and run("analyze", str(tmp_path / "src"), "--code") == "0 entries"
+    (tmp_path / "src" / "x.py").write_text('class Other:\n    """' + "Words about another thing. " * 8 + '"""\n')
+    assert run("analyze", str(tmp_path / "src"), "--code") == "1 entries" and "entries_created=1" in run("processed", "files")
+    assert "Core" in run("collection", "list") and run("collection", "update", "Core", "--rename", "Kernel") == "done"
+    assert len(json.loads(run("export", "-"))) == 4 and run("export", str(tmp_path / "all.json")) == "4 entries"
+    assert json.loads(run("import", str(tmp_path / "all.json"))) == {"imported": 0, "skipped": 4, "errors": 0}
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps([{"title": "In", "description": "d", "content": "c"}])))
+    assert json.loads(run("import", "-")) == {"imported": 1, "skipped": 0, "errors": 0}
+    assert "action=push" in run("sync", str(tmp_path / "replica")) and run("sync", "--status") == ""
+    talk = [{"type": "user", "uuid": "u1", "message": {"role": "user", "content": "How do I fix the failing cache test?"}}, {"type": "assistant", "uuid": "a1", "parentUuid": "u1", "message": {"role": "assistant", "content": [{"type": "text", "text": "Clear the cache before each test, then run it again."}, {"type": "tool_use", "id": "t", "name": "Edit", "input": {"file_path": "x.py", "old_string": "a", "new_string": "b"}}]}}]
+    (tmp_path / "talks").mkdir()
+    (tmp_path / "talks" / "s1.jsonl").write_text("\n".join(json.dumps(x) for x in talk))
+    assert run("summarize", str(tmp_path / "talks")) == "1 entries" and run("summarize", str(tmp_path / "talks")) == "0 entries"
+    assert run("delete", b) == "done" and run("delete", b) == "not found" and run("purge") == "5 entries"

@@ -1,5 +1,6 @@
 """The store and the engine: writes append, reads see the last state."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -65,7 +66,7 @@ def test_sync(engine, spark, tmp_path):
     c = engine.create_collection("Core")
     engine.add_to_collection(c, a)
     engine.sync(at)
-    assert {r["id"] for r in engine.entries().collect()} == {a, "r1"} and {r["id"] for r in spark.read.json(str(folder)).collect()} == {a, "r1"}
+    assert {r["id"] for r in engine.entries().collect()} == {a, "r1"} and {r["id"] for r in spark.read.json(str(folder), multiLine=True, mode="DROPMALFORMED").where("id is not null").collect()} == {a, "r1"}
     engine.link(a, "r1")
     assert {r["action"] for r in engine.sync(at).collect()} == {"no_change"}
 
@@ -100,3 +101,89 @@ def test_mining_stream_repeats_nothing(spark, tmp_path):
     assert run() == 2
     marks = ledgers.current(spark.read.parquet(str(tmp_path / "ledger")), ledgers.SESSION).collect()
     assert {(r["session_id"], r["entries_created"]) for r in marks} == {("one", 1), ("two", 1)}
+
+
+def two_engines(spark, tmp_path):
+    clock = iter(datetime(2024, 1, 1) + timedelta(minutes=i) for i in range(10_000))
+    return [Engine(spark, str(tmp_path / n), now=lambda: next(clock)) for n in ("a", "b")]
+
+
+def test_sync_keeps_edits_and_tells_of_deletions(spark, tmp_path):
+    a, b = two_engines(spark, tmp_path)
+    folder = str(tmp_path / "folder")
+    one, two = a.capture("One", "d", "first"), a.capture("Two", "d", "second")
+    a.sync(folder)
+    assert a.sync_status().count() == 0 and a.sync_path() == folder
+    assert {r["action"] for r in b.sync(folder).collect()} == {"pull"} and b.entries().count() == 2
+    # An edit outlives a synchronization that doesn't push it.
+    a.update(one, content="edited")
+    assert a.sync(pull_only=True).count() == 0
+    assert [(r["id"], r["action"]) for r in a.sync_status().collect()] == [(one, "push")]
+    assert {(r["id"], r["action"]) for r in a.sync().where("action <> 'no_change'").collect()} == {(one, "push")}
+    b.sync()
+    assert b.get(one).first()["content"] == "edited" and b.history(one).count() == 1
+    # What one side deletes goes from the folder and from the other side.
+    b.delete(two)
+    assert {(r["id"], r["action"]) for r in b.sync().where("action <> 'no_change'").collect()} == {(two, "delete_remote")}
+    assert {(r["id"], r["action"]) for r in a.sync().where("action <> 'no_change'").collect()} == {(two, "delete_local")}
+    assert a.get(two).count() == 0 and readers.replica_entry(spark, folder, two).count() == 0 and readers.replica_entry(spark, folder, one).count() == 1
+    assert [r["id"] for r in readers.replica_tombstones(spark, folder).collect()] == [two] and [r["id"] for r in readers.manifest(spark, folder).collect()] == [one]
+    # Both sides edit: manual leaves the conflict, and its base.
+    a.update(one, content="of a")
+    b.update(one, content="of b")
+    a.sync()
+    assert [r["action"] for r in b.sync(strategy="manual").collect()] == ["conflict"] and b.get(one).first()["content"] == "of b"
+    assert [r["action"] for r in b.sync(strategy="remote-wins").collect()] == ["pull"] and b.get(one).first()["content"] == "of a"
+
+
+def test_replica_reads_indented_documents(spark, tmp_path):
+    folder = tmp_path / "f" / "entries"
+    folder.mkdir(parents=True)
+    for i in range(3):
+        (folder / f"e{i}.json").write_text(json.dumps({"id": f"e{i}", "title": f"T\n{i}", "content": "c", "tags": ["x"]}, indent=2))
+    (folder / "bad.json").write_text('{"id": ')
+    assert sorted(r["id"] for r in readers.replica(spark, str(tmp_path / "f"), "entries", readers.ENTRY).collect()) == ["e0", "e1", "e2"]
+    engine = Engine(spark, str(tmp_path / "kb"))
+    engine.sync(str(tmp_path / "f"))
+    assert engine.entries().count() == 3
+
+
+def test_trees_collections_and_relationships(engine):
+    a, b, c = (engine.capture(x, "d", f"content {x}") for x in ("A", "B", "C"))
+    for x, y in ((a, b), (b, c), (c, a)):
+        assert engine.link(x, y, "depends-on")
+    tree = {(r["level"], r["title"], r["circular"]) for r in engine.dependency_tree(a, 5).collect()}
+    assert tree == {(0, "A", False), (1, "B", False), (2, "C", False), (3, "A", True)} and engine.dependency_tree("none").count() == 0
+    edges = engine.relationships_of(a).collect()
+    assert len(edges) == 2 and engine.relationship(edges[0]["id"]).count() == 1
+    k = engine.create_collection("Core")
+    engine.create_collection("Other")
+    assert engine.update_collection(k, " Kernel ", "about") and engine.collection("Kernel").first()["description"] == "about" and not engine.update_collection("none", "x")
+    with pytest.raises(ValueError):
+        engine.update_collection(k, "Other")
+    engine.add_to_collection(k, a)
+    before = engine.collection(k).first()["updated_at"]
+    assert engine.remove_from_collection(k, a) and engine.collection(k).first()["updated_at"] > before and engine.collections_of(a).count() == 0
+
+
+def test_import_of_lists_and_compaction(engine, tmp_path, spark):
+    rows = [{"title": "X", "description": "d", "content": "c", "id": "i1"}, {"title": "Y", "description": "d", "content": "c", "id": "i1"}, {"title": " \n", "description": "d", "content": "c"}, {"title": "Z", "description": "d", "content": "c"}]
+    (tmp_path / "list.json").write_text(json.dumps(rows, indent=2))
+    assert engine.import_from(str(tmp_path / "list.json")) == {"imported": 3, "skipped": 0, "errors": 1} and engine.entries().count() == 2
+    assert engine.import_rows(readers.parse_export(spark, json.dumps(rows[:1]))) == {"imported": 0, "skipped": 1, "errors": 0}
+    with pytest.raises(ValueError):
+        readers.parse_export(spark, "{}")
+    assert readers.write_list(engine.entries().drop("embedding"), str(tmp_path / "out.json")) == 2 and len(json.loads((tmp_path / "out.json").read_text())) == 2
+    engine.update("i1", content="changed")
+    before = engine.store.log("entries").count()
+    engine.store.compact("entries")
+    assert engine.store.log("entries").count() < before and engine.get("i1").first()["content"] == "changed" and engine.entries().count() == 2
+
+
+def test_locks(spark, tmp_path):
+    with readers.locked(spark, str(tmp_path)):
+        with pytest.raises(TimeoutError):
+            with readers.locked(spark, str(tmp_path), timeout=0.3):
+                pass
+    with readers.locked(spark, str(tmp_path), timeout=0.3):
+        pass
