@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,9 +112,10 @@ class Model:
 
 
 def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (lang, text): languages and features, as 32-bit floats in bytes."""
+    """From (lang, text): languages and features, as compressed 32-bit floats."""
+    compress = zstandard.ZstdCompressor(level=1).compress
     for batch in common.small_batches(batches, "text", _BATCH_BYTES):
-        rows = [features(t).tobytes() for t in common.utf8(batch.column(1))]
+        rows = [compress(features(t).tobytes()) for t in common.utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "features"])
 
 
@@ -133,7 +135,8 @@ def _sample(documents: DataFrame, rows_per_label: int, sample_rows: int) -> tupl
     drawn = labelled.select("lang", "text", F.xxhash64(F.lit(8), "doc_id", "text").alias("h")).join(F.broadcast(below), "lang").where("h <= below").select("lang", "text")
     made = drawn.mapInArrow(_featured, "lang string, features binary").limit(2 * wanted * len(labels) + len(labels)).toArrow()
     number = {x: i for i, x in enumerate(labels)}
-    rows = np.frombuffer(b"".join(made.column("features").to_pylist()), dtype=np.float32).reshape(-1, BUCKETS) if made.num_rows else none
+    expand = zstandard.ZstdDecompressor().decompress
+    rows = np.frombuffer(b"".join(map(expand, made.column("features").to_pylist())), dtype=np.float32).reshape(-1, BUCKETS) if made.num_rows else none
     return labels, rows, np.array([number[x] for x in made.column("lang").to_pylist()], dtype=np.int64)
 
 
