@@ -6,25 +6,30 @@ else is found, in four steps whose shuffles grow with the input alone:
 1. Suffix sampling. In each window of ``length`` bytes the K-byte string of
    least hash is its anchor. The choice depends on the window's bytes only, so
    equal windows have equal anchors. Neighbouring windows of one anchor form a
-   block; there is about one for 70 bytes.
-2. Counting. Blocks whose anchor string occurs once can't repeat and go. If all
-   blocks of an anchor string are equal, all their windows repeat. What is left
-   are blocks where repeated passages begin, end or differ.
-3. Suffix sorting. The distinct blocks left are range-partitioned by the leading
-   bytes of their anchors' suffixes with sampled splitters. In each bucket the
-   suffixes at all window starts are sorted by multikey quicksort, with eight
-   bytes for a token, and neighbours of equal tokens are compared byte by byte.
-   Splitters never part equal leading bytes, so no repeat crosses a boundary
-   unseen; an anchor string of more than ``group_blocks`` distinct blocks, too
-   many for one bucket, has its suffixes compared across buckets by digests of
-   128 bits instead.
+   block; there is about one for 70 bytes. Blocks whose anchor string occurs once
+   can't repeat and go. Of the blocks that are left, the distinct ones are cut
+   out, each at two of its places where it has several.
+2. Suffix sorting. Blocks are range-partitioned by the leading bytes of their
+   anchors' suffixes with sampled splitters. In each bucket the suffixes are
+   sorted by multikey quicksort, with eight bytes for a token: suffixes are
+   parted by one token, and only those that tie go on to the next, to the last.
+   First the blocks as wholes: neighbours that agree in all bytes are copies, all
+   of whose windows repeat. Then, of anchors with several distinct blocks, the
+   suffixes at all window starts: neighbours that agree in a window's bytes repeat.
+3. Boundaries. Splitters never part equal leading bytes, so no repeat of a usual
+   anchor crosses a boundary. An anchor string of more than ``group_blocks``
+   blocks, too many for one bucket, has the suffixes at all its window starts
+   range-partitioned by all their bytes instead; neighbours are compared inside
+   the partitions, and then the first and the last of each with those of others.
 4. Covering. Each document's repeated ranges are joined to it.
 
 An anchor string that very many blocks share is counted before its shuffle and
 its join is open to skew splitting; copies of a passage are one distinct block.
 
 Defined cases: null text is empty; shorter texts have no repeats; a repeat
-inside one document counts; repeated rows repeat each other.
+inside one document counts; repeated rows repeat each other; of strings that
+tie all are removed; an empty table gives one; columns named n_bytes, n_removed,
+n_spans or removed give way to the result's; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -142,7 +147,8 @@ def _packed(documents: DataFrame, text: str) -> DataFrame:
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (packed, chosen): the chosen blocks' bytes, with the leading bytes of their anchors' suffixes."""
+    """From (packed, chosen): the chosen blocks' bytes, with the leading bytes of their anchors' suffixes, and whether their
+    anchor has several distinct blocks."""
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
@@ -151,61 +157,63 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in chosen:
                 first, place, windows = c["loc"] >> 20, c["loc"] >> 10 & 1023, c["loc"] & 1023
                 lead = text[first + place : first + place + 16]
-                rows.append((int.from_bytes(lead[:8]) - 2**63, int.from_bytes(lead[8:]) - 2**63, c["anchor"], c["block"], c["n"], text[first : first + windows + LENGTH - 1]))
+                rows.append((int.from_bytes(lead[:8]) - 2**63, int.from_bytes(lead[8:]) - 2**63, c["anchor"], c["block"], c["mixed"], text[first : first + windows + LENGTH - 1]))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], names=["lead0", "lead1", "anchor", "block", "n", "bytes"]
-        )
+        kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lead0", "lead1", "anchor", "block", "mixed", "bytes"])
+
+
+def _ties(index: np.ndarray, token, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of suffixes, all groups of a level at once: a group is parted by one token, and only suffixes that
+    tie go on to the next one. Returns those that tie in all tokens, and their groups. token(suffixes, depth): numbers."""
+    group = np.zeros(len(index), dtype=np.int64)
+    for depth in range(tokens):
+        if not len(index):
+            break
+        now = token(index, depth)
+        order = np.lexsort((now, group))
+        index, now, group = index[order], now[order], group[order]
+        new = np.ones(len(index), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (now[1:] != now[:-1])
+        group = np.cumsum(new) - 1
+        tied = np.bincount(group)[group] > 1
+        index, group = index[tied], group[tied]
+    return index, group
 
 
 class Suffixes:
-    """The suffixes at the window starts of some blocks, with their tokens."""
+    """Blocks laid end to end, each filled up with zeros, and the suffixes at their starts and at their windows' starts."""
 
     def __init__(self, blocks: list[bytes]):
-        self.buffer = np.frombuffer(b"".join(blocks), dtype=np.uint8)
-        sizes = np.fromiter(map(len, blocks), dtype=np.int64, count=len(blocks))
-        starts = np.cumsum(sizes) - sizes
-        self.windows = sizes - LENGTH + 1
-        total = int(self.windows.sum())
-        self.firsts = np.cumsum(self.windows) - self.windows
-        self.at = np.repeat(starts - self.firsts, self.windows) + np.arange(total)
+        self.sizes = np.fromiter(map(len, blocks), dtype=np.int64, count=len(blocks))
+        filled = -(-self.sizes // 8) * 8
+        self.buffer = np.frombuffer(b"".join(b + bytes(n - len(b)) for b, n in zip(blocks, filled.tolist(), strict=True)) + bytes(8), dtype=np.uint8)
+        self.starts = np.cumsum(filled) - filled
         self._eight = np.lib.stride_tricks.sliding_window_view(self.buffer, 8)
-        self._hash: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def token(self, suffixes: np.ndarray, depth: int) -> np.ndarray:
-        """Eight bytes as a number in their order; at the last depth a digest of all bytes of the window."""
-        if depth < 3:
-            return np.ascontiguousarray(self._eight[self.at[suffixes] + 8 * depth]).view(">u8").ravel().astype(np.uint64)
-        return self.digest(suffixes, 0)
-
-    def digest(self, suffixes: np.ndarray, seed: int) -> np.ndarray:
-        if seed not in self._hash:
-            self._hash[seed] = (_doubled(self.buffer, 128, seed), _doubled(self.buffer, 64, seed))
-        long, short = self._hash[seed]
-        at = self.at[suffixes]
-        return (long[at] * _M1 + short[at + 128]) * _M1 + short[at + LENGTH - 64]
-
-    def repeated(self) -> np.ndarray:
-        """Which windows equal another one. Multikey quicksort: only ties of one token go on to the next."""
-        out = np.zeros(len(self.at), dtype=bool)
-        index, group = np.arange(len(self.at)), np.zeros(len(self.at), dtype=np.int64)
-        for depth in range(4):
-            token = self.token(index, depth)
-            order = np.lexsort((token, group))
-            index, token, group = index[order], token[order], group[order]
-            new = np.ones(len(index), dtype=bool)
-            new[1:] = (group[1:] != group[:-1]) | (token[1:] != token[:-1])
-            group = np.cumsum(new) - 1
-            tied = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, dtype=bool)
-            index, group = index[tied], group[tied]
-            if not len(index):
-                return out
-        whole = np.lib.stride_tricks.sliding_window_view(self.buffer, LENGTH)
-        for i in range(0, len(index) - 1, 20_000):
-            j = min(i + 20_000, len(index) - 1)
-            same = (group[i:j] == group[i + 1 : j + 1]) & (whole[self.at[index[i:j]]] == whole[self.at[index[i + 1 : j + 1]]]).all(axis=1)
-            out[index[i:j][same]] = True
-            out[index[i + 1 : j + 1][same]] = True
+
+    def _token(self, at: np.ndarray) -> np.ndarray:
+        """Eight bytes as a number, in their order."""
+        return np.ascontiguousarray(self._eight[at]).view(">u8").ravel().astype(np.uint64)
+
+    def copies(self) -> np.ndarray:
+        """For each block the first one that equals it."""
+        first = np.arange(len(self.sizes))
+        # Blocks of one length tie in all their bytes or don't.
+        for size in np.unique(self.sizes).tolist():
+            index, group = _ties(np.flatnonzero(self.sizes == size), lambda i, depth: self._token(self.starts[i] + 8 * depth), -(-size // 8))
+            if len(index):
+                least = np.full(int(group.max()) + 1, len(first))
+                np.minimum.at(least, group, index)
+                first[index] = least[group]
+        return first
+
+    def repeated(self, blocks: np.ndarray) -> np.ndarray:
+        """For some blocks: which of their windows, one block after the other, equal another window of them."""
+        windows = self.sizes[blocks] - LENGTH + 1
+        at = np.repeat(self.starts[blocks] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        out = np.zeros(len(at), dtype=bool)
+        index, _ = _ties(np.arange(len(at)), lambda i, depth: self._token(at[i] + 8 * depth), LENGTH // 8)
+        out[index] = True
         return out
 
 
@@ -217,28 +225,36 @@ def _ranges(starts: np.ndarray) -> tuple[list[int], list[int]]:
     return starts[np.concatenate(([0], gap + 1))].tolist(), (starts[np.concatenate((gap, [len(starts) - 1]))] + LENGTH).tolist()
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    """From (anchor, block, begins, ends)."""
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "block", "begins", "ends"])
+
+
 def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted (lead0, lead1, anchor, block, n, bytes): the repeated byte ranges of each block."""
+    """From sorted (anchor, block, mixed, bytes): the repeated byte ranges of each block that has any."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[:2]: r for r in rows}.values())  # repeated rows of a document give its blocks again
         suffixes = Suffixes([r[3] for r in rows])
-        repeated = suffixes.repeated()
-        found = []
-        for row, first, windows in zip(rows, suffixes.firsts.tolist(), suffixes.windows.tolist(), strict=True):
-            if row[2] > 1:  # copies of the whole block
-                found.append(([0], [windows + LENGTH - 1]))
-            else:
-                found.append(_ranges(np.flatnonzero(repeated[first : first + windows])))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))],
-            names=["anchor", "block", "begins", "ends"],
-        )
+        first = suffixes.copies()
+        whole = np.bincount(first, minlength=len(rows)) > 1
+        found = [(rows[i][0], rows[i][1], [0], [len(rows[i][3])]) for i in np.flatnonzero(whole).tolist()]
+        # One of each copy takes part where its anchor has other blocks.
+        several = np.flatnonzero((first == np.arange(len(rows))) & np.fromiter((r[2] for r in rows), dtype=bool, count=len(rows)))
+        repeated = suffixes.repeated(several)
+        ends = np.cumsum(suffixes.sizes[several] - LENGTH + 1)
+        for i, end in zip(several.tolist(), ends.tolist(), strict=True):
+            if not whole[i]:
+                begins, stops = _ranges(np.flatnonzero(repeated[end - (len(rows[i][3]) - LENGTH + 1) : end]))
+                if begins:
+                    found.append((rows[i][0], rows[i][1], begins, stops))
+        return _found(found)
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size > _SORT_BYTES and row[0] != held[-1][0]:
                 yield solved(held)
                 held, size = [], 0
@@ -248,78 +264,102 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(held)
 
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (anchor, block, n, bytes): a row with two digests for each window."""
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (anchor, block, bytes): a row for each window, with all its bytes as the key."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 2_000):
-            anchor, block, n, raw = (c.slice(i, 2_000).to_pylist() for c in batch.columns)
-            suffixes = Suffixes(raw)
-            of = np.repeat(np.arange(len(raw)), suffixes.windows)
-            every = np.arange(len(suffixes.at))
-            columns = (
-                np.array(anchor, dtype=np.int64)[of], np.array(block, dtype=np.int64)[of], np.array(n, dtype=np.int64)[of],
-                (every - suffixes.firsts[of]).astype(np.int32), suffixes.digest(every, 0).view(np.int64), suffixes.digest(every, 7).view(np.int64),
+        for i in range(0, batch.num_rows, 200):
+            anchor, block, raw = (c.slice(i, 200).to_pylist() for c in batch.columns)
+            n = [len(r) - LENGTH + 1 for r in raw]
+            keys = [r[j : j + LENGTH] for r in raw for j in range(len(r) - LENGTH + 1)]
+            place = [j for m in n for j in range(m)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(np.repeat(anchor, n), pa.int64()), pa.array(np.repeat(block, n), pa.int64()), pa.array(place, pa.int32())], names=["key", "anchor", "block", "j"]
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "block", "n", "j", "d0", "d1"])
+
+
+_PLACE = "anchor long, block long, j int, edge binary"
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted (key, anchor, block, j): windows that equal the one before or after them; the first and the last of the
+    partition come with their key, as their other neighbours lie in other partitions."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "block", "j", "edge"])
+
+    last = None
+    for batch in batches:
+        out = []
+        for key, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is None:
+                out.append((*place, key))
+            elif last[0] == key:
+                out += [(*last[1], None), (*place, None)]
+            last = (key, place)
+        yield made(out)
+    if last is not None:
+        yield made([(*last[1], last[0])])
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_ranges(np.array(sorted(set(j)), dtype=np.int64)) for j in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))],
-            names=["anchor", "block", "begins", "ends"],
-        )
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield _found([(anchor, block, *_ranges(np.array(sorted(set(j)), dtype=np.int64))) for anchor, block, j in rows])
 
 
 _RANGES = "anchor long, block long, begins array<int>, ends array<int>"
 
 
 def _across(blocks: DataFrame) -> DataFrame:
-    """The repeated ranges of blocks whose groups don't fit into one bucket: their suffixes meet by digest."""
-    windows = blocks.select("anchor", "block", "n", "bytes").mapInArrow(_digests, "anchor long, block long, n long, j int, d0 long, d1 long")
-    repeated = windows.groupBy("d0", "d1").agg(F.sum("n").alias("total")).where("total > 1")
-    back = windows.join(repeated, ["d0", "d1"]).groupBy("anchor", "block").agg(F.collect_list("j").alias("j"))
-    return back.mapInArrow(_joined, _RANGES)
+    """The repeated ranges of blocks whose groups don't fit into one bucket."""
+    order = ["key", "anchor", "block", "j"]
+    windows = blocks.select("anchor", "block", "bytes").mapInArrow(_windows, "key binary, anchor long, block long, j int")
+    near = common.durable(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _PLACE))
+    # Two rows of each partition.
+    edges = near.where("edge is not null").select(F.col("edge").alias("key"), "anchor", "block", "j").coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _PLACE)
+    found = near.unionByName(edges).where("edge is null").groupBy("anchor", "block").agg(F.collect_set("j").alias("j"))
+    return found.mapInArrow(_joined, _RANGES)
 
 
 def _spans(documents: DataFrame, text: str, group_blocks: int) -> DataFrame:
     """(rid, spans): the repeated ranges of each document that has any. documents: rid, text."""
-    anchors = documents.select("rid", F.col(text).alias("text")).mapInArrow(_scan, "anchor long, block long, rid long, loc long, again boolean")
+    anchors = common.durable(documents.select("rid", F.col(text).alias("text")).mapInArrow(_scan, "anchor long, block long, rid long, loc long, again boolean"))
     counted = anchors.groupBy("anchor").agg(
         F.count("*").alias("total"), F.min("block").alias("low"), F.max("block").alias("high"), F.max("again").alias("again")
     ).where("total > 1 or again")
-    repeated = counted.select("anchor", F.expr("low <> high or again").alias("mixed"))
-    flagged = common.durable(anchors.drop("again").join(repeated, "anchor"))
-
-    chosen = flagged.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc")).alias("at"))
-    by_document = chosen.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "block", "n", F.col("at.loc").alias("loc"))).alias("chosen"))
-    # Rows of the same doc_id and text share a rid; one of them is enough here, and more are the same block again.
+    shared = common.durable(counted.select("anchor", F.expr("low <> high or again").alias("mixed")))
+    flagged = common.durable(anchors.drop("again").join(shared, "anchor"))
+    common.discard(anchors)
+    common.discard(shared)
+
+    place = F.struct("rid", "loc")
+    chosen = flagged.groupBy("anchor", "block").agg(F.max("mixed").alias("mixed"), F.min(place).alias("first"), F.max(place).alias("last"))
+    chosen = chosen.select("anchor", "block", "mixed", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
+    by_document = chosen.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("anchor", "block", "mixed", F.col("at.loc").alias("loc"))).alias("chosen"))
+    # Rows of the same doc_id and text share a rid: their blocks come as often as they do, and do repeat.
     blocks = common.durable(
         _packed(documents.select("rid", text), text).join(by_document, "rid").select("packed", "chosen")
-        .mapInArrow(_cut, "lead0 long, lead1 long, anchor long, block long, n long, bytes binary")
+        .mapInArrow(_cut, "lead0 long, lead1 long, anchor long, block long, mixed boolean, bytes binary")
     )
-    large = blocks.groupBy("anchor").count().where(F.col("count") > group_blocks).select("anchor")
-    large = common.durable(large)
+    large = common.durable(blocks.where("mixed").groupBy("anchor").count().where(F.col("count") > group_blocks).select("anchor"))
     if large.isEmpty():
         usual, ranges = blocks, None
     else:
         usual, ranges = blocks.join(large, "anchor", "left_anti"), _across(blocks.join(large, "anchor", "left_semi"))
     key = ["lead0", "lead1", "anchor"]
-    buckets = usual.select(*key, "block", "n", "bytes").repartitionByRange(*key).sortWithinPartitions(*key)
+    buckets = usual.select(*key, "block", "mixed", "bytes").repartitionByRange(*key).sortWithinPartitions(*key).select("anchor", "block", "mixed", "bytes")
     sorted_ranges = buckets.mapInArrow(_resolve, _RANGES)
     # A table of its own, so that the join's sides are plain shuffles and a block that very many share can be split.
-    ranges = common.durable((sorted_ranges if ranges is None else sorted_ranges.unionByName(ranges)).where(F.size("begins") > 0))
+    ranges = sorted_ranges if ranges is None else sorted_ranges.unionByName(ranges)
+    ranges = common.durable(ranges.select("anchor", "block", F.arrays_zip("begins", "ends").alias("ranges")).dropDuplicates(["anchor", "block"]))
 
-    first = F.shiftright("loc", 20)
-    whole = flagged.where("not mixed").select("rid", first.alias("begin"), (first + F.col("loc").bitwiseAND(1023) + LENGTH - 1).alias("end"))
     part = (
-        flagged.where("mixed").select("anchor", "block", "rid", first.alias("first"))
-        .join(ranges, ["anchor", "block"])
-        .select("rid", "first", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
+        flagged.select("anchor", "block", "rid", F.shiftright("loc", 20).alias("first")).join(ranges, ["anchor", "block"])
+        .select("rid", "first", F.explode("ranges").alias("r"))
         .select("rid", (F.col("first") + F.col("r.begins")).alias("begin"), (F.col("first") + F.col("r.ends")).alias("end"))
     )
-    return whole.unionByName(part).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return part.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
