@@ -1,4 +1,11 @@
-"""A training corpus from documents: each stage's rows are written as Parquet and reread as the next one's documents."""
+"""A training corpus from documents: each stage's rows are written as Parquet and reread as the next one's documents.
+
+Defined cases, in every stage: a null text has no language and goes in the first one; a null doc_id is a document like any
+other, of which near-duplicates keep those with an id first; empty texts and texts without a letter go in the first stage;
+texts of any length are read whole; of near-duplicates that tie the one with the smallest doc_id stays, and of repeated rows
+one; null lang, source and n_chars are kept as they are, but for n_chars of a text that loses a part; columns besides those
+of documents are kept to the last stage, whatever their names; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

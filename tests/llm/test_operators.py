@@ -752,12 +752,38 @@ def test_pipeline(spark, tmp_path):
     left = [(i, t) for i, t in dict(texts).items() if any(c.isalpha() for c in t or "")]
     groups = simhash.brute_force(left)
     left = [(i, t) for i, t in left if groups[i][1] == i]
-    cut = suffix.brute_force(left)
-    spans = {i: h for i, (_, n, _, h) in cut.items() if n == 0}
-    assert set(got) <= {i for i, _ in left}
-    gone = {i for i, _ in left} - set(got)
-    assert 10 in gone or len(texts[10][1].split()) < 13
-    assert all(got[i] == h for i, h in spans.items() if i in got)
+    seen = {}
+    for _, t in left:
+        raw = t.encode()
+        for i in range(len(raw) - 199):
+            seen[raw[i : i + 200]] = seen.get(raw[i : i + 200], 0) + 1
+    cut = []
+    for d, t in left:
+        raw = t.encode()
+        spans = suffix.merged([(i, i + 200) for i in range(len(raw) - 199) if seen[raw[i : i + 200]] > 1])
+        cut.append((d, suffix.kept(raw, spans).decode("utf-8", "ignore")))
+    assert any(a != b for a, b in zip(left, cut, strict=True))
+    marked = decontaminate.brute_force(cut, [(1, item)])
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in cut if not marked[d][4]}
+    assert 10 not in got and len(got) < len(cut)
+
+
+def test_pipeline_odd_cases(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cid long, n_hit string, `_told` int, lang_pred string, rid string"
+    one, two = words(80, 801), words(80, 802)
+    rows_ = [(None, one, None, None, None, 1, "a", 2, "b", "c"), (None, two, "xx", "s", 1, None, None, None, None, None), (4, two, "xx", "s", 1, 1, "a", 2, "b", "c"), (5, None, None, None, None, None, None, None, None, None), (6, "", "xx", "s", 0, 1, "a", 2, "b", "c"), (7, words(30_000, 803), "xx", "s", 1, 1, "a", 2, "b", "c"), (7, words(40, 804), "xx", "s", 1, 1, "a", 2, "b", "c")]
+    for name, data in (("some", rows_), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame(data, schema).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        docs = spark.read.parquet(str(at / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(at))
+            assert docs.columns == [f.strip().split()[0].strip("`") for f in schema.split(",")]
+        ids = sorted((r["doc_id"] or 0, len(r["text"])) for r in docs.collect())
+        assert ids == (sorted([(0, len(one)), (4, len(two)), (7, len(words(30_000, 803))), (7, len(words(40, 804)))]) if data else [])
+        assert corpus_pipeline.run(spark, str(at)).count() == len(ids)
 
 
 def test_registered_queries_have_known_names():
