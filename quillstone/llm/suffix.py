@@ -166,13 +166,22 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ties(index: np.ndarray, token, tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort of suffixes, all groups of a level at once: a group is parted by one token, and only suffixes that
     tie go on to the next one. Returns those that tie in all tokens, and their groups. token(suffixes, depth): numbers."""
-    group = np.zeros(len(index), dtype=np.int64)
+    if len(index) < 2:
+        return index[:0], index[:0]
+    index, group = index.copy(), np.zeros(len(index), dtype=np.int64)
     for depth in range(tokens):
         if not len(index):
             break
         now = token(index, depth)
-        order = np.lexsort((now, group))
-        index, now, group = index[order], now[order], group[order]
+        # Groups that tie as a whole stay as they are.
+        differ = np.flatnonzero((group[1:] == group[:-1]) & (now[1:] != now[:-1]))
+        if not len(differ):
+            continue
+        parted = np.zeros(int(group[-1]) + 1, dtype=bool)
+        parted[group[differ]] = True
+        place = np.flatnonzero(parted[group])
+        order = place[np.lexsort((now[place], group[place]))]
+        index[place], now[place] = index[order], now[order]
         new = np.ones(len(index), dtype=bool)
         new[1:] = (group[1:] != group[:-1]) | (now[1:] != now[:-1])
         group = np.cumsum(new) - 1
