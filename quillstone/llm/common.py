@@ -5,6 +5,7 @@ Where an operator adds columns to a table, they come last, and columns of the sa
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +47,15 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int) ->
     for batch in batches:
         for a, b in slices(text_sizes(batch.column(batch.schema.get_field_index(column))), limit):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task, and what they keep counts beside the next."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
