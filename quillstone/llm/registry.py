@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, html, langid, lm, passages, simhash, suffix
+from . import ann, audit, bpe, chat, decontaminate, html, langid, lm, passages, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
         "op10_suffix": suffix.query,
+        "op12_audit": audit.query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat": chat.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op12_audit": audit.ORACLE,
     }

@@ -788,7 +788,7 @@ def test_pipeline_odd_cases(spark, tmp_path):
 
 def test_registered_queries_have_known_names():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and set(registry.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and set(registry.oracle_sql()) <= names
     json.dumps(sorted(names))
 
 
