@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, chat, decontaminate, html, langid, lm, passages, simhash, suffix
+from . import ann, audit, bpe, chat, decontaminate, html, imatch, langid, lm, passages, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": decontaminate.query,
         "op10_suffix": suffix.query,
         "op12_audit": audit.query,
+        "op13_imatch": imatch.query,
     }
 
 
