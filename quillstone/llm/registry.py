@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, chat, decontaminate, html, imatch, langid, lm, passages, simhash, suffix
+from . import ann, audit, bpe, chat, decontaminate, html, imatch, langid, lm, negatives, passages, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.query,
         "op9_decontaminate": decontaminate.query,
         "op10_suffix": suffix.query,
+        "op11_negatives": negatives.query,
         "op12_audit": audit.query,
         "op13_imatch": imatch.query,
     }
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat": chat.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op11_negatives": negatives.ORACLE,
         "op12_audit": audit.ORACLE,
     }
