@@ -34,8 +34,8 @@ from . import common
 #: A kept term's documents in a language; what is added to each count; terms reported of a group.
 LEAST_DOCUMENTS, PRIOR, TOP = 30, 5, 50
 SCALE = 1_000_000_000
-#: Bytes of text that one SQL statement counts.
-BATCH_BYTES = 8_000_000
+#: Bytes of text that one SQL statement counts, and kept counts in a shard.
+BATCH_BYTES, SHARD_ROWS = 8_000_000, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters and everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,14 +99,14 @@ def audit(
     documents: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, prior: int = PRIOR, top: int = TOP, shards: int | None = None,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source of a language is from its others (part pair), and the
-    terms that stand out in it (part term). shards: twice the session's shuffle partitions, if not given."""
-    spark = documents.sparkSession
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    terms that stand out in it (part term). shards: one for SHARD_ROWS counts, if not given."""
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     counted = named.mapInArrow(_counted, "lang string, source string, term string, n long, documents long")
-    # A partition is a shard; the sum by source stays inside it.
-    summed = counted.repartition(shards, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # All of a term's counts in a language lie in one partition, where they are summed and the rare terms go.
+    summed = counted.repartition(partitions, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     kept = common.durable(summed.mapInArrow(_kept(least), "lang string, source string, term string, n long"))
+    shards = shards or max(1, -(-kept.count() // SHARD_ROWS))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     of_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("terms"))
     groups = common.durable(
