@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +61,21 @@ def get_relationship(edges: DataFrame, edge_id) -> DataFrame:
 def dependency_tree(spark: SparkSession, edges: DataFrame, root, depth: int = DEPTH, entries: DataFrame | None = None) -> DataFrame:
     """(id, parent, level, path, circular): what root depends on, by paths. An entry that is on its path already is a leaf
     marked circular; one on several paths appears on each. Ids may be of any type. With entries, a root that isn't among
-    them has no tree. The edges are written once, so that a level costs one join."""
+    them has no tree. A level joins the paths that the last one found to their next edges and is written as a table, so
+    plans stay small and no level is worked out twice."""
     depth = max(1, min(MOST_DEPTH, depth))
     kind = edges.schema["source_id"].dataType.simpleString()
-    depends = durable(edges.where("relationship_type = 'depends-on'").select("source_id", F.col("target_id").cast(kind).alias("target_id")))
+    depends = edges.where("relationship_type = 'depends-on'").select(F.col("source_id").alias("id"), F.col("target_id").cast(kind).alias("next"))
     start = spark.range(1) if entries is None else entries.where(F.col("id") == root).limit(1)
-    start = durable(start.select(F.lit(root).cast(kind).alias("id")))
-    return spark.sql(f"""
-        WITH RECURSIVE tree(id, parent, level, path, circular) AS (
-          SELECT id, CAST(NULL AS {kind}), 0, array(id), false FROM {{start}}
-          UNION ALL
-          SELECT d.target_id, t.id, t.level + 1, array_append(t.path, d.target_id), array_contains(t.path, d.target_id)
-          FROM tree t JOIN {{depends}} d ON d.source_id = t.id WHERE NOT t.circular AND t.level < {depth}
-        ) SELECT * FROM tree""", start=start, depends=depends)
+    own = F.lit(root).cast(kind)
+    levels = [durable(start.select(own.alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("level"), F.array(own).alias("path"), F.lit(False).alias("circular")))]
+    while len(levels) <= depth:
+        paths = levels[-1].where("not circular").select("id", "path").join(depends, "id")
+        found = durable(paths.select(F.col("next").alias("id"), F.col("id").alias("parent"), F.lit(len(levels)).alias("level"), F.array_append("path", F.col("next")).alias("path"), F.array_contains("path", F.col("next")).alias("circular")))
+        if found.isEmpty():
+            break
+        levels.append(found)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def valid_collections(collections: DataFrame) -> DataFrame:

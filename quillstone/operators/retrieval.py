@@ -47,16 +47,21 @@ def within_budget(ranked: DataFrame, budget: int, n: int) -> DataFrame:
 def retrieve(
     entries: DataFrame, vectors: DataFrame, query: list[float], *, n: int = 5, token_budget: int = 2000, project: str | None = None,
     min_score: float = 0.3, tags=None, since: str | None = None, until: str | None = None, date_field: str = "created", fuzzy: bool = False,
-    exact: bool = False,
+    exact: bool = False, index=None, guaranteed: bool = False,
 ) -> DataFrame:
     """Entries with score, tokens and rank. Tags and dates are looked at after the candidates are cut, unless exact;
-    a null date passes. A read only: usage() makes the events that record it."""
+    a null date passes. A read only: usage() makes the events that record it. With an index (vector_index.VectorIndex) that
+    keeps the column project, candidates come from its cells; vectors, if not None, then give their scores as of now."""
     passes = tagged(tags, fuzzy) & between(date_field, since, until, keep_null=True)
-    if project or exact:
-        ids = in_project(entries, project)
-        ids = (ids.where(passes) if exact else ids).select("id")
-        vectors = vectors.join(ids, "id", "left_semi")
-    near = nearest(vectors, query, min(OVERFETCH * n, MOST_CANDIDATES), min_score)
+    wanted = min(OVERFETCH * n, MOST_CANDIDATES)
+    if index is not None and not exact:
+        near = index.search(query, wanted, min_score, guaranteed=guaranteed, where=F.col("project") == project if project else None, vectors=vectors)
+    else:
+        if project or exact:
+            ids = in_project(entries, project)
+            ids = (ids.where(passes) if exact else ids).select("id")
+            vectors = vectors.join(ids, "id", "left_semi")
+        near = nearest(vectors, query, wanted, min_score)
     found = entries.join(F.broadcast(near), "id").where(passes)
     found = found.withColumn("tokens", S.token_estimate(F.coalesce("content", F.lit(""))))
     best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.struct(*found.columns).alias("row"))))

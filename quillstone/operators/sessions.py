@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillstone.functions import rules as R
 from quillstone.functions import scalars as S
+from quillstone.tables import discard, durable
 
 MIN_CONFIDENCE, AHEAD, MIN_CONTENT, MOST_TAGS, LONG_FILE = 30, 2, 20, 5, 2_000
 
@@ -55,19 +56,35 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     return found.withColumn("pair", F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1).drop("turn")
 
 
-def threaded_pairs(spark, messages: DataFrame) -> DataFrame:
+def thread_roots(messages: DataFrame) -> DataFrame:
+    """(session_id, uuid, root, level): for each user message itself, and for each assistant message the user message that
+    leads its thread and how far above it is. Pointer doubling: every round, a message takes over what the message that it
+    points at has reached, so a thread of n messages takes about log2(n) rounds, each a join on message ids. Messages of
+    other types, without a parent, or that are their own ancestors without a user between lead nowhere, and neither do
+    those below them. Of repeated ids in a session the first message counts."""
+    known = messages.where("uuid is not null").groupBy("session_id", "uuid").agg(F.min_by(F.struct("type", "parent_uuid"), "seq").alias("m")).select("session_id", "uuid", "m.*")
+    user = F.col("type") == "user"
+    state = known.where(F.col("type").isin("user", "assistant")).select(
+        "session_id", "uuid", F.when(user, F.col("uuid")).alias("root"), F.when(user, 0).otherwise(1).cast("long").alias("level"), F.when(~user, F.col("parent_uuid")).alias("up")
+    )
+    state = durable(state.where("root is not null or up is not null"))
+    left = state.where("root is null").count()
+    # What is still open after so many rounds goes around in a circle.
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        at = state.select("session_id", F.col("uuid").alias("up"), F.col("root").alias("up_root"), F.col("level").alias("up_level"), F.col("up").alias("next"))
+        further = state.where("root is null").join(at, ["session_id", "up"]).select("session_id", "uuid", F.col("up_root").alias("root"), (F.col("level") + F.col("up_level")).alias("level"), F.col("next").alias("up"))
+        before, state = state, durable(state.where("root is not null").unionByName(further))
+        discard(before)
+        left = state.where("root is null").count()
+    return state.where("root is not null").select("session_id", "uuid", "root", "level")
+
+
+def threaded_pairs(messages: DataFrame) -> DataFrame:
     """The same of transcripts that branch: a user message's answers are the assistant messages below it by parent_uuid,
-    down to the next user messages. A message that is its own ancestor ends its thread."""
-    messages.select("session_id", "uuid", "parent_uuid", "type").createOrReplaceTempView("quillstone_messages")
-    below = spark.sql("""
-        WITH RECURSIVE thread(session_id, root, uuid, level, path) AS (
-          SELECT session_id, uuid, uuid, 0, array(uuid) FROM quillstone_messages WHERE type = 'user'
-          UNION ALL
-          SELECT t.session_id, t.root, m.uuid, t.level + 1, array_append(t.path, m.uuid) FROM thread t
-          JOIN quillstone_messages m ON m.session_id = t.session_id AND m.parent_uuid = t.uuid
-          WHERE m.type = 'assistant' AND NOT array_contains(t.path, m.uuid)
-        ) SELECT session_id, root, uuid, level FROM thread""")
-    rows = below.join(messages.select("session_id", "uuid", "seq", "type", "timestamp", "blocks"), ["session_id", "uuid"])
+    down to the next user messages."""
+    rows = thread_roots(messages).join(messages.select("session_id", "uuid", "seq", "type", "timestamp", "blocks"), ["session_id", "uuid"])
     # Each thread reads as a transcript of its own: the question, then its answers by depth.
     order = Window.partitionBy("session_id", "root").orderBy("level", "seq")
     line = rows.select(F.concat_ws("\u0001", "session_id", "root").alias("thread"), "session_id", "root", F.row_number().over(order).alias("seq"), "type", "uuid", "timestamp", "blocks")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars as S
-from quillstone.operators import commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, versions
+from quillstone.operators import commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, vector_index, versions
 from quillstone.streaming import streams
 from quillstone.tables import table
 
@@ -71,6 +71,21 @@ def retrieve_topk(spark, sf_dir):
     return retrieval.nearest(kb.vectors(spark, sf_dir), kb.vector(spark, sf_dir, 53), 15).select("id", F.round("score", 6).alias("score"))
 
 
+_TOPK = "SELECT vec_id AS id, round(list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 53)), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 15"
+
+
+def _index(spark, sf_dir) -> vector_index.VectorIndex:
+    """A stored index of all vectors, with the project of those that have an entry."""
+    projects = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"))
+    return vector_index.temporary(spark, kb.vectors(spark, sf_dir).join(projects, "id", "left"))
+
+
+@registered(_TOPK)
+def vector_index_topk(spark, sf_dir):
+    """From cells of a stored index, opened until no other can hold a better vector."""
+    return _index(spark, sf_dir).search(kb.vector(spark, sf_dir, 53), 15, guaranteed=True).select("id", F.round("score", 6).alias("score"))
+
+
 @registered(_with(_SCORED.format(floor=0.1, n=15) + "SELECT k.id, k.title, round(score, 6) AS score FROM near JOIN kb k USING (id) WHERE list_contains(tags, 'en') AND (last_used IS NULL OR last_used >= '2024-01-10')"))
 def retrieve_filtered(spark, sf_dir):
     """The candidates that pass, before the budget."""
@@ -115,13 +130,29 @@ def retrieve_small_budget(spark, sf_dir):
     return found.select("rank", "id", "title", F.round("score", 6).alias("score"), "tokens")
 
 
-@registered(_with(""", q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 53)
-SELECT k.id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.v), 6) AS score FROM kb k JOIN embeddings e ON e.vec_id = k.id, q WHERE project = 'src3' ORDER BY score DESC, k.id LIMIT 5"""))
+_PROJECT = _with(""", q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 53)
+SELECT k.id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), q.v), 6) AS score FROM kb k JOIN embeddings e ON e.vec_id = k.id, q WHERE project = 'src3' ORDER BY score DESC, k.id LIMIT 5""")
+
+
+@registered(_PROJECT)
 def retrieve_in_project(spark, sf_dir):
     found = retrieval.retrieve(kb.entries(spark, sf_dir), kb.vectors(spark, sf_dir), kb.vector(spark, sf_dir, 53), n=5, token_budget=10**9, project="src3", min_score=-1.0)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+@registered(_PROJECT)
+def vector_index_project(spark, sf_dir):
+    """The project is looked at inside the cells, before codes are ranked."""
+    found = retrieval.retrieve(kb.entries(spark, sf_dir), None, kb.vector(spark, sf_dir, 53), n=5, token_budget=10**9, project="src3", min_score=-1.0, index=_index(spark, sf_dir))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@registered(_recursive(_with(_BUDGET.format(b=2000))))
+def vector_index_retrieve(spark, sf_dir):
+    found = retrieval.retrieve(kb.entries(spark, sf_dir), None, kb.vector(spark, sf_dir, 53), n=5, token_budget=2000, min_score=0.3, index=_index(spark, sf_dir), guaranteed=True)
+    return found.select("rank", "id", "title", F.round("score", 6).alias("score"), "tokens")
+
+
 # Lists, lookups and searches
 
 
@@ -266,8 +297,7 @@ leaders AS (SELECT unnest(leaders) AS a FROM (SELECT leaders FROM walk ORDER BY
 SELECT arg_min(aid, a) AS leader, bid AS member, round(arg_min(s, a), 3) AS similarity FROM near WHERE a IN (SELECT a FROM leaders) AND b NOT IN (SELECT a FROM leaders) GROUP BY bid""").replace("WITH kb", "WITH RECURSIVE kb", 1))
 def dup_groups(spark, sf_dir):
     """Leader clustering in the order of lists; the SQL walks through the entries one by one."""
-    pairs = maintenance.similar_pairs(kb.vectors(spark, sf_dir), 0.4)
-    return maintenance.duplicate_groups(kb.entries(spark, sf_dir, usage=True).select("id", "created", "last_used"), pairs).select("leader", "member", F.round("similarity", 3).alias("similarity"))
+    return maintenance.similar_groups(kb.entries(spark, sf_dir, usage=True), kb.vectors(spark, sf_dir), 0.4).select("leader", "member", F.round("similarity", 3).alias("similarity"))
 
 
 @registered(_with("""SELECT t.id, sha256(t.content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || s.content) AS content_sha256, array_to_string(list_sort(list_distinct(list_concat(t.ltags, s.ltags))), ',') AS tags,

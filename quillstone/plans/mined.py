@@ -152,7 +152,7 @@ def conv_threads(spark, sf_dir):
     kind = F.when(F.col("seq") % 3 == 1, "user").otherwise("assistant")
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("seq").cast("string").alias("text"), *[F.lit(None).cast("string").alias(n) for n in ("id", "name")], F.lit(None).cast(_INPUT).alias("input"), F.lit(None).cast("array<string>").alias("result")))
     m = l.withColumns({"uuid": F.concat("session_id", F.lit("-"), "seq"), "parent_uuid": F.concat("session_id", F.lit("-"), F.col("seq") - 1), "type": kind, "timestamp": F.lit("2024-01-01").cast("timestamp"), "blocks": block})
-    return sessions.threaded_pairs(spark, m).select("session_id", "pair", "user_uuid", F.size(F.split("text", "\n")).cast("long").alias("answers"))
+    return sessions.threaded_pairs(m).select("session_id", "pair", "user_uuid", F.size(F.split("text", "\n")).cast("long").alias("answers"))
 
 
 _SNIPPETS = {"python": "import os", "javascript": "const a = 1", "typescript": "interface Shape", "go": "package main", "ruby": "def name", "rust": "fn main(", "bash": "ls the folder", "sql": "SELECT 1"}

@@ -192,8 +192,8 @@ class Engine:
     def duplicates(self, threshold: float = 0.85) -> DataFrame:
         """(leader, member, similarity)."""
         current = self.entries().withColumn("n", F.xxhash64("id"))
-        pairs = maintenance.similar_pairs(current.select(F.col("n").alias("id"), "embedding"), threshold)
-        groups = maintenance.duplicate_groups(current.select(F.col("n").alias("id"), "created", "last_used"), pairs)
+        named = current.select(F.col("n").alias("id"), "embedding", "created", "last_used")
+        groups = maintenance.similar_groups(named, named, threshold)
         names = current.select("n", "id")
         return groups.join(names.select(F.col("n").alias("leader"), F.col("id").alias("a")), "leader").join(names.select(F.col("n").alias("member"), F.col("id").alias("b")), "member").select(F.col("a").alias("leader"), F.col("b").alias("member"), "similarity")
 

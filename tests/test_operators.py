@@ -122,6 +122,34 @@ def test_similar_pairs_in_blocks(spark):
     assert near <= want and len(near) >= 0.8 * len(want)
 
 
+def test_metric_join_in_cells(spark):
+    r = random.Random(8)
+    data = []
+    for c in range(25):
+        centre = [r.gauss(0, 1) for _ in range(6)]
+        for i in range(12):
+            v = [x + r.gauss(0, 0.05) for x in centre]
+            n = sum(x * x for x in v) ** 0.5
+            data.append((100 * c + i, [x / n for x in v]))
+    data += [(5_000 + i, data[3][1]) for i in range(30)] + [(6_000, data[200][1]), (7_000, None), (7_001, [0.0] * 6)]
+    want = {(i, j) for i, v in data for j, w in data if v and w and i < j and sum(a * b for a, b in zip(v, w, strict=True)) >= 0.9}
+    vectors = spark.createDataFrame(data, "id long, embedding array<double>").repartition(3)
+    for block, pivots in ((4096, 20), (5, 8), (4096, None), (5, 1)):
+        join = maintenance.MetricJoin(vectors, 0.9, block, pivots)
+        pairs = {(x["a"], x["b"]) for x in join.pairs().collect()}
+        members = {x["id"]: x["representative"] for x in join.members().collect()}
+        assert members[5_000] == members[3] == 3 and len(members) == len(data) - 1
+        assert pairs == {p for p in want if members[p[0]] != members[p[1]] and all(members[x] == x for x in p)}
+        if pivots == 20:
+            assert join.copies_a_row < 3
+    assert {(x["a"], x["b"]) for x in maintenance.similar_pairs(vectors, 0.9).collect()} == want
+    rows = frame(spark, *[entry(i, created=r.randint(0, 40), used=r.choice([None, r.randint(0, 9)])) for i, _ in data])
+    groups = lambda g: {x["member"]: (x["leader"], round(x["similarity"], 6)) for x in g.collect()}
+    assert groups(maintenance.similar_groups(rows, vectors, 0.9)) == groups(maintenance.duplicate_groups(rows, maintenance.similar_pairs(vectors, 0.9)))
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    assert maintenance.similar_pairs(none, 0.9).count() == 0 and maintenance.similar_groups(rows, none, 0.9).count() == 0
+
+
 def test_merge(spark):
     e = frame(spark, entry(1, content="a", tags=["tag1", "tag2"], usage=2), entry(2, content="b", tags=["tag2", "tag3"], usage=3))
     row = maintenance.merge(e, spark.createDataFrame([(1, 2)], "target long, source long")).first()
@@ -356,10 +384,29 @@ def test_threads(spark):
         ("user", "u1", None), ("assistant", "a1", "u1"), ("assistant", "a2", "a1"), ("user", "u2", "a2"), ("assistant", "b1", "u1"), ("user", "u3", "b1"), ("assistant", "c1", "u2"),
     ])]
     m = spark.createDataFrame(rows, f"session_id string, seq long, type string, uuid string, parent_uuid string, timestamp timestamp, blocks array<{sessions.BLOCK}>")
-    got = [(r["user_uuid"], r["assistant_uuid"], r["text"].count("x"), r["pair"]) for r in sessions.threaded_pairs(spark, m).orderBy("pair").collect()]
+    got = [(r["user_uuid"], r["assistant_uuid"], r["text"].count("x"), r["pair"]) for r in sessions.threaded_pairs(m).orderBy("pair").collect()]
     assert got == [("u1", "a1", 3, 0), ("u2", "c1", 1, 1)]
 
 
+def test_long_threads_and_circles(spark):
+    block = [("text", "x", None, None, None, None)]
+    rows = [("long", 0, "user", "m0", None, NOW, block)] + [("long", i, "assistant", f"m{i}", f"m{i - 1}", NOW, block) for i in range(1, 5_001)]
+    rows += [("long", 6_000, "user", "m6000", "m5000", NOW, block), ("long", 6_001, "assistant", "m6001", "m6000", NOW, block)]
+    rows += [("circle", i, t, u, p, NOW, block) for i, (t, u, p) in enumerate([
+        ("user", "u", "b"), ("assistant", "a", "u"), ("assistant", "b", "a"), ("assistant", "x", "y"), ("assistant", "y", "x"), ("assistant", "z", "y"), ("assistant", "lost", "none"),
+        ("assistant", None, "u"), ("assistant", "a", "y"), ("assistant", "own", "own"), ("assistant", "top", None),
+    ])]
+    m = spark.createDataFrame(rows, f"session_id string, seq long, type string, uuid string, parent_uuid string, timestamp timestamp, blocks array<{sessions.BLOCK}>")
+    roots = {(r["session_id"], r["uuid"]): (r["root"], r["level"]) for r in sessions.thread_roots(m).collect()}
+    assert roots == {
+        **{("long", f"m{i}"): ("m0", i) for i in range(5_001)}, ("long", "m6000"): ("m6000", 0), ("long", "m6001"): ("m6000", 1),
+        ("circle", "u"): ("u", 0), ("circle", "a"): ("u", 1), ("circle", "b"): ("u", 2),
+    }
+    got = {(r["session_id"], r["user_uuid"]): (r["pair"], r["text"].count("x")) for r in sessions.threaded_pairs(m.where("session_id = 'long'")).collect()}
+    assert got == {("long", "m0"): (0, 5_000), ("long", "m6000"): (1, 1)}
+    assert sessions.threaded_pairs(m.where("false")).count() == 0
+
+
 def test_registered_functions(spark):
     from quillstone.functions.registered import register
 
