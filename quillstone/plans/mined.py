@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -409,6 +410,14 @@ def store_current(spark, sf_dir):
     return _stored(spark, sf_dir).entries().select("id", "title", "project")
 
 
+@registered(_with("SELECT title, count(*) AS entries, count(DISTINCT content) AS texts FROM kb WHERE trim(title, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND trim(content, chr(32) || chr(9) || chr(10) || chr(13)) <> '' GROUP BY title"))
+def store_capture(spark, sf_dir):
+    """All documents captured at once: titles repeat, and so do whole texts, but none is lost."""
+    engine, e = _engine(spark), kb.entries(spark, sf_dir).drop("id")
+    engine.capture_all(e.where(readers.valid(e)))
+    return engine.entries().groupBy("title").agg(F.count("*").alias("entries"), F.countDistinct("content").alias("texts"))
+
+
 @registered(_with("SELECT 'e' || id AS id FROM kb WHERE id % 7 = 0"))
 def store_tombstones(spark, sf_dir):
     return _stored(spark, sf_dir).tombstones().select("id")
@@ -479,6 +488,26 @@ def sync_folder(spark, sf_dir):
     return a.sync(folder, strategy="manual", dry_run=True).select("id", "action")
 
 
+@registered("""SELECT side, c_name AS id, CASE WHEN c_custkey % 5 = 1 THEN 'of b' WHEN c_custkey % 5 = 4 THEN 'of a' ELSE 'c' END AS content
+FROM customer, (SELECT unnest(['a', 'b', 'folder']) AS side) WHERE c_custkey % 5 NOT IN (2, 3)""")
+def sync_applied(spark, sf_dir):
+    """Two stores and a folder after edits on either side were pushed and pulled, and deletions on either side reached all."""
+    a, b, folder = _engine(spark), _engine(spark), f"{shared_dir(spark)}/replica-{uuid.uuid4().hex}"
+    n = F.col("c_custkey") % 5
+    e = table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"), F.col("c_name").alias("title"), F.lit("d").alias("description"), F.lit("c").alias("content"), "c_custkey", F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))
+    a.store.append("entries", a.embed(e))
+    a.sync(folder)
+    b.sync(folder)
+    b.store.append("entries", b.embed(e.where(n == 1).withColumn("content", F.lit("of b"))))
+    a.store.append("entries", a.embed(e.where(n == 4).withColumn("content", F.lit("of a"))))
+    a.store.append("entries", e.where(n == 2), "delete", a.now())
+    b.store.append("entries", e.where(n == 3), "delete", b.now())
+    for one in (b, a, b):
+        one.sync(folder)
+    told = {"a": a.entries(), "b": b.entries(), "folder": readers.replica(spark, folder, "entries", readers.ENTRY)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(side).alias("side"), "id", "content") for side, df in told.items()])
+
+
 @registered("SELECT n_name AS id, 'pull' AS action FROM nation WHERE n_nationkey % 2 = 1")
 def sync_status(spark, sf_dir):
     """Against the folder's manifest: another store pushed its edits; the rest is agreed."""

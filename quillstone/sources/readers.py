@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
+import json
 import re
 import subprocess
-import tempfile
+import threading
 import time
+import urllib.parse
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions import rules as R
 from quillstone.functions import scalars as S
@@ -98,23 +104,30 @@ def _fits(path: Column, patterns: list[str]) -> Column:
 _FIELDS = "%H%x00%an%x00%ae%x00%aI%x00%B%x00"
 
 
-def git_command(repo: str, since: str | None = None, until: str | None = None, limit: int | None = None, author: str | None = None, path: str | None = None, branch: str | None = None) -> list[str]:
-    """The command whose output commits() reads; filters are the tool's own, so only matching commits are listed."""
-    command = ["git", "-C", repo, "log", f"--format=%x01{_FIELDS}", "-p", "--no-color"]
+def git_command(repo: str, mark: str, since: str | None = None, until: str | None = None, limit: int | None = None, author: str | None = None, path: str | None = None, branch: str | None = None) -> list[str]:
+    """The command whose output, parted by mark, commits() reads; filters are the tool's own, so only matching commits are
+    listed."""
+    command = ["git", "-C", repo, "log", f"--format={mark}{_FIELDS}", "-p", "--no-color"]
     command += [f"--{k}={v}" for k, v in (("since", since), ("until", until), ("author", author)) if v] + ([f"-n{limit}"] if limit else []) + ([branch] if branch else [])
     return command + (["--", path] if path else [])
 
 
 def git_log(spark: SparkSession, repo: str, **filters) -> DataFrame:
-    """Commits of a repository on this machine. The log goes to a file in the shared folder as it is written, and is read
-    from there in parts; the driver holds none of it."""
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    with tempfile.NamedTemporaryFile(suffix=".log", delete=False) as out:
-        subprocess.run(git_command(repo, **filters), stdout=out, check=True)
+    """Commits of a repository on this machine. The log goes to a file in the shared folder while it is written, and is read
+    from there in parts; the driver holds none of it. Records are parted by a mark of this run, which no difference holds."""
+    path, mark = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", f"commit-{uuid.uuid4().hex}"
     target, files = _path(spark, path)
-    files.copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{out.name}"), target)
+    out = files.create(target, True)
+    try:
+        with subprocess.Popen(git_command(repo, mark, **filters), stdout=subprocess.PIPE) as run:
+            while part := run.stdout.read(1 << 20):
+                out.write(bytearray(part))
+        if run.returncode:
+            raise subprocess.CalledProcessError(run.returncode, run.args)
+    finally:
+        out.close()
     files.deleteOnExit(target)
-    return commits(spark.read.text(path, lineSep="\x01").where("trim(value) <> ''"))
+    return commits(spark.read.text(path, lineSep=mark).where("trim(value) <> ''"))
 
 
 def _git(repo: str, *arguments: str) -> str:
@@ -195,11 +208,16 @@ def parse_export(spark: SparkSession, text: str) -> DataFrame:
 
 
 def classified(incoming: DataFrame, existing: DataFrame, skip_duplicates: bool = True) -> DataFrame:
-    """incoming with outcome: imported, skipped or error. Entries without title, description or content are errors."""
+    """incoming with outcome: imported, skipped or error. Entries without title, description or content are errors. Of
+    several complete ones under one id the latest updated is imported, of equals the one whose text has the least hash."""
     blank = lambda c: S.stripped(F.coalesce(c, F.lit(""))) == ""
     known = existing.select("id", F.lit(True).alias("known"))
-    outcome = F.when(blank("title") | blank("description") | blank("content"), "error").when(F.col("known"), "skipped" if skip_duplicates else "error").otherwise("imported")
-    return incoming.join(known, "id", "left").withColumn("outcome", outcome).drop("known")
+    wrong = blank("title") | blank("description") | blank("content")
+    order = [F.desc_nulls_last("updated_at")] if "updated_at" in incoming.columns else []
+    w = Window.partitionBy("id", wrong).orderBy(*order, S.content_hash(F.col("title"), F.col("description"), F.col("content")))
+    again = F.col("known") | (F.col("nth") > 1)
+    outcome = F.when(wrong, "error").when(again, "skipped" if skip_duplicates else "error").otherwise("imported")
+    return incoming.withColumn("nth", F.row_number().over(w)).join(known, "id", "left").withColumn("outcome", outcome).drop("known", "nth")
 
 
 def valid(entries: DataFrame) -> Column:
@@ -218,7 +236,7 @@ def replica(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFra
 
 def replica_entry(spark: SparkSession, folder: str, entry_id: str) -> DataFrame:
     """The document of one entry, from its own file."""
-    path = f"{folder}/entries/{entry_id}.json"
+    path = f"{folder}/entries/{file_name(entry_id)}"
     if not exists(spark, path):
         return spark.createDataFrame([], ENTRY)
     return spark.read.schema(ENTRY).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).where("id is not null")
@@ -261,11 +279,36 @@ def _create(spark: SparkSession, path: str):
     return files.create(p, True)
 
 
-def _documents(rows: DataFrame) -> Iterator[tuple[str, str]]:
-    """Each row's id and indented JSON, times as ISO texts, one after the other."""
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None without such a file."""
+    p, files = _path(spark, path)
+    if not files.exists(p):
+        return None
+    stream = files.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def file_name(entry_id: str) -> str:
+    """The file of a document: its id, with all but ASCII letters, digits and _.-~ as %-codes, so that no id leads out of the
+    folder; a long id is cut and told apart by its hash."""
+    name = urllib.parse.quote(entry_id, safe="")
+    if name.startswith("."):
+        name = "%2E" + name[1:]
+    return (name if len(name) <= 180 else f"{name[:100]}-{hashlib.sha256(entry_id.encode()).hexdigest()}") + ".json"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """(id, d): each row's indented JSON, times as ISO texts."""
     times = {f.name: S.iso(F.col(f.name)) for f in rows.schema.fields if f.dataType.typeName().startswith("timestamp")}
-    shown = rows.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(*[times.get(c, F.col(c)).alias(c) for c in rows.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("d"))
-    for r in shown.toLocalIterator():
+    return rows.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(*[times.get(c, F.col(c)).alias(c) for c in rows.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("d"))
+
+
+def _documents(rows: DataFrame) -> Iterator[tuple[str, str]]:
+    """Ids and documents, one after the other."""
+    for r in _shown(rows).toLocalIterator():
         yield r["id"], r["d"]
 
 
@@ -287,19 +330,82 @@ def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     context.rename(old, new, over)
 
 
+def _open_folder(uri: str):
+    """The file system of a URI, as Arrow knows it, and the path in it."""
+    from pyarrow import fs
+
+    local = re.match(r"file:/+", uri)
+    return (fs.LocalFileSystem(), "/" + uri[local.end() :]) if local else fs.FileSystem.from_uri(uri)
+
+
+def _on_executors(rows: DataFrame, folder: str, act: Callable[[object, str, list], None]) -> int | None:
+    """Calls act(file system, folder, rows) for the rows of each batch, on executors; returns the number of rows, or None
+    if Arrow doesn't know the folder's file system."""
+    p, files = _path(rows.sparkSession, folder)
+    uri = p.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+    files.mkdirs(p)
+    try:
+        _open_folder(uri)
+    except (OSError, ValueError):
+        return None
+
+    def run(batches):
+        for batch in batches:
+            system, path = _open_folder(uri)
+            act(system, path, list(zip(*[c.to_pylist() for c in batch.columns], strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _forget_checksum(system, path: str, name: str) -> None:
+    """A file that Hadoop wrote to a local folder has a checksum beside it, which doesn't hold for what replaces it."""
+    from pyarrow import fs
+
+    old = f"{path}/.{name}.crc"
+    if system.get_file_info(old).type != fs.FileType.NotFound:
+        system.delete_file(old)
+
+
+def _put(system, path: str, rows: list) -> None:
+    for entry_id, text in rows:
+        name = file_name(entry_id)
+        fresh = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(fresh) as out:
+            out.write(text.encode())
+        _forget_checksum(system, path, name)
+        system.move(fresh, f"{path}/{name}")
+
+
+def _take_away(system, path: str, rows: list) -> None:
+    from pyarrow import fs
+
+    for (entry_id,) in rows:
+        name = file_name(entry_id)
+        _forget_checksum(system, path, name)
+        if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+            system.delete_file(f"{path}/{name}")
+
+
 def write_replica(documents: DataFrame, folder: str, kind: str) -> int:
-    """A file for each document, named by its id; other documents stay. Documents pass through the driver one by one."""
-    n = 0
-    for name, text in _documents(documents):
-        write_file(documents.sparkSession, f"{folder}/{kind}/{name}.json", [text])
-        n += 1
+    """A file for each document, named by its id (file_name) and replaced at once; other documents stay. Executors write
+    them; in a file system that Arrow doesn't know the driver does, one by one."""
+    shown = _shown(documents).where("id is not null")
+    n = _on_executors(shown, f"{folder}/{kind}", _put)
+    if n is None:
+        n = 0
+        for r in shown.toLocalIterator():
+            write_file(documents.sparkSession, f"{folder}/{kind}/{file_name(r['id'])}", [r["d"]])
+            n += 1
     return n
 
 
 def remove_replica(ids: DataFrame, folder: str, kind: str) -> None:
-    for r in ids.select(F.col("id").cast("string")).toLocalIterator():
-        p, files = _path(ids.sparkSession, f"{folder}/{kind}/{r[0]}.json")
-        files.delete(p, False)
+    names = ids.select(F.col("id").cast("string").alias("id")).where("id is not null")
+    if _on_executors(names, f"{folder}/{kind}", _take_away) is None:
+        for r in names.toLocalIterator():
+            p, files = _path(ids.sparkSession, f"{folder}/{kind}/{file_name(r['id'])}")
+            files.delete(p, False)
 
 
 def write_tombstones(tombstones: DataFrame, folder: str) -> None:
@@ -312,37 +418,102 @@ def write_tombstones(tombstones: DataFrame, folder: str) -> None:
     write_file(tombstones.sparkSession, f"{folder}/tombstones/deleted.json", parts())
 
 
+def last_syncs(spark: SparkSession, folder: str) -> dict[str, str]:
+    """When each machine last synchronized with the folder, as its manifest tells."""
+    path = f"{folder}/manifest.json"
+    told = spark.read.schema("last_sync map<string,string>").option("multiLine", "true").json(path).first() if exists(spark, path) else None
+    return dict(told["last_sync"] or {}) if told else {}
+
+
 def write_manifest(state: DataFrame, folder: str, at: str) -> None:
-    """state: id, content_hash, updated_at."""
+    """state: id, content_hash, updated_at. What other machines wrote of their synchronizations stays."""
+    last = last_syncs(state.sparkSession, folder) | {S.machine(): at}
+
     def parts() -> Iterator[str]:
-        yield f'{{"version": 2, "last_sync": {{"{S.machine()}": "{at}"}}, "entries": {{'
+        yield f'{{"version": 2, "last_sync": {json.dumps(last)}, "entries": {{'
         for i, (name, text) in enumerate(_documents(state.select("id", "content_hash", "updated_at"))):
-            yield f'{"," if i else ""}\n"{name}": {text}'
+            yield f'{"," if i else ""}\n{json.dumps(name)}: {text}'
         yield "\n}}\n"
 
     write_file(state.sparkSession, f"{folder}/manifest.json", parts())
 
 
-#: Seconds a lock is waited for, between two tries, and after which one that nobody gave up counts as left behind.
+#: Seconds a lock is waited for, between two tries, and after which one that nobody renewed counts as left behind.
 LOCK_TIMEOUT, LOCK_POLL, LOCK_STALE = 30.0, 0.1, 600.0
 
 
+class Lock:
+    """A lock file that holds its owner's token."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.path, self.token = spark, f"{folder}/.lock", uuid.uuid4().hex
+        self.p, self.files = _path(spark, self.path)
+
+    def _owner(self) -> str | None:
+        try:
+            return read_file(self.spark, self.path)
+        except Py4JJavaError:  # it went meanwhile
+            return None
+
+    def check(self) -> None:
+        """Raises if another writer has taken the lock."""
+        if self._owner() != self.token:
+            raise RuntimeError(f"the lock {self.path} was lost to another writer")
+
+    def take(self) -> bool:
+        if self.files.exists(self.p):
+            if self._age() > LOCK_STALE:
+                # Of several who see it only one moves the old file away.
+                aside = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}.{self.token}")
+                if self._age() > LOCK_STALE and self.files.rename(self.p, aside):
+                    self.files.delete(aside, False)
+            return False
+        try:
+            out = self.files.create(self.p, False)
+            out.write(bytearray(self.token.encode()))
+            out.close()
+        except Py4JJavaError:  # another was faster
+            return False
+        # In file systems that create a file twice, the later token stands.
+        time.sleep(LOCK_POLL / 5)
+        return self._owner() == self.token
+
+    def _age(self) -> float:
+        try:
+            return time.time() - self.files.getFileStatus(self.p).getModificationTime() / 1000
+        except Py4JJavaError:
+            return 0.0
+
+    def renew(self) -> None:
+        if self._owner() == self.token:
+            self.files.setTimes(self.p, int(time.time() * 1000), -1)
+
+    def give_up(self) -> None:
+        if self._owner() == self.token:
+            self.files.delete(self.p, False)
+
+
 @contextmanager
-def locked(spark: SparkSession, folder: str, timeout: float = LOCK_TIMEOUT) -> Iterator[None]:
-    """Holds the folder's lock file; TimeoutError if another holder doesn't give it up in time."""
-    p, files = _path(spark, f"{folder}/.lock")
-    until = time.monotonic() + timeout
-    while not files.createNewFile(p):
-        if files.exists(p) and time.time() - files.getFileStatus(p).getModificationTime() / 1000 > LOCK_STALE:
-            files.delete(p, False)
-            continue
+def locked(spark: SparkSession, folder: str, timeout: float = LOCK_TIMEOUT) -> Iterator[Lock]:
+    """Holds the folder's lock file and renews it meanwhile; TimeoutError if another holder doesn't give it up in time."""
+    lock, until, ended = Lock(spark, folder), time.monotonic() + timeout, threading.Event()
+    while not lock.take():
         if time.monotonic() > until:
             raise TimeoutError(f"another writer holds {folder}")
         time.sleep(LOCK_POLL)
+
+    def keep() -> None:
+        while not ended.wait(LOCK_STALE / 10):
+            lock.renew()
+
+    keeper = threading.Thread(target=keep, daemon=True)
+    keeper.start()
     try:
-        yield
+        yield lock
     finally:
-        files.delete(p, False)
+        ended.set()
+        keeper.join()
+        lock.give_up()
 
 
 def with_hash(entries: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ each key; history is the log itself. Nothing is updated in place, so a writer th
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scalars as S
-from quillstone.operators import graph, ledgers, maintenance, retrieval, search, sync, versions
+from quillstone.operators import graph, ledgers, maintenance, retrieval, search, sync, vector_index, versions
 from quillstone.sources import readers
 from quillstone.tables import durable
 
@@ -31,6 +33,8 @@ TABLES = {
 }
 #: Ledgers by what they tell of.
 LEDGERS = {"sessions": "processed_sessions", "commits": "processed_commits", "files": "processed_files"}
+#: What deals a log's rows to buckets, where it isn't the first column of its key.
+_BUCKET_KEYS = {"synced": "id"}
 _LOG = ", seq long, op string, at timestamp_ntz"
 #: Fields that update() changes; others are ignored.
 CHANGEABLE = ("title", "description", "content", "tags", "context", "confidence", "project")
@@ -38,25 +42,60 @@ _EMBEDDED = ("title", "description", "content")
 
 
 class Store:
-    """Logs as Parquet folders below path. A lock lets one writer at a time number the rows."""
+    """Logs as bucketed Parquet tables below path: a row lies in the bucket of its key's hash, so the last row of each key, and
+    joins of logs by that key, need no shuffle. A file beside each log names the folder that holds it, and is replaced at once,
+    so readers and writers that die always find a whole log. A lock lets one writer at a time number the rows.
 
-    def __init__(self, spark: SparkSession, path: str):
+    buckets: of logs that this store begins; the session's shuffle partitions, if not given."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _place(self, name: str) -> dict | None:
+        """{folder, buckets, before}: where a log is, in how many buckets (0: none), and where it was before it was compacted."""
+        told = readers.read_file(self.spark, f"{self.path}/{name}.at")
+        if told is not None:
+            return json.loads(told)
+        # A log of plain files, as earlier stores have it; compact() makes buckets.
+        return {"folder": name, "buckets": 0, "before": None} if readers.exists(self.spark, f"{self.path}/{name}") else None
+
+    def _table(self, name: str, place: dict) -> str:
+        """The session's name of the table in a folder."""
+        folder = f"{self.path}/{place['folder']}"
+        table = f"quillstone_{name}_{hashlib.md5(folder.encode()).hexdigest()[:16]}"
+        if not self.spark.catalog.tableExists(table):
+            quoted = folder.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({TABLES[name][1]}{_LOG}) USING parquet CLUSTERED BY ({_BUCKET_KEYS.get(name, TABLES[name][0][0])}) INTO {place['buckets']} BUCKETS LOCATION '{quoted}'")
+        return table
 
     def log(self, name: str) -> DataFrame:
+        place = self._place(name)
         schema = TABLES[name][1] + _LOG
-        folder = f"{self.path}/{name}"
-        if not readers.exists(self.spark, folder):
+        if place is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
+        if not place["buckets"]:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{place['folder']}")
+        table = self._table(name, place)
+        self.spark.catalog.refreshTable(table)
+        return self.spark.table(table)
+
+    def _last(self, name: str) -> DataFrame:
+        """The last row of each key, deletions included."""
+        w = Window.partitionBy(*TABLES[name][0]).orderBy(F.desc("seq"))
+        return self.log(name).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
     def current(self, name: str) -> DataFrame:
         """The last row of each key, if it isn't a deletion."""
-        keys = TABLES[name][0]
-        log = self.log(name)
-        w = Window.partitionBy(*keys).orderBy(F.desc("seq"))
-        last = log.withColumn("nth", F.row_number().over(w)).where("nth = 1 and op = 'upsert'")
-        return last.drop("nth", "seq", "op", "at")
+        return self._last(name).where("op = 'upsert'").drop("seq", "op", "at")
+
+    def _write(self, name: str, place: dict, rows: DataFrame) -> None:
+        if place["buckets"]:
+            # Rows that are dealt as the buckets are make a file for each bucket that gets any.
+            dealt = rows.repartition(place["buckets"], _BUCKET_KEYS.get(name, TABLES[name][0][0]))
+            dealt.write.mode("append").insertInto(self._table(name, place))
+        else:
+            rows.write.mode("append").parquet(f"{self.path}/{place['folder']}")
 
     def append(self, name: str, rows: DataFrame, op: str = "upsert", at: datetime | None = None) -> None:
         """Rows of one append share a number, so a key counts once in it, but for events of use."""
@@ -64,23 +103,39 @@ class Store:
         filled = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         if name != "usage":
             filled = filled.dropDuplicates(list(TABLES[name][0]))
-        with readers.locked(self.spark, self.path):
-            last = self.log(name).agg(F.max("seq")).first()[0] or 0
-            filled.select("*", F.lit(last + 1).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")).write.mode("append").parquet(f"{self.path}/{name}")
+        with readers.locked(self.spark, self.path) as lock:
+            place = self._place(name)
+            if place is None:
+                place = {"folder": f"{name}-{uuid.uuid4().hex[:8]}", "buckets": self.buckets, "before": None}
+                readers.write_file(self.spark, f"{self.path}/{name}.at", [json.dumps(place)])
+            seq = self._next(name)
+            lock.check()
+            self._write(name, place, filled.select("*", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")))
+
+    def _next(self, name: str) -> int:
+        """The number of the next append, kept in a file before the rows are written, so that none is used twice."""
+        path = f"{self.path}/{name}.seq"
+        told = readers.read_file(self.spark, path)
+        last = int(told) if told is not None else self.log(name).agg(F.max("seq")).first()[0] or 0
+        readers.write_file(self.spark, path, [str(last + 1)])
+        return last + 1
 
     def compact(self, name: str) -> None:
         """Rewrites a log as the last row of each key, deletions included, so that reads rank no more than these. Events of
-        use stay as they are."""
+        use stay as they are. The log before the last compaction is removed, the one before this stays for those who read it."""
         if name == "usage":
             return
-        keys = TABLES[name][0]
-        with readers.locked(self.spark, self.path):
-            w = Window.partitionBy(*keys).orderBy(F.desc("seq"))
-            last = durable(self.log(name).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth"))
-            fresh, (old, files) = f"{self.path}/.{name}.new", readers._path(self.spark, f"{self.path}/{name}")
-            last.write.mode("overwrite").parquet(fresh)
-            files.delete(old, True)
-            files.rename(readers._path(self.spark, fresh)[0], old)
+        with readers.locked(self.spark, self.path) as lock:
+            old = self._place(name)
+            if old is None:
+                return
+            fresh = {"folder": f"{name}-{uuid.uuid4().hex[:8]}", "buckets": old["buckets"] or self.buckets, "before": old["folder"]}
+            self._write(name, fresh, self._last(name))
+            lock.check()
+            readers.write_file(self.spark, f"{self.path}/{name}.at", [json.dumps(fresh)])
+            if old["before"]:
+                p, files = readers._path(self.spark, f"{self.path}/{old['before']}")
+                files.delete(p, True)
 
 
 class Engine:
@@ -99,22 +154,54 @@ class Engine:
         return self.capture_all(self.spark.createDataFrame(
             [(title, description, content, _tags(tags), _tags(context), project, source, float(confidence))],
             "title string, description string, content string, tags array<string>, context array<string>, project string, source string, confidence double",
-        ))[0]
+        )).first()["id"]
 
-    def capture_all(self, rows: DataFrame) -> list[str]:
-        """Appends entries that are valid; raises if one isn't. Returns their ids."""
+    def capture_all(self, rows: DataFrame) -> DataFrame:
+        """Appends entries that are valid; raises if one isn't, or if rows that bring ids bring one twice. Returns (id, title).
+        Every row becomes an entry of its own, whatever its text: the first has an id of its title and the time, and the
+        others of a batch have longer ones, of their place in it too."""
         now = self.now()
         at = F.lit(now).cast("timestamp_ntz")
-        made = rows.withColumns({"created": at, "updated_at": at, "last_used": F.lit(None).cast("timestamp_ntz"), "usage_count": F.lit(0).cast("long"), "brief": S.brief(F.col("content"))})
-        if "id" not in rows.columns:
-            made = made.withColumn("id", S.entry_id(F.col("title"), S.iso(F.col("created"))))
+        # Places are written down once, so that an executor that is lost doesn't change them.
+        made = durable(rows.withColumn("_place", F.monotonically_increasing_id())).withColumns({"created": at, "updated_at": at, "last_used": F.lit(None).cast("timestamp_ntz"), "usage_count": F.lit(0).cast("long"), "brief": S.brief(F.col("content"))})
         wrong = made.where(~F.coalesce(readers.valid(made), F.lit(False)))
         if not wrong.isEmpty():
             raise ValueError("an entry needs a title, description and content within their limits, and a confidence from 0 to 1")
-        made = self.embed(made)
-        ids = [r["id"] for r in made.select("id").collect()] if made.count() <= 1_000 else []
+        if "id" not in rows.columns:
+            of_place = F.sha2(F.concat_ws("\n", F.col("title"), S.iso(F.col("created")), F.col("_place").cast("string")), 256)
+            made = made.withColumn("id", F.when(F.col("_place") == 0, S.entry_id(F.col("title"), S.iso(F.col("created")))).otherwise(F.substring(of_place, 1, 32)))
+        elif not made.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+            raise ValueError("each row needs an id of its own")
+        made = durable(self.embed(made.drop("_place")))
+        if "id" not in rows.columns and not made.limit(2).count() > 1:
+            self._refuse_known(made)
         self.store.append("entries", made, at=now)
-        return ids
+        self._indexed(made)
+        return made.select("id", "title")
+
+    def _refuse_known(self, made: DataFrame) -> None:
+        """One title captured twice at one time would take the place of the first entry."""
+        if not self.store.current("entries").join(made.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("there is an entry of this title and time")
+
+    # The index of vectors
+
+    def build_index(self) -> vector_index.VectorIndex:
+        """A stored index of all current vectors; entries captured or updated later are added to it."""
+        current = self.store.current("entries").select("id", "embedding", "project")
+        name = f"index-{uuid.uuid4().hex[:8]}"
+        made = vector_index.build(current, f"{self.store.path}/{name}")
+        readers.write_file(self.spark, f"{self.store.path}/index.at", [name])
+        return made
+
+    def index(self) -> vector_index.VectorIndex | None:
+        name = readers.read_file(self.spark, f"{self.store.path}/index.at")
+        return vector_index.VectorIndex(self.spark, f"{self.store.path}/{name}") if name else None
+
+    def _indexed(self, entries: DataFrame) -> None:
+        index = self.index()
+        if index is not None:
+            index.add(entries.select("id", "embedding", "project" if "project" in entries.columns else F.lit(None).cast("string").alias("project")))
 
     def get(self, entry_id: str) -> DataFrame:
         return search.get(self.entries(), entry_id)
@@ -132,7 +219,9 @@ class Engine:
         new = old.withColumns({k: F.lit(_tags(v) if k in ("tags", "context") else v) for k, v in changes.items()}).withColumn("updated_at", F.lit(now).cast("timestamp_ntz"))
         if set(changes) & set(_EMBEDDED):
             new = self.embed(new.drop("embedding")).withColumn("brief", S.brief(F.col("content")))
+        new = durable(new)
         self.store.append("entries", new, at=now)
+        self._indexed(new)
         return True
 
     def delete(self, entry_id: str) -> bool:
@@ -159,12 +248,13 @@ class Engine:
             self._delete(found)
         return n
 
-    def retrieve(self, query: str, **options) -> DataFrame:
-        """Retrieves by meaning, and records the use of what it found."""
+    def retrieve(self, query: str, indexed: bool = False, **options) -> DataFrame:
+        """Retrieves by meaning, and records the use of what it found. indexed: candidates come from the index, if one was
+        built."""
         asked = self.embed(self.spark.createDataFrame([(query, "", "")], "title string, description string, content string"))
         vector = [float(x) for x in asked.first()["embedding"]]
         current = self.entries()
-        found = retrieval.retrieve(current.drop("embedding"), current.select("id", "embedding"), vector, **options)
+        found = retrieval.retrieve(current.drop("embedding"), current.select("id", "embedding"), vector, index=self.index() if indexed else None, **options)
         rows = found.collect()
         result = self.spark.createDataFrame(rows, found.schema)
         if rows:
@@ -218,16 +308,18 @@ class Engine:
         return self.import_rows(readers.read_export(self.spark, path), skip_duplicates)
 
     def import_rows(self, rows: DataFrame, skip_duplicates: bool = True) -> dict[str, int]:
-        """Rows of one id count once; what an entry doesn't tell is filled in."""
+        """Rows of one id count once (readers.classified tells which); those without one are entries of their own. What an
+        entry doesn't tell is filled in."""
         now = F.lit(self.now()).cast("timestamp_ntz")
-        filled = rows.withColumn("created", F.coalesce("created", now))
+        filled = durable(rows.withColumn("_place", F.monotonically_increasing_id())).withColumn("created", F.coalesce("created", now))
+        of_place = F.sha2(F.concat_ws("\n", F.coalesce("title", F.lit("")), S.iso(now), F.col("_place").cast("string")), 256)
         filled = filled.withColumns({
-            "id": F.coalesce("id", S.entry_id(F.concat(F.col("title"), F.coalesce("content", F.lit(""))), S.iso(F.col("created")))), "updated_at": F.coalesce("updated_at", "created"),
+            "id": F.coalesce("id", F.substring(of_place, 1, 32)), "updated_at": F.coalesce("updated_at", "created"),
             "brief": F.coalesce("brief", S.brief(F.col("content"))), "usage_count": F.coalesce("usage_count", F.lit(0)).cast("long"),
             "confidence": F.coalesce("confidence", F.lit(1.0)), "source": F.coalesce("source", F.lit("import")),
             **{c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tags", "context")},
         })
-        told = durable(readers.classified(filled, self.store.current("entries"), skip_duplicates))
+        told = durable(readers.classified(filled.drop("_place"), self.store.current("entries"), skip_duplicates))
         counts = {r["outcome"]: r["count"] for r in told.groupBy("outcome").count().collect()}
         new = told.where("outcome = 'imported'").drop("outcome")
         if counts.get("imported"):

@@ -169,7 +169,7 @@ def test_trees_collections_and_relationships(engine):
 def test_import_of_lists_and_compaction(engine, tmp_path, spark):
     rows = [{"title": "X", "description": "d", "content": "c", "id": "i1"}, {"title": "Y", "description": "d", "content": "c", "id": "i1"}, {"title": " \n", "description": "d", "content": "c"}, {"title": "Z", "description": "d", "content": "c"}]
     (tmp_path / "list.json").write_text(json.dumps(rows, indent=2))
-    assert engine.import_from(str(tmp_path / "list.json")) == {"imported": 3, "skipped": 0, "errors": 1} and engine.entries().count() == 2
+    assert engine.import_from(str(tmp_path / "list.json")) == {"imported": 2, "skipped": 1, "errors": 1} and engine.entries().count() == 2
     assert engine.import_rows(readers.parse_export(spark, json.dumps(rows[:1]))) == {"imported": 0, "skipped": 1, "errors": 0}
     with pytest.raises(ValueError):
         readers.parse_export(spark, "{}")
