@@ -7,8 +7,9 @@ page marks its article, so is what lies outside. Each line left has a weight:
 its length; less (``GENERIC``) where no paragraph, heading or list item holds it,
 nothing where it is a menu's by its links (in a list and more than half links,
 or nothing but several links outside a paragraph or heading), and at least
-``FLOOR`` in a paragraph or heading. Being inside a marked article is a prior: it
-lifts a line to a window's share of the threshold, or to what little weight is. Over the lines slides a
+``FLOOR`` in a paragraph or heading. Being inside a marked article is a prior: a
+line weighs ``MARKED`` times its length there, but a menu's ``GENERIC`` times, so
+that text density still decides where the article begins and ends. Over the lines slides a
 window of ``WINDOW`` lines whose weights are summed. The text surges at a line of
 some weight where the window from there on reaches the threshold (``SURGE``, or
 ``SHARE`` of the page's largest window where that is less), and dives at a line of
@@ -37,8 +38,8 @@ from . import common
 
 #: Lines of a window, and the weight that a window needs, or its share of the largest if that is less.
 WINDOW, SURGE, SHARE = 3, 80, 0.3
-#: Least weight of a line of prose, and what a character weighs outside prose.
-FLOOR, GENERIC = 20, 0.3
+#: Least weight of a line of prose; what a character weighs outside prose, and how much more in a marked article.
+FLOOR, GENERIC, MARKED = 20, 0.3, 4
 _BATCH_BYTES = 4_000_000
 
 _TOKEN = re.compile(
@@ -199,10 +200,11 @@ def sums(weights: list[float], window: int = WINDOW) -> list[float]:
 
 def weighed(lines: list[Line], window: int = WINDOW) -> tuple[list[float], float]:
     """The lines' weights, and the threshold of a window."""
-    own = [len(x.text) if x.article else 0 if x.menu else max(len(x.text), FLOOR) if x.prose else GENERIC * len(x.text) for x in lines]
-    least = min(SURGE, SHARE * max(sums(own, window), default=0))
-    lifted = max(least / WINDOW, min(FLOOR, least))
-    return [max(w, lifted) if x.article else w for w, x in zip(own, lines, strict=True)], least
+    prose = lambda x: max(len(x.text), FLOOR) if x.prose else len(x.text)
+    inside = lambda x: GENERIC * len(x.text) if x.menu else MARKED * prose(x)
+    outside = lambda x: 0 if x.menu else prose(x) if x.prose else GENERIC * len(x.text)
+    weights = [float(inside(x) if x.article else outside(x)) for x in lines]
+    return weights, min(SURGE, SHARE * max(sums(weights, window), default=0))
 
 
 def stretches(weights: list[float], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
