@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import ann, bpe, chat, decontaminate, graph, html, langid, lm, passages, registry, simhash, suffix
@@ -233,6 +234,54 @@ def test_seeds_of_short_and_repeated_texts():
         assert all(places & set(range(j, min(j + 8, n))) for j in range(max(1, n - 7)))
 
 
+def test_a_text_that_repeats_a_shared_passage_loses_no_occurrence(spark):
+    passage = words(300, 77)
+    texts = [words(40, 7_700) + " " + passage + " " + words(90, 7_701) + " " + passage + " " + words(70, 7_702) + " " + passage + " " + words(30, 7_703)]
+    texts += [words(20 + i, 7_800 + i) + " " + passage + " " + words(25, 7_900 + i) for i in range(6)]
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    covered = np.zeros(len(texts[0].split()), dtype=bool)
+    for r in found:
+        if r["kind"] == "passage":
+            for side, at, to in (("doc_id", "begin", "end"), ("class_id", "class_begin", "class_end")):
+                if r[side] == 0:
+                    covered[r[at] : r[to]] = True
+    starts = (40, 430, 800)
+    assert [int(covered[s : s + 300].sum()) for s in starts] == [300, 300, 300]
+
+
+def test_neighbours_across_batches_and_partitions():
+    """Each row's nearest row of another text on either side, however the sorted rows are dealt."""
+    r = random.Random(31)
+    rows = sorted((bytes([r.randint(0, 2)]) * 9 + bytes([r.randint(0, 40)]), r.randint(0, 3), i) for i in range(300))
+    pairs = set()
+    for i, (key, cid, pos) in enumerate(rows):
+        for step in (1, -1):
+            j = i + step
+            while 0 <= j < len(rows) and rows[j][0][:9] == key[:9] and rows[j][1] == cid:
+                j += step
+            if 0 <= j < len(rows) and rows[j][0][:9] == key[:9]:
+                pairs.add(tuple(sorted(((cid, pos), rows[j][1:]))))
+    kind = pa.schema([("key", pa.binary()), ("cid", pa.int64()), ("pos", pa.int32())])
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kind, strict=True)], schema=kind)
+    out = lambda dealt: [x for b in passages._neighbours(dealt) for x in b.to_pylist()]
+    for size, parts in ((300, 1), (7, 1), (1, 1), (50, 6), (3, 20), (300, 300)):
+        got, edge = [], []
+        step = -(-len(rows) // parts)
+        for p in range(0, len(rows), step):
+            part = rows[p : p + step]
+            for x in out([batch(part[i : i + size]) for i in range(0, len(part), size)]):
+                (edge if x["edge"] is not None else got).append(x)
+        ends = sorted({(x["edge"], x["a"], x["x"]) for x in edge})
+        got += [x for x in out([batch(ends)]) if x["edge"] is None]
+        found = {((x["a"], x["x"]), (x["b"], x["y"])) for x in got}
+        if parts == 1:
+            assert found == pairs
+        # Across partitions every row that has a partner gets one, and texts that stand side by side are joined.
+        assert {x for p in found for x in p} == {x for p in pairs for x in p}
+        beside = {tuple(sorted((a[1:], b[1:]))) for a, b in zip(rows, rows[1:]) if a[0][:9] == b[0][:9] and a[1] != b[1]}
+        assert beside <= found
+
+
 def test_passage_next_to_what_agrees_less_is_kept():
     r = np.random.default_rng(8)
     exact, other, end = r.integers(0, 2**32, 52), r.integers(0, 2**32, (2, 20)), r.integers(0, 2**32, 6)
