@@ -54,11 +54,15 @@ def list_entries(
 
 def search_entries(
     entries: DataFrame, text: str, *, project: str | None = None, limit: int = 20, tags=None, fuzzy: bool = False,
-    since: str | None = None, until: str | None = None, date_field: str = "created", exact: bool = False,
+    since: str | None = None, until: str | None = None, date_field: str = "created", exact: bool = False, index=None,
 ) -> DataFrame:
-    """Entries with text in title, description or content; the most used first."""
+    """Entries with text in title, description or content; the most used first. With an index (text_index.TextIndex) of the
+    entries as they are, only candidates' texts are read."""
     found = in_project(entries, project).where(between(date_field, since, until))
-    found = found.where(S.has_text(F.col("title"), text) | S.has_text(F.col("description"), text) | S.has_text(F.col("content"), text))
+    if index is not None:
+        found = found.join(index.hits(text), "id", "left_semi")
+    else:
+        found = found.where(S.has_text(F.col("title"), text) | S.has_text(F.col("description"), text) | S.has_text(F.col("content"), text))
     return _limited(found, [F.desc("usage_count"), F.desc_nulls_last("last_used"), F.col("id")], limit, tags, fuzzy, exact)
 
 

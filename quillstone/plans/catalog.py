@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalars as S
-from quillstone.operators import commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, vector_index, versions
+from quillstone.operators import commits, graph, ledgers, maintenance, retrieval, search, sessions, sync, tag_dictionary, text_index, vector_index, versions
 from quillstone.streaming import streams
-from quillstone.tables import table
+from quillstone.tables import shared_dir, table
 
 from . import kb
 
@@ -211,6 +212,29 @@ def search_substring(spark, sf_dir):
     return search.search_entries(kb.entries(spark, sf_dir, usage=True), "License", limit=40).select("id", "title", "usage_count")
 
 
+def _text_index(spark, sf_dir) -> text_index.TextIndex:
+    return text_index.build(kb.entries(spark, sf_dir), f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}")
+
+
+@registered(_search_sql("license", 40))
+def text_index_search(spark, sf_dir):
+    """Candidates by their trigrams, the rarest first; their texts decide."""
+    return search.search_entries(kb.entries(spark, sf_dir, usage=True), "License", limit=40, index=_text_index(spark, sf_dir)).select("id", "title", "usage_count")
+
+
+@registered(_with("SELECT id FROM kb WHERE contains(translate(title || chr(65535) || description || chr(65535) || content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'th')"))
+def text_index_short(spark, sf_dir):
+    """Two characters have no trigram: all indexed texts are read."""
+    return _text_index(spark, sf_dir).hits("TH")
+
+
+@registered(_with("SELECT id, array_to_string(ltags, ',') AS tags FROM kb WHERE len(list_filter(ltags, lambda x: levenshtein(lower(x), 'toxxic') <= 2)) > 0 AND len(list_filter(ltags, lambda x: levenshtein(lower(x), 'src11') <= 2)) > 0"))
+def tag_dictionary_search(spark, sf_dir):
+    """Fuzzy tags by deletions: a distance is worked out for each distinct tag once."""
+    e = kb.entries(spark, sf_dir, labels=True)
+    return tag_dictionary.tagged(e, tag_dictionary.build(e), ["Toxxic", "src11"]).select("id", F.array_join("tags", ",").alias("tags"))
+
+
 @registered(_with("SELECT id, title FROM kb WHERE title LIKE '%/%%' ESCAPE '/' OR content LIKE '%/%%' ESCAPE '/'"))
 def search_literal_percent(spark, sf_dir):
     return search.search_entries(kb.entries(spark, sf_dir), "%", limit=10**6).select("id", "title")

@@ -629,6 +629,14 @@ def usage_runs(spark, sf_dir):
     return streams.run_once(spark, f"{sf_dir}/events.parquet", streams.use_sessions, "complete")
 
 
+@registered("""SELECT user_id AS id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, strftime(max(ts) + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') AS stale FROM events WHERE event_type = 'view' GROUP BY user_id
+HAVING max(ts) + INTERVAL 3 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def stale_stream(spark, sf_dir):
+    """Entries turn stale by timers, when the watermark passes them, without an event of their own."""
+    found = streams.run_once(spark, f"{sf_dir}/events.parquet", lambda df: streams.stale_entries(df, days=3))
+    return found.select("id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last", "stale")])
+
+
 @registered("SELECT event_type AS path, strftime(max(ts), '%Y-%m-%d') AS day, CAST(1 AS BIGINT) AS entries_created FROM events GROUP BY 1")
 def mining_stream(spark, sf_dir):
     """Items that come in again and again are mined once, over two runs of the stream; entries are keyed by source_refs."""

@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from quillstone.operators import ledgers
 from quillstone.tables import durable, shared_dir
@@ -32,6 +34,51 @@ def use_sessions(events: DataFrame, gap: str = "3 days", late: str = "2 days") -
     return runs.select("id", shown("first"), shown("last"), "n")
 
 
+_NEVER = -(1 << 62)
+
+
+class _Staleness(StatefulProcessor):
+    """Keeps an entry's latest use, and a timer for when it will have gone without one for too long."""
+
+    def __init__(self, days: int):
+        self.wait = days * 86_400_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        latest = max(int(frame["ms"].max()) for frame in rows)
+        known = self.last.get()[0] if self.last.exists() else None
+        if known is None or latest > known:
+            if known is not None:
+                self.handle.deleteTimer(known + self.wait)
+            self.last.update((latest,))
+            self.handle.registerTimer(latest + self.wait)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"id": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "stale": [pd.Timestamp(last + self.wait, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_entries(events: DataFrame, days: int = 90, late: str = "2 days") -> DataFrame:
+    """(id, last, stale): an entry that nobody has viewed for so many days, told once the watermark passes the time (stale),
+    which needs no further event of its own. A later view begins anew. State is one time for each entry that isn't stale,
+    in the RocksDB state store."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    timed = events.select(F.col("user_id").alias("id"), "event_type", at.alias("at")).withWatermark("at", late)
+    # Rows that aren't views move the watermark on. A condition on the time as well can't be moved below it.
+    ms = F.coalesce(F.when((F.col("event_type") == "view") & F.col("id").isNotNull(), F.unix_millis("at")), F.lit(_NEVER))
+    views = timed.withColumn("ms", ms).where(F.col("ms") > _NEVER)
+    return views.groupBy("id").transformWithStateInPandas(_Staleness(days), "id long, last timestamp_ntz, stale timestamp_ntz", "append", "eventTime")
+
+
 def first_seen(events: DataFrame) -> DataFrame:
     """Each user's kinds of events once, by state, as changed files are told from those already processed."""
     return events.select(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).dropDuplicates(["id", "kind"])
