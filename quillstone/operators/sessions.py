@@ -4,8 +4,6 @@ Confidence is added up in hundredths, so that thresholds compare exactly."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +18,8 @@ BLOCK = "struct<type:string,text:string,id:string,name:string,input:struct<file_
 
 
 def matches(text: Column, patterns: list[str], flags: str = "(?iU)") -> Column:
-    return S.let(text, lambda t: reduce(lambda a, b: a | b, [t.rlike(flags + p) for p in patterns]))
+    """Whether any pattern is found: one alternation, so that a text is looked through once."""
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def text_content(blocks: Column) -> Column:
@@ -42,17 +41,20 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     timestamp, blocks) in order: each user message with the assistant messages that follow it. One without an answer
     makes no pair."""
     w = Window.partitionBy("session_id").orderBy("seq")
-    turns = messages.withColumn("turn", F.sum(F.when(F.col("type") == "user", 1).otherwise(0)).over(w)).where("turn > 0")
-    said = F.struct("seq", "uuid", "blocks", "timestamp")
+    # Texts and tools are taken out of the blocks before rows are dealt by session; what isn't asked for isn't carried along.
+    # Turns, pairs and what is said after them are worked out where a session's rows lie then.
+    said = messages.select("session_id", "seq", "type", "uuid", "timestamp", text_content(F.col("blocks")).alias("text"), tool_uses(F.col("blocks")).alias("tools"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n"))
+    turns = said.withColumn("turn", F.sum(F.when(F.col("type") == "user", 1).otherwise(0)).over(w)).where("turn > 0")
+    asked, answer = F.when(F.col("type") == "user", F.col("seq")), F.when(F.col("type") == "assistant", F.col("seq"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(answer.isNotNull(), F.struct("seq", c)))), lambda x: x[c])
     grouped = turns.groupBy("session_id", "turn").agg(
-        F.min_by("uuid", F.when(F.col("type") == "user", F.col("seq"))).alias("user_uuid"), F.min_by("blocks", F.when(F.col("type") == "user", F.col("seq"))).alias("asked"),
-        F.array_sort(F.collect_list(F.when(F.col("type") == "assistant", said))).alias("answers"),
+        F.min_by("uuid", asked).alias("user_uuid"), F.min_by("text", asked).alias("user_text"), F.min_by("uuid", answer).alias("assistant_uuid"),
+        in_order("text").alias("texts"), in_order("tools").alias("tools"), F.max(F.when(answer.isNotNull(), F.col("timestamp"))).alias("timestamp"),
+        F.sum(F.when(answer.isNotNull(), F.greatest("n", F.lit(0))).otherwise(0)).alias("blocks"),
+    )
+    found = grouped.where("blocks > 0").select(
+        "session_id", "turn", "user_uuid", "user_text", "assistant_uuid", F.array_join(F.filter("texts", lambda t: t != ""), "\n").alias("text"), F.flatten(F.filter("tools", lambda t: t.isNotNull())).alias("tools"), "timestamp",
     )
-    blocks = F.flatten(F.transform("answers", lambda a: F.coalesce(a["blocks"], F.array().cast(f"array<{BLOCK}>"))))
-    found = grouped.where(F.size("answers") > 0).select(
-        "session_id", "turn", "user_uuid", text_content(F.col("asked")).alias("user_text"), F.col("answers")[0]["uuid"].alias("assistant_uuid"),
-        text_content(blocks).alias("text"), tool_uses(blocks).alias("tools"), F.array_max(F.transform("answers", lambda a: a["timestamp"])).alias("timestamp"), F.size(blocks).alias("n_blocks"),
-    ).where("n_blocks > 0").drop("n_blocks")
     return found.withColumn("pair", F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1).drop("turn")
 
 
