@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import arrow
 from quillstone.functions import rules as R
 from quillstone.functions import scalars as S
+from quillstone.tables import durable
 
-MIN_DOCSTRING, MIN_CONFIDENCE, MIN_COMMENTS, SHOWN_COMMENTS, MOST_TAGS = 50, 30, 3, 20, 5
+MIN_DOCSTRING, MIN_CONFIDENCE, MIN_COMMENTS, SHOWN_COMMENTS, SHOWN_MATCHES, MOST_TAGS = 50, 30, 3, 20, 5, 5
 
 # What begins an element, by language; each is tried at a line's start, the first that fits counts.
 # Groups: name, and arguments where there are some.
@@ -94,12 +96,14 @@ def parse_source(language: str, text: str) -> list[dict]:
     lines, patterns, found = text.split("\n"), _COMPILED.get(language, _COMPILED[""]), []
     decorators: list[str] = []
     inside, depth = None, 0
+    python = language == "python"
     for i, line in enumerate(lines):
-        if language == "python" and (m := _DECORATOR.match(line)):
+        if python and "@" in line and (m := _DECORATOR.match(line)):
             decorators.append(m[1])
             continue
         subject = line.strip() if language in ("javascript", "typescript") else line
-        for kind, pattern in patterns:
+        # Of Python's lines only those with such a word can begin an element.
+        for kind, pattern in patterns if not python or "def" in line or "class" in line else ():
             m = pattern.match(subject)
             if not m:
                 continue
@@ -153,7 +157,7 @@ def parse(files: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = list(zip(batch.column(names.index("language")).to_pylist(), batch.column(names.index("content")).to_pylist(), strict=True))
-            columns = [pa.array([parse_source(*p) for p in pairs], pa.list_(element)), pa.array([imports_of(*p) for p in pairs], pa.list_(pa.string()))]
+            columns = [arrow.lists([parse_source(*p) for p in pairs], element), arrow.lists([imports_of(*p) for p in pairs], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "elements", "imports"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
@@ -264,9 +268,16 @@ def comment_groups(parsed: DataFrame, project: str | None = None) -> DataFrame:
 
 def pattern_entries(parsed: DataFrame, project: str | None = None) -> DataFrame:
     """An entry for each pattern with several matches; the first five are shown, in the order of their files."""
-    m = pattern_matches(parsed)
-    some = F.struct("path", "start_line", "name", "evidence", "language", "signature", "docstring")
-    listed = m.groupBy("pattern_type").agg(F.array_sort(F.collect_list(some)).alias("found"))
+    from pyspark.sql.window import Window
+
+    # Sources are parsed once, for the matches and for the languages of all files; of each pattern no more is brought together
+    # than the files that it refers to and the matches that are shown.
+    parsed = durable(parsed.select("path", "language", "elements"))
+    m = durable(pattern_matches(parsed))
+    some = ("path", "start_line", "name", "evidence", "language", "signature", "docstring")
+    first = m.withColumn("nth", F.row_number().over(Window.partitionBy("pattern_type").orderBy(*some))).where(F.col("nth") <= SHOWN_MATCHES)
+    first = first.groupBy("pattern_type").agg(F.sort_array(F.collect_list(F.struct(*some))).alias("found"))
+    listed = m.groupBy("pattern_type").agg(F.sort_array(F.collect_list("path")).alias("paths")).join(first, "pattern_type")
     g = pattern_groups(m).where(F.col("hundredths") >= MIN_CONFIDENCE).join(listed, "pattern_type")
     of = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("pattern_type")), F.concat(F.initcap("pattern_type"), F.lit(other)))
 
@@ -280,7 +291,7 @@ def pattern_entries(parsed: DataFrame, project: str | None = None) -> DataFrame:
 
     names = F.array_join(F.transform(F.slice("found", 1, 3), lambda f: f["name"]), ", ")
     more = lambda n, text: F.when(F.col("n") > n, F.concat(F.lit(text), (F.col("n") - n).cast("string"), F.lit(" more")))
-    lines = F.concat(F.array(F.concat(F.lit("## "), F.initcap("pattern_type"), F.lit(" Pattern Instances\n"))), F.flatten(F.transform(F.slice("found", 1, 5), shown)), F.array_compact(F.array(F.concat(more(5, "\n_... and "), F.lit(" instances_")))))
+    lines = F.concat(F.array(F.concat(F.lit("## "), F.initcap("pattern_type"), F.lit(" Pattern Instances\n"))), F.flatten(F.transform(F.slice("found", 1, SHOWN_MATCHES), shown)), F.array_compact(F.array(F.concat(more(SHOWN_MATCHES, "\n_... and "), F.lit(" instances_")))))
     # The languages of all files, few.
     languages = parsed.agg(F.collect_set("language")).scalar()
     tags = F.concat(F.array_compact(F.array(F.lower(F.lit(project)))), languages, F.array(F.replace("pattern_type", F.lit("_"), F.lit("-"))))
@@ -288,9 +299,10 @@ def pattern_entries(parsed: DataFrame, project: str | None = None) -> DataFrame:
         of(R.PATTERN_TITLES, " Pattern").alias("title"),
         F.concat(of(R.PATTERN_ABOUT, " design pattern"), F.lit(". Found "), F.col("n").cast("string"), F.lit(" instances: "), names, F.coalesce(more(3, ", and "), F.lit("")), F.lit(".")).alias("description"),
         F.array_join(lines, "\n").alias("content"), F.slice(F.sort_array(F.array_distinct(tags)), 1, MOST_TAGS).alias("tags"),
-        (F.col("hundredths") / 100).alias("confidence"), F.lit("pattern").alias("extraction_type"), F.transform("found", lambda f: f["path"]).alias("source_refs"),
+        (F.col("hundredths") / 100).alias("confidence"), F.lit("pattern").alias("extraction_type"), F.col("paths").alias("source_refs"),
     )
 
 
 def extract(parsed: DataFrame, project: str | None = None) -> DataFrame:
+    parsed = durable(parsed.select("path", "language", "comments", "elements"))  # parsed once for all three
     return docstrings(parsed, project).unionByName(pattern_entries(parsed, project)).unionByName(comment_groups(parsed, project))

@@ -286,7 +286,9 @@ def _sources(spark, sf_dir) -> DataFrame:
         F.lit("import os, sys\nfrom re import match\nimport json\n# TODO: check part "), n.cast("string"), F.lit("\n\n\n@cached\nclass P"), n.cast("string"), role, F.lit(':\n    """'), F.replace(doc, F.lit("\n"), F.lit("\n    ")),
         F.lit('\n    """\n\n    def find_all(self, x) -> int:\n        """Short."""\n        return x  # BUG: wrong\n\n    def get_one(self):\n        pass\n\n\ndef helper(a, b):\n    pass\n'),
     )
-    return table(spark, sf_dir, "part").select(path.alias("path"), text.alias("content"), "p_partkey", "p_name")
+    # Rows of a few bytes become files: they are dealt to as many tasks as a shuffle has, before they grow.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.select(path.alias("path"), text.alias("content"), "p_partkey", "p_name")
 
 
 def _parsed(spark, sf_dir) -> DataFrame:
@@ -334,7 +336,7 @@ def pattern_matches(spark, sf_dir):
 SELECT pattern_type, n, sixths, false AS consistent, CAST(30 + 20 + CASE WHEN sixths > 3 * n THEN 10 ELSE 0 END AS INT) AS hundredths FROM g""")
 def pattern_groups(spark, sf_dir):
     """The sum of confidences in sixths is a whole number, so no rounding stands between two engines."""
-    m = code.pattern_matches(_parsed(spark, sf_dir)).where("pattern_type = 'repository'")
+    m = durable(code.pattern_matches(_parsed(spark, sf_dir)).where("pattern_type = 'repository'"))
     sixths = m.groupBy("pattern_type").agg(F.sum(F.round(F.col("confidence") * 6)).cast("long").alias("sixths"))
     return code.pattern_groups(m).join(sixths, "pattern_type").select("pattern_type", "n", "sixths", "consistent", "hundredths")
 

@@ -431,3 +431,24 @@ def test_repository_reads(spark, tmp_path):
     assert readers.git_show(spark, str(tmp_path), "HEAD").first()["message"] == "fix: 1"
     d = commits.with_diffs(readers.git_diff(spark, str(tmp_path), "HEAD~1", "HEAD")).first()["diffs"]
     assert [(x["file_path"], x["additions"], x["deletions"]) for x in d] == [("a.py", 1, 1)]
+
+
+def test_sources_are_parsed_once(spark):
+    """All three miners together open a source once, whatever they ask of it."""
+    from quillstone.operators import code
+
+    opened = spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame([(f"src/f{i}_repo.py", f"class P{i}Repository:\n    def find_all(self):\n        pass  # TODO: {i}\n") for i in range(20)], "path string, content string")
+
+    def count(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    counted = code.parse(files).mapInArrow(count, code.parse(files).schema)
+    found = {r["title"]: r for r in code.extract(counted, "Store").collect()}
+    assert opened.value == 20 and set(found) == {"Repository Pattern", "Code TODOs"}
+    entry = found["Repository Pattern"]
+    names = sorted(f"src/f{i}_repo.py" for i in range(20))
+    assert entry["source_refs"] == names and "and 17 more" in entry["description"] and entry["content"].count("### ") == 5
+    assert entry["content"].index("P0R") < entry["content"].index("P10R") < entry["content"].index("P11R") and "15 more instances" in entry["content"]
