@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
+import os
 import re
 import subprocess
 import threading
@@ -13,11 +14,13 @@ import urllib.parse
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.window import Window
 
 from quillstone.functions import rules as R
@@ -227,11 +230,61 @@ def valid(entries: DataFrame) -> Column:
 
 def replica(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
     """Documents of a replica folder (entries, relationships, collections), one a file, indented or not; malformed ones
-    are left out."""
+    are left out. Executors open the files, many in a task; in a file system that Arrow doesn't know, Spark's own source does,
+    which plans a task for each few."""
     if not exists(spark, f"{folder}/{kind}"):
         return spark.createDataFrame([], schema)
-    files = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
-    return files.json(f"{folder}/{kind}").where("id is not null")
+    texts = _texts(spark, f"{folder}/{kind}")
+    if texts is None:
+        files = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
+        return files.json(f"{folder}/{kind}").where("id is not null")
+    one = StructType.fromDDL(f"{schema}, _malformed string")
+    lists = F.ltrim("value").startswith("[")  # a file of several documents
+    parsed = F.when(lists, F.from_json("value", ArrayType(one), {"columnNameOfCorruptRecord": "_malformed"})).otherwise(F.array(F.from_json("value", one, {"columnNameOfCorruptRecord": "_malformed"})))
+    return texts.select(F.explode(parsed).alias("d")).select("d.*").where("_malformed is null and id is not null").drop("_malformed")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(value): the text of each document's file; None if Arrow doesn't know the folder's file system."""
+    p, files = _path(spark, folder)
+    uri = p.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
+    try:
+        _open_folder(uri)
+    except (OSError, ValueError):
+        return None
+
+    def listed(batches):
+        list(batches)
+        system, path = _open_folder(uri)
+        names = (n for n in _names(system, path) if n.endswith(".json") and n[0] not in "._")
+        while part := list(islice(names, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(part)], names=["name"])
+
+    def opened(batches):
+        system, path = _open_folder(uri)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                texts = []
+                for name in batch.column(0).slice(i, 500).to_pylist():
+                    with system.open_input_stream(f"{path}/{name}", compression=None) as f:
+                        raw = f.read()
+                    texts.append(raw.decode(json.detect_encoding(raw), "replace"))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+    # As many tasks as a shuffle has, however short the names are.
+    dealt = spark.range(1).coalesce(1).mapInArrow(listed, "name string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(opened, "value string")
+
+
+def _names(system, path: str) -> Iterator[str]:
+    """The names of a folder's files, one after the other."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            yield from (f.name for f in found if f.is_file())
+    else:
+        yield from (f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.is_file)
 
 
 def replica_entry(spark: SparkSession, folder: str, entry_id: str) -> DataFrame:
@@ -314,11 +367,19 @@ def _documents(rows: DataFrame) -> Iterator[tuple[str, str]]:
 
 def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     """Replaces a file at once: readers see the old one or the new one, and a writer that dies leaves the old one."""
+
+    def pour(out) -> None:
+        for part in parts:
+            out.write(bytearray(part.encode()))
+
+    _replace_file(spark, path, pour)
+
+
+def _replace_file(spark: SparkSession, path: str, pour: Callable[[object], None]) -> None:
     folder, name = path.rsplit("/", 1)
     out = _create(spark, f"{folder}/.{name}.tmp")
     try:
-        for part in parts:
-            out.write(bytearray(part.encode()))
+        pour(out)
     finally:
         out.close()
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
@@ -408,14 +469,38 @@ def remove_replica(ids: DataFrame, folder: str, kind: str) -> None:
             files.delete(p, False)
 
 
-def write_tombstones(tombstones: DataFrame, folder: str) -> None:
-    def parts() -> Iterator[str]:
-        yield '{"deletions": ['
-        for i, (_, text) in enumerate(_documents(tombstones.select("id", "deleted_at"))):
-            yield (",\n" if i else "\n") + text
-        yield "\n]}\n"
+def _write_joined(rows: DataFrame, path: str, head: str, tail: str) -> None:
+    """Replaces a file by head, the rows' texts (value), commas between, and tail. Executors write the texts; the driver only
+    puts their files together, without a call or a Python object for each row."""
+    spark = rows.sparkSession
+    parts = f"{path.rsplit('/', 1)[0]}/.parts-{uuid.uuid4().hex}"
+    rows.select(F.concat(F.lit(","), "value").alias("value")).write.text(parts)
+    folder, files = _path(spark, parts)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+
+    def pour(out) -> None:
+        out.write(bytearray(head.encode()))
+        first = True
+        for status in sorted(files.listStatus(folder), key=lambda f: f.getPath().getName()):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                stream = files.open(status.getPath())
+                try:
+                    if first:  # no comma before the first
+                        stream.read()
+                        first = False
+                    copy(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+        out.write(bytearray(tail.encode()))
 
-    write_file(tombstones.sparkSession, f"{folder}/tombstones/deleted.json", parts())
+    try:
+        _replace_file(spark, path, pour)
+    finally:
+        files.delete(folder, True)
+
+
+def write_tombstones(tombstones: DataFrame, folder: str) -> None:
+    _write_joined(_shown(tombstones.select("id", "deleted_at")).select(F.col("d").alias("value")), f"{folder}/tombstones/deleted.json", '{"deletions": [\n', "]}\n")
 
 
 def last_syncs(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -429,13 +514,10 @@ def write_manifest(state: DataFrame, folder: str, at: str) -> None:
     """state: id, content_hash, updated_at. What other machines wrote of their synchronizations stays."""
     last = last_syncs(state.sparkSession, folder) | {S.machine(): at}
 
-    def parts() -> Iterator[str]:
-        yield f'{{"version": 2, "last_sync": {json.dumps(last)}, "entries": {{'
-        for i, (name, text) in enumerate(_documents(state.select("id", "content_hash", "updated_at"))):
-            yield f'{"," if i else ""}\n{json.dumps(name)}: {text}'
-        yield "\n}}\n"
-
-    write_file(state.sparkSession, f"{folder}/manifest.json", parts())
+    head = f'{{"version": 2, "last_sync": {json.dumps(last)}, "entries": {{\n'
+    # The id as JSON text: a list's only element.
+    name = F.to_json(F.array("id"))
+    _write_joined(_shown(state.select("id", "content_hash", "updated_at")).where("id is not null").select(F.concat(F.substring(name, 2, F.length(name) - 2), F.lit(": "), "d").alias("value")), f"{folder}/manifest.json", head, "}}\n")
 
 
 #: Seconds a lock is waited for, between two tries, and after which one that nobody renewed counts as left behind.

@@ -542,6 +542,7 @@ class Engine:
     def _synced(self, folder: str, base: DataFrame | None, strategy: str, push_only: bool, pull_only: bool, dry_run: bool, project: str | None) -> DataFrame:
         now, known = self.now(), self.store.current("synced").where(F.col("folder") == folder).select("id", "content_hash")
         local, all_remote, told = self._sides(folder, project)
+        all_remote = durable(all_remote)  # the folder's files are opened once for all that follows
         remote = search.in_project(all_remote, project)
         acts = durable(sync.one_way(sync.resolved(sync.actions(local, remote, known if base is None else base, told), strategy), push_only, pull_only).select("id", "action"))
         if dry_run:
@@ -565,7 +566,9 @@ class Engine:
         if not pull_only:
             readers.write_tombstones(told.unionByName(self.tombstones()).groupBy("id").agg(F.max("deleted_at").alias("deleted_at")), folder)
         here = readers.with_hash(self.store.current("entries"))
-        there = readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
+        # What the folder holds now; its files are opened again only if some were written or removed.
+        there = all_remote if acts.where(F.col("action").isin("push", "delete_remote")).isEmpty() else readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
+        there = durable(there.select("id", "content_hash"))
         agreed = durable(here.select("id", "content_hash", "updated_at").join(there.select("id", "content_hash"), ["id", "content_hash"], "left_semi"))
         new = agreed.join(known, ["id", "content_hash"], "left_anti")
         self.store.append("synced", new.select(F.lit(folder).alias("folder"), "id", "content_hash"), at=now)

@@ -868,3 +868,9 @@ def test_lm_counts_outgrow_two_bytes():
         total[order] += int(part.sum())
         most = max(most, int(part.max()))
     assert set(total.values()) == {3 * (50_001 + 2)} and 149_000 < most <= 150_000
+
+
+def test_lm_draws_no_sample(spark):
+    """What fit() sets beside counts doesn't depend on which documents there are."""
+    one, two = (spark.createDataFrame([(w * n,) for n in range(1, 40)], "text string") for w in ("some words of a text. ", "andere woorden, niet dezelfde. "))
+    assert (lm.fit(one).start == lm.fit(two).start).all()
