@@ -18,6 +18,8 @@ NO_PROJECT = "(no project)"
 SEPARATOR = "\n\n---\n\n"
 #: Rows of one block of the similarity join; two blocks meet in a task.
 BLOCK_ROWS = 4_096
+#: Products held at once while two blocks meet, and pairs whose scores are worked out at once.
+MET, SCORED = 1_000_000, 50_000
 #: Cells of the similarity join at most.
 MOST_PIVOTS = 1_024
 
@@ -170,19 +172,26 @@ class MetricJoin:
         met = met.select("id", "v", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         threshold = self.threshold
 
-        def meet(table: pa.Table) -> pa.Table:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches))
             ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
             x = np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
             lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+            del table
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            at, of = np.nonzero(x[left] @ x[right].T >= threshold - 1e-9)
-            at, of = left[at], right[of]
-            keep = ids[at] < ids[of] if lo == hi else np.ones(len(at), dtype=bool)
-            at, of = at[keep], of[keep]
-            score = (x[at] * x[of]).sum(axis=1)
-            keep = score >= threshold
-            a, b = np.minimum(ids[at], ids[of])[keep], np.maximum(ids[at], ids[of])[keep]
-            return pa.table({"a": a, "b": b, "similarity": score[keep]})
+            others, strip = x[right], max(1, MET // max(1, len(right)))
+            # A strip of rows at a time, so that memory is bounded even where all are similar to all.
+            for i in range(0, len(left), strip):
+                at, of = np.nonzero(x[left[i : i + strip]] @ others.T >= threshold - 1e-9)
+                at, of = left[i + at], right[of]
+                keep = ids[at] < ids[of] if lo == hi else np.ones(len(at), dtype=bool)
+                at, of = at[keep], of[keep]
+                for j in range(0, len(at), SCORED):
+                    p, q = at[j : j + SCORED], of[j : j + SCORED]
+                    score = (x[p] * x[q]).sum(axis=1)
+                    keep = score >= threshold
+                    a, b = np.minimum(ids[p], ids[q])[keep], np.maximum(ids[p], ids[q])[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score[keep])], names=["a", "b", "similarity"])
 
         return met.groupBy("cell", "lo", "hi").applyInArrow(meet, "a long, b long, similarity double")
 
