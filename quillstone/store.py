@@ -93,16 +93,19 @@ class Store:
         if place["buckets"]:
             # Rows that are dealt as the buckets are make a file for each bucket that gets any.
             dealt = rows.repartition(place["buckets"], _BUCKET_KEYS.get(name, TABLES[name][0][0]))
-            dealt.write.mode("append").insertInto(self._table(name, place))
+            self._once(name, dealt).write.mode("append").insertInto(self._table(name, place))
         else:
-            rows.write.mode("append").parquet(f"{self.path}/{place['folder']}")
+            self._once(name, rows).write.mode("append").parquet(f"{self.path}/{place['folder']}")
+
+    @staticmethod
+    def _once(name: str, rows: DataFrame) -> DataFrame:
+        """Rows with each key once, but for events of use. Rows that are dealt by a part of the key already aren't dealt again."""
+        return rows if name == "usage" else rows.dropDuplicates(list(TABLES[name][0]))
 
     def append(self, name: str, rows: DataFrame, op: str = "upsert", at: datetime | None = None) -> None:
         """Rows of one append share a number, so a key counts once in it, but for events of use."""
         schema = self.spark.createDataFrame([], TABLES[name][1]).schema
         filled = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-        if name != "usage":
-            filled = filled.dropDuplicates(list(TABLES[name][0]))
         with readers.locked(self.spark, self.path) as lock:
             place = self._place(name)
             if place is None:
