@@ -43,12 +43,12 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("seq")
     # Texts and tools are taken out of the blocks before rows are dealt by session; what isn't asked for isn't carried along.
     # Turns, pairs and what is said after them are worked out where a session's rows lie then.
-    said = messages.select("session_id", "seq", "type", "uuid", "timestamp", text_content(F.col("blocks")).alias("text"), tool_uses(F.col("blocks")).alias("tools"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n"))
+    said = messages.select("session_id", "seq", "type", "uuid", "timestamp", F.when(F.col("type") == "user", text_content(F.col("blocks"))).alias("asked"), F.when(F.col("type") == "assistant", text_content(F.col("blocks"))).alias("text"), F.when(F.col("type") == "assistant", tool_uses(F.col("blocks"))).alias("tools"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n"))
     turns = said.withColumn("turn", F.sum(F.when(F.col("type") == "user", 1).otherwise(0)).over(w)).where("turn > 0")
     asked, answer = F.when(F.col("type") == "user", F.col("seq")), F.when(F.col("type") == "assistant", F.col("seq"))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(answer.isNotNull(), F.struct("seq", c)))), lambda x: x[c])
+    in_order = lambda c: F.sort_array(F.collect_list(F.when(answer.isNotNull(), F.struct("seq", c))))[c]
     grouped = turns.groupBy("session_id", "turn").agg(
-        F.min_by("uuid", asked).alias("user_uuid"), F.min_by("text", asked).alias("user_text"), F.min_by("uuid", answer).alias("assistant_uuid"),
+        F.min_by("uuid", asked).alias("user_uuid"), F.min_by("asked", asked).alias("user_text"), F.min_by("uuid", answer).alias("assistant_uuid"),
         in_order("text").alias("texts"), in_order("tools").alias("tools"), F.max(F.when(answer.isNotNull(), F.col("timestamp"))).alias("timestamp"),
         F.sum(F.when(answer.isNotNull(), F.greatest("n", F.lit(0))).otherwise(0)).alias("blocks"),
     )
@@ -176,7 +176,9 @@ def extract(messages: DataFrame, projects: DataFrame | None = None, min_confiden
     asked = pairs.where(matches(F.lower("user_text"), R.QUESTIONS))
     has_code = F.exists("tools", lambda t: F.coalesce(t["name"].isin(*R.CODE_TOOLS), F.lit(False)))
     scored = asked.withColumn("has_code", has_code).withColumn("hundredths", confidence(F.col("has_code"), F.size("tools") > 0, F.col("acknowledged"), F.col("corrected"), F.length("text")))
-    made = scored.where(F.col("hundredths") >= min_confidence).withColumns({"title": title(F.col("user_text")), "content": content(F.col("text"), F.col("tools"))})
+    # Rows of their own by explode: the filter on title and content doesn't have them worked out again.
+    made = scored.where(F.col("hundredths") >= min_confidence).withColumn("made", F.explode(F.array(F.struct(title(F.col("user_text")).alias("title"), content(F.col("text"), F.col("tools")).alias("content")))))
+    made = made.select("*", "made.title", "made.content").drop("made")
     made = made.where((F.col("title") != "") & (F.length(F.regexp_replace("content", r"(?U)^\s+|\s+$", "")) >= MIN_CONTENT))
     entries = made.select(
         "title", description(F.col("text"), F.col("tools")).alias("description"), "content", tags(F.col("project_path"), F.col("content"), F.col("tools")).alias("tags"),

@@ -452,3 +452,24 @@ def test_sources_are_parsed_once(spark):
     names = sorted(f"src/f{i}_repo.py" for i in range(20))
     assert entry["source_refs"] == names and "and 17 more" in entry["description"] and entry["content"].count("### ") == 5
     assert entry["content"].index("P0R") < entry["content"].index("P10R") < entry["content"].index("P11R") and "15 more instances" in entry["content"]
+
+
+def test_two_blocks_meet_in_bounded_memory(spark, monkeypatch):
+    """All similar to all: no more products and scores than a strip has are held at once."""
+    from quillstone.operators import maintenance
+
+    monkeypatch.setattr(maintenance, "MET", 64, raising=True)
+    monkeypatch.setattr(maintenance, "SCORED", 7, raising=True)
+    v = [[1.0, i / 1e4] for i in range(40)]
+    v = [[a / (a * a + b * b) ** 0.5, b / (a * a + b * b) ** 0.5] for a, b in v]
+    found = maintenance.similar_pairs(spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>"), 0.9, block_rows=16)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(i, j) for j in range(40) for i in range(j)}
+
+
+def test_questions_carry_no_answers_through_the_shuffle(spark):
+    from quillstone.operators import sessions
+
+    block = lambda t: f"array(named_struct('type', 'text', 'text', '{t}', 'id', null, 'name', null, 'input', null, 'result', null))"
+    m = spark.sql(f"select 's' session_id, 0L seq, 'user' type, 'u' uuid, current_timestamp() timestamp, from_json(to_json({block('how to?')}), 'array<{sessions.BLOCK}>') blocks")
+    plan = sessions.conversation_pairs(m).select("session_id", "pair", "user_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS asked" in plan and "AS text#" not in plan and "AS tools#" not in plan
