@@ -187,3 +187,16 @@ def test_locks(spark, tmp_path):
                 pass
     with readers.locked(spark, str(tmp_path), timeout=0.3):
         pass
+
+
+def test_replica_needs_no_task_for_each_few_files(spark, tmp_path):
+    folder = tmp_path / "f" / "entries"
+    folder.mkdir(parents=True)
+    for i in range(300):
+        (folder / f"e{i}.json").write_text(json.dumps({"id": f"e{i}", "title": "T"}))
+    (folder / "list.json").write_text(json.dumps([{"id": "l1", "title": "T"}, {"id": "l2", "title": "T"}]))
+    (folder / "typed.json").write_text(json.dumps({"id": "bad", "tags": {"not": "a list"}}))
+    (folder / ".hidden.json").write_text(json.dumps({"id": "hidden"}))
+    found = readers.replica(spark, str(tmp_path / "f"), "entries", readers.ENTRY)
+    assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["id"] for r in found.collect()} == {*(f"e{i}" for i in range(300)), "l1", "l2"}
