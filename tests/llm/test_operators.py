@@ -249,6 +249,36 @@ def test_a_text_that_repeats_a_shared_passage_loses_no_occurrence(spark):
     assert [int(covered[s : s + 300].sum()) for s in starts] == [300, 300, 300]
 
 
+def test_passages_of_texts_that_repeat_words(spark):
+    """Two, or seven, texts repeat a word, or three in turn, for over 50 words, others for 20 to 40 words only."""
+    texts, groups = [], []
+    for k, (unit, long) in enumerate([("der", 2), ("der", 7), ("la lo lu", 2), ("la lo lu", 7)]):
+        for n in [60 + 13 * i for i in range(long)] + [20 + i for i in range(21)]:
+            repeated = f" {' '.join((f'{k}{unit} ' * n).split()[:n])} "
+            texts.append(words(25, 40_000 + len(texts)) + repeated + words(25, 50_000 + len(texts)))
+        groups.append(set(range(len(texts) - 21 - long, len(texts) - 21)))
+    found = passages.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["class_id"]) for r in found}
+    for group in groups:
+        reached = {min(group)}
+        for _ in group:
+            reached |= {x for pair in pairs for x in pair if reached & set(pair)}
+        assert reached == group
+    for f in found:
+        a, b = texts[f["class_id"]].split()[f["class_begin"] : f["class_end"]], texts[f["doc_id"]].split()[f["begin"] : f["end"]]
+        assert min(len(a), len(b)) >= 50 and f["identity"] >= 0.8
+
+
+def test_passages_query_names_every_holder_as_doc_id(spark, tmp_path):
+    passage = words(60, 611)
+    texts = [words(20 + i, 620 + i) + " " + passage + " " + words(9, 640 + i) for i in range(9)] + [words(90, 660 + i) for i in range(5)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = [r.asDict() for r in passages.query(spark, str(tmp_path)).collect()]
+    assert {r["doc_id"] for r in found} == set(range(9))
+    sides = {(r["doc_id"], r["begin"], r["end"], r["class_id"], r["class_begin"], r["class_end"]) for r in found}
+    assert len(found) == len(sides) and {(*s[3:], *s[:3]) for s in sides} == sides
+
+
 def test_neighbours_across_batches_and_partitions():
     """Each row meets the nearest row of another text on one side, however the sorted rows are dealt."""
     r = random.Random(31)
