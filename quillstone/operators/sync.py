@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 STRATEGIES = ("last-write-wins", "local-wins", "remote-wins", "manual")
 
 
-def actions(local: DataFrame, remote: DataFrame, base: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """(id, action, local_updated, remote_updated). local and remote: id, content_hash, updated_at; base: id, content_hash;
-    tombstones: id, deleted_at. One full outer join; base and tombstones only add columns."""
-    side = lambda df, s: df.select("id", F.col("content_hash").alias(f"{s}_hash"), F.col("updated_at").alias(f"{s}_updated"), F.lit(True).alias(f"in_{s}"))
+def matched(local: DataFrame, remote: DataFrame, base: DataFrame, tombstones: DataFrame, how: str = "left") -> DataFrame:
+    """(id, then of local and of remote: _hash, _updated, in_ and other columns by their names; base_hash, deleted_at). local
+    and remote: id, content_hash, updated_at; base: id, content_hash; tombstones: id, deleted_at. how: "left", where base and
+    tombstones only add columns, or "full"."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        others = [F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in ("id", "content_hash", "updated_at")]
+        return df.select("id", F.col("content_hash").alias(f"{s}_hash"), F.col("updated_at").alias(f"{s}_updated"), F.lit(True).alias(f"in_{s}"), *others)
+
     both = side(local, "local").join(side(remote, "remote"), "id", "full")
-    both = both.join(base.select("id", F.col("content_hash").alias("base_hash")), "id", "left").join(tombstones.select("id", "deleted_at"), "id", "left")
-    has_local, has_remote = F.col("in_local").isNotNull(), F.col("in_remote").isNotNull()
+    return both.join(base.select("id", F.col("content_hash").alias("base_hash")), "id", how).join(tombstones.select("id", "deleted_at"), "id", how)
+
+
+def decided(both: DataFrame, asked_local: Column | None = None, asked_remote: Column | None = None) -> DataFrame:
+    """both (matched) with action; null for what neither side holds. asked: which of a side's entries count; all, if not given."""
+    asked = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    has_local, has_remote = F.col("in_local").isNotNull() & asked(asked_local), F.col("in_remote").isNotNull() & asked(asked_remote)
     local_changed, remote_changed = (~F.col(f"{s}_hash").eqNullSafe(F.col("base_hash")) for s in ("local", "remote"))
     action = (
         F.when(has_local & has_remote & (F.col("local_hash") == F.col("remote_hash")), "no_change")
@@ -22,9 +32,16 @@ def actions(local: DataFrame, remote: DataFrame, base: DataFrame, tombstones: Da
         .when(has_local & has_remote & remote_changed & ~local_changed, "pull")
         .when(has_local & has_remote, "conflict")
         .when(has_local & (F.col("deleted_at") > F.col("local_updated")), "delete_local").when(has_local, "push")
-        .when(F.col("deleted_at") > F.col("remote_updated"), "delete_remote").otherwise("pull")
+        .when(has_remote & (F.col("deleted_at") > F.col("remote_updated")), "delete_remote").when(has_remote, "pull")
     )
-    return both.select("id", action.alias("action"), "local_updated", "remote_updated")
+    return both.withColumn("action", action)
+
+
+def actions(local: DataFrame, remote: DataFrame, base: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(id, action, local_updated, remote_updated). local and remote: id, content_hash, updated_at; base: id, content_hash;
+    tombstones: id, deleted_at. One full outer join; base and tombstones only add columns."""
+    lean = lambda df: df.select("id", "content_hash", "updated_at")
+    return decided(matched(lean(local), lean(remote), base, tombstones)).select("id", "action", "local_updated", "remote_updated")
 
 
 def resolved(acts: DataFrame, strategy: str = "last-write-wins") -> DataFrame:
@@ -38,13 +55,18 @@ def resolved(acts: DataFrame, strategy: str = "last-write-wins") -> DataFrame:
     return acts.withColumn("action", F.when(F.col("action") == "conflict", choice).otherwise(F.col("action")))
 
 
-def one_way(acts: DataFrame, push_only: bool = False, pull_only: bool = False) -> DataFrame:
-    kept = acts
+def goes(push_only: bool = False, pull_only: bool = False) -> Column:
+    """Whether an action is carried out."""
+    asked = F.lit(True)
     if push_only:
-        kept = kept.where(F.col("action").isin("push", "delete_remote"))
+        asked &= F.col("action").isin("push", "delete_remote")
     if pull_only:
-        kept = kept.where(F.col("action").isin("pull", "delete_local"))
-    return kept
+        asked &= F.col("action").isin("pull", "delete_local")
+    return asked
+
+
+def one_way(acts: DataFrame, push_only: bool = False, pull_only: bool = False) -> DataFrame:
+    return acts.where(goes(push_only, pull_only))
 
 
 def counts(acts: DataFrame) -> DataFrame:

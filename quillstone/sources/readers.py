@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import re
+import shutil
 import subprocess
 import threading
 import time
@@ -276,6 +277,19 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame | None:
     return dealt.mapInArrow(opened, "value string")
 
 
+def has_documents(spark: SparkSession, folder: str) -> bool:
+    """Whether there is any document in a folder; names are asked for until the first."""
+    p, files = _path(spark, folder)
+    if not files.exists(p):
+        return False
+    listed = files.listStatusIterator(p)
+    while listed.hasNext():
+        found = listed.next()
+        if found.isFile() and (name := found.getPath().getName()).endswith(".json") and name[0] not in "._":
+            return True
+    return False
+
+
 def _names(system, path: str) -> Iterator[str]:
     """The names of a folder's files, one after the other."""
     from pyarrow import fs
@@ -327,6 +341,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(p)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, files = _path(spark, path)
+    files.mkdirs(p)
+
+
 def _create(spark: SparkSession, path: str):
     p, files = _path(spark, path)
     return files.create(p, True)
@@ -419,31 +438,50 @@ def _on_executors(rows: DataFrame, folder: str, act: Callable[[object, str, list
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _forget_checksum(system, path: str, name: str) -> None:
+def _forget_checksum(path: str, name: str) -> None:
     """A file that Hadoop wrote to a local folder has a checksum beside it, which doesn't hold for what replaces it."""
-    from pyarrow import fs
-
-    old = f"{path}/.{name}.crc"
-    if system.get_file_info(old).type != fs.FileType.NotFound:
-        system.delete_file(old)
+    if os.path.exists(old := f"{path}/.{name}.crc"):
+        os.remove(old)
 
 
 def _put(system, path: str, rows: list) -> None:
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        _put_local(path, rows)
+        return
     for entry_id, text in rows:
         name = file_name(entry_id)
         fresh = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
         with system.open_output_stream(fresh) as out:
             out.write(text.encode())
-        _forget_checksum(system, path, name)
         system.move(fresh, f"{path}/{name}")
 
 
+def _put_local(path: str, rows: list) -> None:
+    """Texts are written in a folder of this task's own and moved: a folder takes one new name at a time, so tasks that write
+    beside each other's files wait for each other."""
+    own = f"{path}/.{uuid.uuid4().hex}.tmp"
+    os.mkdir(own)
+    try:
+        for entry_id, text in rows:
+            name = file_name(entry_id)
+            with open(f"{own}/text", "wb") as out:
+                out.write(text.encode())
+            _forget_checksum(path, name)
+            os.replace(f"{own}/text", f"{path}/{name}")
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+
+
 def _take_away(system, path: str, rows: list) -> None:
     from pyarrow import fs
 
+    local = isinstance(system, fs.LocalFileSystem)
     for (entry_id,) in rows:
         name = file_name(entry_id)
-        _forget_checksum(system, path, name)
+        if local:
+            _forget_checksum(path, name)
         if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
             system.delete_file(f"{path}/{name}")
 
@@ -503,10 +541,24 @@ def write_tombstones(tombstones: DataFrame, folder: str) -> None:
     _write_joined(_shown(tombstones.select("id", "deleted_at")).select(F.col("d").alias("value")), f"{folder}/tombstones/deleted.json", '{"deletions": [\n', "]}\n")
 
 
+_MANIFEST, _ENTRIES = '{"version": 2, "last_sync": ', ', "entries": {'
+
+
 def last_syncs(spark: SparkSession, folder: str) -> dict[str, str]:
     """When each machine last synchronized with the folder, as its manifest tells."""
     path = f"{folder}/manifest.json"
-    told = spark.read.schema("last_sync map<string,string>").option("multiLine", "true").json(path).first() if exists(spark, path) else None
+    if not exists(spark, path):
+        return {}
+    # The manifests that write_manifest() made tell it in their first line, and all entries after it.
+    p, files = _path(spark, path)
+    stream = files.open(p)
+    try:
+        head = bytes(stream.readNBytes(1 << 16)).decode("utf-8", "replace").split("\n", 1)[0]
+    finally:
+        stream.close()
+    if head.startswith(_MANIFEST) and head.endswith(_ENTRIES):
+        return json.loads(head.removesuffix(_ENTRIES) + "}")["last_sync"]
+    told = spark.read.schema("last_sync map<string,string>").option("multiLine", "true").json(path).first()
     return dict(told["last_sync"] or {}) if told else {}
 
 
@@ -514,7 +566,7 @@ def write_manifest(state: DataFrame, folder: str, at: str) -> None:
     """state: id, content_hash, updated_at. What other machines wrote of their synchronizations stays."""
     last = last_syncs(state.sparkSession, folder) | {S.machine(): at}
 
-    head = f'{{"version": 2, "last_sync": {json.dumps(last)}, "entries": {{\n'
+    head = f"{_MANIFEST}{json.dumps(last)}{_ENTRIES}\n"
     # The id as JSON text: a list's only element.
     name = F.to_json(F.array("id"))
     _write_joined(_shown(state.select("id", "content_hash", "updated_at")).where("id is not null").select(F.concat(F.substring(name, 2, F.length(name) - 2), F.lit(": "), "d").alias("value")), f"{folder}/manifest.json", head, "}}\n")

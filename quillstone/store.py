@@ -10,8 +10,9 @@ import json
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from quillstone.functions import scalars as S
@@ -102,24 +103,32 @@ class Store:
         """Rows with each key once, but for events of use. Rows that are dealt by a part of the key already aren't dealt again."""
         return rows if name == "usage" else rows.dropDuplicates(list(TABLES[name][0]))
 
-    def append(self, name: str, rows: DataFrame, op: str = "upsert", at: datetime | None = None) -> None:
-        """Rows of one append share a number, so a key counts once in it, but for events of use."""
-        schema = self.spark.createDataFrame([], TABLES[name][1]).schema
-        filled = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    def has(self, name: str) -> bool:
+        """Whether a log was begun; of one that wasn't no job needs to ask for rows."""
+        return self._place(name) is not None
+
+    def append(self, name: str, rows: DataFrame, op: str | Column = "upsert", at: datetime | None = None) -> None:
+        """Rows of one append share a number, so a key counts once in it, but for events of use. op: of all rows, or a column
+        of them."""
+        fields, given = StructType.fromDDL(TABLES[name][1]).fields, rows.columns
+        filled = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         with readers.locked(self.spark, self.path) as lock:
             place = self._place(name)
             if place is None:
                 place = {"folder": f"{name}-{uuid.uuid4().hex[:8]}", "buckets": self.buckets, "before": None}
+                seq = self._next(name, begun=False)
                 readers.write_file(self.spark, f"{self.path}/{name}.at", [json.dumps(place)])
-            seq = self._next(name)
+            else:
+                seq = self._next(name)
             lock.check()
-            self._write(name, place, filled.select("*", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")))
+            self._write(name, place, rows.select(*filled, F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(at or datetime.now()).cast("timestamp_ntz").alias("at")))
 
-    def _next(self, name: str) -> int:
-        """The number of the next append, kept in a file before the rows are written, so that none is used twice."""
+    def _next(self, name: str, begun: bool = True) -> int:
+        """The number of the next append, kept in a file before the rows are written, so that none is used twice. begun: the
+        log is there, so without that file its rows tell."""
         path = f"{self.path}/{name}.seq"
         told = readers.read_file(self.spark, path)
-        last = int(told) if told is not None else self.log(name).agg(F.max("seq")).first()[0] or 0
+        last = int(told) if told is not None else (begun and self.log(name).agg(F.max("seq")).first()[0]) or 0
         readers.write_file(self.spark, path, [str(last + 1)])
         return last + 1
 
@@ -236,13 +245,15 @@ class Engine:
         return True
 
     def _delete(self, found: DataFrame) -> None:
+        """found: entries, one at least."""
         now, ids = self.now(), found.select("id")
         edges, members, past = (self.store.current(n) for n in ("relationships", "members", "versions"))
         ends = edges.select("id", F.explode(F.array("source_id", "target_id")).alias("x"))
         gone = edges.join(ends.join(ids.select(F.col("id").alias("x")), "x", "left_semi").select("id").distinct(), "id", "left_semi")
-        for name, rows in (("relationships", gone), ("members", members.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")), ("versions", past.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")), ("entries", found)):
-            if not rows.isEmpty():
+        for name, rows in (("relationships", gone), ("members", members.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")), ("versions", past.join(ids.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"))):
+            if self.store.has(name) and not rows.isEmpty():
                 self.store.append(name, rows, "delete", now)
+        self.store.append("entries", found, "delete", now)
 
     def purge(self, project: str | None = None) -> int:
         found = search.in_project(self.store.current("entries"), project)
@@ -518,9 +529,9 @@ class Engine:
         readers.write_file(self.spark, path, [json.dumps({"sync_path": folder})])
         return folder
 
-    def _sides(self, folder: str, project: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _sides(self, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Local entries, remote entries, and deletions that either side tells of."""
-        local = readers.with_hash(search.in_project(self.store.current("entries"), project))
+        local = readers.with_hash(self.store.current("entries"))
         remote = readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
         told = self.tombstones().unionByName(readers.replica_tombstones(self.spark, folder))
         return local, remote, told.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
@@ -530,8 +541,8 @@ class Engine:
         folder = folder or self.sync_path()
         if not readers.exists(self.spark, folder):
             raise ValueError("there is no such folder")
-        local, remote, told = self._sides(folder, project)
-        return sync.actions(local, search.in_project(remote, project), readers.manifest(self.spark, folder), told).select("id", "action").where("action <> 'no_change'")
+        local, remote, told = self._sides(folder)
+        return sync.actions(search.in_project(local, project), search.in_project(remote, project), readers.manifest(self.spark, folder), told).select("id", "action").where("action <> 'no_change'")
 
     def sync(self, folder: str | None = None, base: DataFrame | None = None, strategy: str = "last-write-wins", *, push_only: bool = False, pull_only: bool = False, dry_run: bool = False, project: str | None = None) -> DataFrame:
         """Actions (id, action) on entries against a replica folder, carried out unless dry_run, relationships and
@@ -544,44 +555,63 @@ class Engine:
 
     def _synced(self, folder: str, base: DataFrame | None, strategy: str, push_only: bool, pull_only: bool, dry_run: bool, project: str | None) -> DataFrame:
         now, known = self.now(), self.store.current("synced").where(F.col("folder") == folder).select("id", "content_hash")
-        local, all_remote, told = self._sides(folder, project)
-        all_remote = durable(all_remote)  # the folder's files are opened once for all that follows
-        remote = search.in_project(all_remote, project)
-        acts = durable(sync.one_way(sync.resolved(sync.actions(local, remote, known if base is None else base, told), strategy), push_only, pull_only).select("id", "action"))
+        local, remote, told = self._sides(folder)
+        # The folder's files are opened once for all that follows. What an entry's own text hashes to is what it will have here.
+        remote = durable(remote.withColumn("own_hash", S.content_hash(F.col("title"), F.col("description"), F.col("content"))))
+        at = ("id", "content_hash", "updated_at", "project")
+        both = sync.matched(local.select(*at), remote.select(*at, "own_hash"), known if base is None else base, told, "full")
+        both = both.withColumn("known_hash", F.col("base_hash")) if base is None else both.join(known.withColumnRenamed("content_hash", "known_hash"), "id", "full")
+        asked = [F.col(f"{s}_project") == project for s in ("local", "remote")] if project else []
+        both = sync.resolved(sync.decided(both, *asked), strategy)
+        # No action for what isn't asked for: of another project, or the other way.
+        both = durable(both.withColumn("action", F.when(sync.goes(push_only, pull_only), F.col("action"))))
+        acts = both.where("action is not null").select("id", "action")
         if dry_run:
             return acts
-        some = lambda *names: acts.where(F.col("action").isin(*names)).select("id")
-        # Both sides' changes are worked out before either is written.
-        pulled = durable(remote.join(some("pull"), "id", "left_semi").drop("content_hash"))
-        gone = durable(local.join(some("delete_local"), "id", "left_semi"))
-        pushed = durable(local.join(some("push"), "id", "left_semi").select(remote.columns))
-        told = durable(told)
-        if not pulled.isEmpty():
-            # An entry that is here already keeps the image it had as a version.
-            had = durable(self.store.current("entries").join(pulled.select("id"), "id", "left_semi"))
-            if not had.isEmpty():
-                self._snapshots(had, "sync", "Before synchronization")
-            self.store.append("entries", self.embed(pulled), at=now)
-        if not gone.isEmpty():
+        # How many of each action, and how many of these are here; what none asks for starts no job.
+        n = {(r["action"], r["here"]): r["count"] for r in both.groupBy("action", F.col("in_local").isNotNull().alias("here")).count().collect()}
+        any_of = lambda action: (action, True) in n or (action, False) in n
+        some = lambda action: both.where(F.col("action") == action).select("id")
+        # The folder's changes come from this store as it is, and this store's from what was read of the folder.
+        gone = durable(local.join(some("delete_local"), "id", "left_semi")) if any_of("delete_local") else None
+        readers.make_folder(self.spark, f"{folder}/entries")
+        if any_of("push"):
+            readers.write_replica(local.join(some("push"), "id", "left_semi").select(remote.drop("own_hash").columns), folder, "entries")
+        if any_of("delete_remote"):
+            readers.remove_replica(some("delete_remote"), folder, "entries")
+        if any_of("pull"):
+            if ("pull", True) in n:
+                # An entry that is here already keeps the image it had as a version.
+                self._snapshots(self.store.current("entries").join(some("pull"), "id", "left_semi"), "sync", "Before synchronization")
+            self.store.append("entries", self.embed(remote.join(some("pull"), "id", "left_semi").drop("content_hash", "own_hash")), at=now)
+        if gone is not None:
             self._delete(gone)
-        readers.write_replica(pushed, folder, "entries")
-        readers.remove_replica(some("delete_remote"), folder, "entries")
         if not pull_only:
-            readers.write_tombstones(told.unionByName(self.tombstones()).groupBy("id").agg(F.max("deleted_at").alias("deleted_at")), folder)
-        here = readers.with_hash(self.store.current("entries"))
-        # What the folder holds now; its files are opened again only if some were written or removed.
-        there = all_remote if acts.where(F.col("action").isin("push", "delete_remote")).isEmpty() else readers.with_hash(readers.replica(self.spark, folder, "entries", readers.ENTRY + ", content_hash string"))
-        there = durable(there.select("id", "content_hash"))
-        agreed = durable(here.select("id", "content_hash", "updated_at").join(there.select("id", "content_hash"), ["id", "content_hash"], "left_semi"))
-        new = agreed.join(known, ["id", "content_hash"], "left_anti")
-        self.store.append("synced", new.select(F.lit(folder).alias("folder"), "id", "content_hash"), at=now)
-        lost = known.join(here.select("id").unionByName(there.select("id")), "id", "left_anti")
-        self.store.append("synced", lost.select(F.lit(folder).alias("folder"), "id", "content_hash"), "delete", now)
+            dead = both.where("deleted_at is not null").select("id", "deleted_at")
+            if gone is not None:
+                dead = dead.unionByName(self.tombstones()).groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
+            readers.write_tombstones(dead, folder)
+        # The hashes of what either side holds now, null where it holds nothing.
+        became = lambda pulled, pushed, was: F.when(F.col("action") == "pull", F.col(pulled)).when(F.col("action") == "push", F.col(pushed)).otherwise(F.col(was))
+        state = both.select(
+            "id", "known_hash", F.when(F.col("action") == "delete_local", None).otherwise(became("remote_own_hash", "local_hash", "local_hash")).alias("here"),
+            F.when(F.col("action") == "delete_remote", None).otherwise(became("remote_hash", "local_hash", "remote_hash")).alias("there"),
+            became("remote_updated", "local_updated", "local_updated").alias("updated_at"),
+        )
+        agreed = state.where("here = there").select("id", F.col("here").alias("content_hash"), "updated_at", "known_hash")
+        new = agreed.where(~F.col("content_hash").eqNullSafe(F.col("known_hash"))).select("id", "content_hash", F.lit("upsert").alias("op"))
+        lost = state.where("here is null and there is null and known_hash is not null").select("id", F.col("known_hash").alias("content_hash"), F.lit("delete").alias("op"))
+        self.store.append("synced", new.unionByName(lost).withColumn("folder", F.lit(folder)), F.col("op"), now)
         if not pull_only:
-            readers.write_manifest(agreed, folder, now.isoformat())
+            readers.write_manifest(agreed.dropDuplicates(["id"]), folder, now.isoformat())
         if not pull_only and not push_only:
-            self._sync_relationships(folder, there.select("id"), now)
-            self._sync_collections(folder, now)
+            for kind in ("relationships", "collections"):
+                readers.make_folder(self.spark, f"{folder}/{kind}")
+            # Of those that neither side ever had there is nothing to compare.
+            if self.store.has("relationships") or readers.has_documents(self.spark, f"{folder}/relationships"):
+                self._sync_relationships(folder, state.where("there is not null").select("id"), now)
+            if self.store.has("collections") or readers.has_documents(self.spark, f"{folder}/collections"):
+                self._sync_collections(folder, now)
         return acts
 
     def _sync_relationships(self, folder: str, remote_ids: DataFrame, now: datetime) -> None:

@@ -200,3 +200,64 @@ def test_replica_needs_no_task_for_each_few_files(spark, tmp_path):
     found = readers.replica(spark, str(tmp_path / "f"), "entries", readers.ENTRY)
     assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r["id"] for r in found.collect()} == {*(f"e{i}" for i in range(300)), "l1", "l2"}
+
+
+def test_sync_starts_no_job_without_need_and_opens_the_folder_once(spark, tmp_path, monkeypatch):
+    a, b = two_engines(spark, tmp_path)
+    folder, opened, replica = str(tmp_path / "folder"), [], readers.replica
+    monkeypatch.setattr(readers, "replica", lambda spark, folder, kind, schema: opened.append(kind) or replica(spark, folder, kind, schema))
+    a.capture("One", "d", "first")
+    a.sync(folder)
+    assert opened.count("entries") == 1
+    b.sync(folder)
+    for name in ("nothing", "edited"):
+        if name == "edited":
+            a.capture("Two", "d", "second")
+        opened.clear()
+        spark.sparkContext.setJobGroup(name, "")
+        a.sync()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert opened == ["entries"] and 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) <= 25, name
+
+
+def test_sync_knows_what_both_sides_hold(spark, tmp_path):
+    a, b = two_engines(spark, tmp_path)
+    folder = str(tmp_path / "folder")
+
+    def told():
+        """By id: what a knows of the folder, and the folder's manifest and documents, beside a's own."""
+        hashes = lambda df: {r["id"]: r["content_hash"] for r in df.select("id", "content_hash").collect()}
+        there = hashes(readers.with_hash(readers.replica(spark, folder, "entries", readers.ENTRY + ", content_hash string")))
+        return hashes(a.store.current("synced")), hashes(readers.manifest(spark, folder)), there, hashes(readers.with_hash(a.store.current("entries")))
+
+    def both(there, here):
+        return {k: v for k, v in here.items() if there.get(k) == v}
+
+    ids = {t: a.capture(t, "d", "of " + t, project="p" if t < "E" else "q") for t in "ABCDEF"}
+    a.sync(folder)
+    b.sync(folder)
+    b.update(ids["A"], content="by b")
+    b.delete(ids["B"])
+    other = b.capture("G", "d", "of G", project="q")
+    b.sync()
+    a.update(ids["C"], content="by a")
+    a.update(ids["E"], content="by a")
+    a.delete(ids["D"])
+    a.delete(ids["F"])
+    assert {(r["id"], r["action"]) for r in a.sync(project="p").where("action <> 'no_change'").collect()} == {(ids["A"], "pull"), (ids["B"], "delete_local"), (ids["C"], "push"), (ids["D"], "delete_remote")}
+    known, manifest, there, here = told()
+    assert manifest == both(there, here) and set(manifest) == {ids["A"], ids["C"]} and other in there and other not in here
+    # Of what wasn't asked for it keeps what it knew.
+    assert {k: v for k, v in known.items() if k in manifest} == manifest and set(known) - set(manifest) == {ids["E"], ids["F"]}
+    base = spark.createDataFrame([(ids["E"], there[ids["E"]])], "id string, content_hash string")
+    assert {(r["id"], r["action"]) for r in a.sync(base=base, push_only=True).collect()} == {(ids["E"], "push"), (ids["F"], "delete_remote")}
+    known, manifest, there, here = told()
+    assert known == manifest == both(there, here) and set(manifest) == {ids["A"], ids["C"], ids["E"]}
+    assert {(r["id"], r["action"]) for r in a.sync().where("action <> 'no_change'").collect()} == {(other, "pull")}
+    known, manifest, there, here = told()
+    assert known == manifest == there == here and readers.last_syncs(spark, folder)
+
+
+def test_last_syncs_of_other_manifests(spark, tmp_path):
+    (tmp_path / "manifest.json").write_text(json.dumps({"entries": {"e": {"content_hash": "h"}}, "last_sync": {"m": "2024-01-01"}}, indent=2))
+    assert readers.last_syncs(spark, str(tmp_path)) == {"m": "2024-01-01"} and readers.last_syncs(spark, str(tmp_path / "none")) == {}
